@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +13,10 @@ ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉ
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 MONTHS = {"enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8,
           "septiembre": 9, "octubre": 10, "noviembre": 11, "diciembre": 12}
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
-            "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&uacute;": "ú", "&ntilde;": "ñ",
-            "&Aacute;": "Á", "&Eacute;": "É", "&Iacute;": "Í", "&Oacute;": "Ó", "&Uacute;": "Ú", "&Ntilde;": "Ñ",
-            "&uuml;": "ü", "&deg;": "°"}
+# Entity names and their characters come from the language's own table; the Latin-1 ones and the
+# four markup ones also count without a semicolon.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+BARE_ENTITIES = sorted(n for n, code in name2codepoint.items() if code < 256)
 SPACE = r"[\s ]+"
 
 
@@ -45,9 +48,21 @@ def class_guess(label: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    for name, plain in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(plain))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    """Named and numeric character references to characters, one regular expression per ``&``."""
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+    pattern = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*)(;?)"
+
+    def decode(piece: Column) -> Column:
+        ref, end = F.regexp_extract(piece, pattern, 1), F.regexp_extract(piece, pattern, 2)
+        digits = F.when(ref.rlike("^#[0-9]"), F.hex(F.substring(ref, 2, 8).try_cast("bigint"))).when(
+            ref.rlike("^#[xX]"), F.substring(ref, 3, 8))
+        char = F.when(digits.isNotNull(), F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).when(
+            (end == ";") | ref.isin(*BARE_ENTITIES), F.try_element_at(names, ref))
+        rest = F.substring(piece, F.length(ref) + F.length(end) + 1, F.length(piece))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    return F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decode), ""))
 
 
 def strip_markup(text: Column) -> Column:

@@ -434,8 +434,10 @@ def report_check(spark, sf_dir):
 
 @query("report_text", oracle("""
 SELECT page_id, length(t) AS n_chars, left(t, 40) AS head, right(t, 40) AS tail FROM (
- SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<[^>]+>', ' ', 'gs'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\\s\\x{{00A0}}]+', ' ', 'g')) AS t FROM {pages})"""))
+ SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<[^>]+>', ' ', 'gs'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'),
+  '[\\s\\x{{00A0}}]+', ' ', 'g')) AS t FROM {pages})"""))
 def report_text(spark, sf_dir):
     from surco.sources.adapters import table
     t = T.strip_markup(F.col("html"))

@@ -145,6 +145,52 @@ FROM (SELECT s_suppkey AS field_ord, 'F' || CAST(s_suppkey AS STRING) AS grupo,
 WHERE kind = 'polygon' OR v_ord = 0
 """
 
+# --- calendars: one cycle per customer, some with one of the defects a validator must name -
+VIEWS["calendars"] = """
+SELECT profile, cycle, stage_ord, k,
+  CASE WHEN k % 17 = 0 AND stage_ord = 1 THEN 'a b' WHEN k % 19 = 0 AND stage_ord = 2 THEN 'etapa_1'
+    ELSE 'etapa_' || CAST(stage_ord AS STRING) END AS stage,
+  substr(CAST(d0 AS STRING), 6, 5) AS start_mmdd,
+  CASE WHEN k % 23 = 0 AND stage_ord = 0 THEN '02-30' WHEN k % 29 = 0 AND stage_ord = 3 THEN substr(CAST(d0 + (-1) AS STRING), 6, 5)
+    ELSE substr(CAST(d1 AS STRING), 6, 5) END AS end_mmdd,
+  CASE WHEN k % 4 = 0 THEN NULL WHEN stage_ord % 3 = 0 THEN 'siap' ELSE 'estimada' END AS origin
+FROM (SELECT profile, cycle, k, stage_ord,
+    DATE '2001-01-01' + CAST((k * 37) % 365 + stage_ord * 40 - CASE WHEN k % 13 = 0 AND stage_ord = 2 THEN 6 ELSE 0 END AS INT) AS d0,
+    DATE '2001-01-01' + CAST((k * 37) % 365 + stage_ord * 40 + 34 + k % 6 AS INT) AS d1
+  FROM (SELECT 'P' || CAST(c_custkey AS STRING) AS profile, CASE WHEN c_nationkey % 2 = 0 THEN 'OI' ELSE 'PV' END AS cycle,
+      c_custkey AS k, explode(array(0, 1, 2, 3)) AS stage_ord FROM {customer}) a) b
+"""
+
+# crop windows and offsets of the same profiles; empty text means no window
+VIEWS["crop_windows"] = """
+SELECT profile, cycle, k, crop, kind,
+  CASE WHEN k % 7 = 0 AND kind = 'maximo' THEN '' WHEN k % 31 = 0 THEN '13-01' ELSE substr(CAST(d0 AS STRING), 6, 5) END AS from_mmdd,
+  CASE WHEN k % 7 = 0 AND kind = 'maximo' AND k % 2 = 0 THEN '' ELSE substr(CAST(d0 + CAST(20 + k % 40 AS INT) AS STRING), 6, 5) END AS to_mmdd,
+  CASE WHEN k % 11 = 0 THEN NULL ELSE CAST(k % 30 AS INT) END AS days_min,
+  CASE WHEN k % 22 = 0 THEN NULL WHEN k % 15 = 0 THEN -5 ELSE CAST(k % 30 + 15 AS INT) END AS days_max
+FROM (SELECT *, CASE WHEN i < 2 THEN 'maiz' WHEN k % 37 = 0 THEN 'trigo' ELSE 'sorgo' END AS crop,
+    CASE WHEN i % 2 = 0 THEN 'arranque' ELSE 'maximo' END AS kind,
+    DATE '2001-01-01' + CAST((k * 37 + 25 * i) % 365 AS INT) AS d0
+  FROM (SELECT 'P' || CAST(c_custkey AS STRING) AS profile, CASE WHEN c_nationkey % 2 = 0 THEN 'OI' ELSE 'PV' END AS cycle,
+      c_custkey AS k, explode(array(0, 1, 2, 3)) AS i FROM {customer}) a) b
+"""
+
+# --- scenes: what each order's catalogue item must come out as --------------------------
+VIEWS["scene_facts"] = """
+SELECT *, CASE WHEN sensor = 'LANDSAT' THEN 'LC09_L2SP_' || CASE WHEN l = 4 THEN 'x' ELSE path || '042' END || '_' || ymd || '_02_' || CAST(k AS STRING)
+    WHEN l = 3 THEN 'S2A_MSIL2A_' || ymd || 'T170901_N0511_T' || square || '_' || CAST(k AS STRING)
+    WHEN l = 4 THEN 'S2A_' || square || '_' || ymd || '_0_' || CAST(k AS STRING)
+    ELSE 'S2A_MSIL2A_' || ymd || 'T170901_R069_' || CAST(k AS STRING) END AS id
+FROM (SELECT o_orderkey AS k, o_orderkey % 5 AS l, o_orderkey % 4 AS src, CASE WHEN o_orderkey % 4 < 2 THEN 'S2' ELSE 'LANDSAT' END AS sensor,
+    CASE o_orderkey % 4 WHEN 0 THEN 'es-s2' WHEN 1 THEN 'pc-s2' WHEN 2 THEN 'pc-ls' ELSE 'es-ls' END AS source,
+    CASE WHEN o_orderkey % 4 >= 2 THEN 'landsat-' || CAST(7 + o_orderkey % 3 AS STRING) WHEN o_orderkey % 8 < 4 THEN 'sentinel-2a' ELSE 'Sentinel-2B' END AS platform,
+    '14R' || substr('ABCDEFGHJKLMNPQRSTUVWXYZ', CAST(o_orderkey % 24 + 1 AS INT), 1) || substr('PQRSTU', CAST(o_orderkey % 6 + 1 AS INT), 1) AS square,
+    lpad(CAST(o_orderkey % 97 AS STRING), 3, '0') AS path,
+    substr(CAST(o_orderdate AS STRING), 1, 10) AS day, replace(substr(CAST(o_orderdate AS STRING), 1, 10), '-', '') AS ymd,
+    CAST(o_orderdate AS DATE) AS obs_date, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(floor(o_totalprice) % 100 AS DOUBLE) END AS cloud,
+    (o_orderkey % 10) / 10e0 - 985e-1 AS x0, 245e-1 + (o_orderkey % 4) / 4e0 AS y0 FROM {orders}) o
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table."""

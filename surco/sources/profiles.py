@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from surco.operators.ranks import row_ranks
+
 
 def export_profiles(profiles: DataFrame, path: str) -> None:
     """One JSON document per profile."""
@@ -28,15 +30,15 @@ def free_names(incoming: DataFrame, stored: DataFrame, name_col: str = "profile"
 
     Numbers already taken in the store are skipped, whichever they are.
     """
-    order = Window.partitionBy(name_col).orderBy("import_ord")
     taken = stored.select(name_col).distinct()
     split = F.regexp_extract(name_col, "^(.*)_([0-9]+)$", 1), F.regexp_extract(name_col, "^(.*)_([0-9]+)$", 2)
     numbers = taken.filter(split[0] != "").select(split[0].alias(name_col), split[1].cast("int").alias("k"))
     exact = taken.select(name_col, F.lit(1).alias("k"))
     # per base name: the suffixes in use (1 is the bare name)
     used = exact.unionByName(numbers).groupBy(name_col).agg(F.collect_set("k").alias("used"))
-    ranked = incoming.withColumn("copy", F.row_number().over(order)).join(used, name_col, "left")
+    blocks = incoming.withColumn("import_block", F.floor(F.col("import_ord") / 4096))
+    ranked = row_ranks(blocks, [name_col], ["import_block"], ["import_ord"], "copy").join(used, name_col, "left")
     busy = F.coalesce("used", F.array().cast("array<int>"))
-    options = F.filter(F.sequence(F.lit(1), F.size(busy) + F.col("copy")), lambda k: ~F.array_contains(busy, k))
-    k = F.element_at(options, F.col("copy"))
-    return ranked.withColumn(name_col, F.when(k == 1, F.col(name_col)).otherwise(F.concat_ws("_", name_col, k.cast("string")))).drop("copy", "used")
+    options = F.filter(F.sequence(F.lit(1), F.size(busy) + F.col("copy").cast("int")), lambda k: ~F.array_contains(busy, k))
+    k = F.element_at(options, F.col("copy").cast("int"))
+    return ranked.withColumn(name_col, F.when(k == 1, F.col(name_col)).otherwise(F.concat_ws("_", name_col, k.cast("string")))).drop("copy", "used", "import_block")
