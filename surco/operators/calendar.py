@@ -65,10 +65,10 @@ def stage_assign(df: DataFrame, stage_windows: DataFrame, date_col: str, keys: S
     """Add ``stage``: the first window that holds the date (both ends count), else out of stage.
 
     The windows of a calendar travel as one array, so a range join never multiplies rows.
-    With no ``keys`` there is one calendar, hence one row, which is safe to broadcast.
+    With no ``keys`` there is one calendar, read as a scalar.
     """
     packed = pack(stage_windows, keys)
-    joined = df.join(packed, list(keys), "left") if keys else df.join(F.broadcast(packed), F.lit(True), "left")
+    joined = df.join(packed, list(keys), "left") if keys else df.withColumn("stages", packed.scalar())
     day = F.col(date_col)
     hit = F.filter("stages", lambda s: (s["start_date"] <= day) & (day <= s["end_date"]))
     return joined.withColumn("stage", F.coalesce(F.try_element_at(hit, F.lit(1))["stage"], F.lit(OUT_OF_STAGE))).drop("stages")
@@ -235,7 +235,6 @@ def mark_manual(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
 def replace_profiles(stored: DataFrame, imported: DataFrame, default: DataFrame, prefix: str = "siap_") -> DataFrame:
     """Imported official profiles replace all stored ones of their kind; the default returns if none remain."""
     kept = stored.filter(~F.col("profile").startswith(prefix))
-    remaining = kept.agg(F.count(F.lit(1)).alias("n_kept"))  # one row
-    restored = default.join(F.broadcast(remaining), F.col("n_kept") == 0, "left_semi")
+    restored = default.filter(kept.agg(F.count(F.lit(1))).scalar() == 0)
     clean = kept.join(imported.select("profile").distinct(), "profile", "left_anti")
     return clean.unionByName(restored).unionByName(imported)

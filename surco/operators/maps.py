@@ -19,8 +19,8 @@ def choropleth(municipalities: DataFrame, summary: DataFrame, value: str, date:
     The (cycle, year) pairs are a short list (one per season), carried as one array per
     municipality so that no pair table is joined.
     """
-    seasons = summary.select("ciclo", "anio").distinct().agg(F.sort_array(F.collect_list(F.struct("ciclo", "anio"))).alias("seasons"))
-    base = municipalities.join(F.broadcast(seasons), F.lit(True)).select("cvegeo", "municipio", F.inline("seasons"))
+    seasons = summary.select("ciclo", "anio").distinct().agg(F.sort_array(F.collect_list(F.struct("ciclo", "anio"))))
+    base = municipalities.withColumn("seasons", seasons.scalar()).select("cvegeo", "municipio", F.inline("seasons"))
     j = base.join(summary.select("ciclo", "anio", "cvegeo", F.col(value).alias("valor"), F.col(date).alias("fecha"), F.lit(1).alias("hit")),
                   ["ciclo", "anio", "cvegeo"], "left")
     text = F.when(F.col("fecha").isNotNull(), F.concat(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surco.functions import bands as B
@@ -33,9 +33,13 @@ def search(scenes: DataFrame, bbox: Sequence[float] | None = None, date_from: st
 
 
 def dedupe(items: DataFrame) -> DataFrame:
-    """The first item of each id, in page order; copies reduce on the map side."""
-    others = [c for c in items.columns if c != "id"]
-    return items.groupBy("id").agg(F.min_by(F.struct(*others), F.struct("page", "pos")).alias("row")).select("id", "row.*")
+    """The first item of each id, in page order.
+
+    Spark cuts each task's rows to one per id before the shuffle (window group limit), so copies
+    of a hot id never meet in one task; columns nobody reads later are pruned away.
+    """
+    first = Window.partitionBy("id").orderBy("page", "pos")
+    return items.withColumn("copy", F.row_number().over(first)).filter(F.col("copy") == 1).drop("copy")
 
 
 def sort(scenes: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def pages(spark, sf_dir):
 
 def scenes(spark, sf_dir):
     """Typed scenes, each id once."""
-    return S.dedupe(CT.scenes(CT.parse_pages(pages(spark, sf_dir))))
+    return CT.scenes(S.dedupe(CT.parse_pages(pages(spark, sf_dir))))
 
 
 CTE = """f AS (SELECT *, sensor = 'S2' AS s2 FROM {scene_facts} f),
@@ -243,9 +243,7 @@ def records(spark, sf_dir):
     s = staged_scenes(spark, sf_dir)
     status = F.when(F.col("k") % 6 == 0, "skipped_cloudy").when(F.col("k") % 11 == 0, "skipped_cover").otherwise("ok")
     files = F.concat_ws(";", F.concat("id", F.lit("_10m.tif")), F.concat("id", F.lit("_20m.tif")))
-    return s.select(F.col("id").alias("scene_id"), "sensor", "source", F.col("day").alias("date"), "tile_key", "stage", "k",
-                    status.alias("status"), F.when(status == "ok", files).alias("files"), F.col("cloud").alias("cloud_tile_pct")
-                    ) if "tile_key" in s.columns else s.select(
+    return s.select(
         F.col("id").alias("scene_id"), "sensor", "source", F.col("day").alias("date"), "stage", "k",
         status.alias("status"), F.when(status == "ok", files).alias("files"), F.col("cloud").alias("cloud_tile_pct"))
 
