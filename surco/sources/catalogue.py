@@ -92,33 +92,37 @@ def datatake() -> Column:
         F.concat_ws("_", by_day, F.left("tile", F.lit(3))))
 
 
-def asset_key(band: str, keys: list[str]) -> Column:
+def band_list(sensor: str) -> Column:
+    """The bands of a sensor as a constant array: band, keys in order, declared names, is it a mask."""
+    return F.array(*[F.struct(
+        F.lit(b).alias("band"), F.array(*[F.lit(k) for k in keys]).alias("keys"),
+        F.array(*[F.lit(n) for n in sorted({b, b.replace("B0", "B")})]).alias("names"), F.lit(role == "mask").alias("mask"),
+    ) for s, b, role, _, keys in B.BANDS if s == sensor])
+
+
+def asset_key(band: Column) -> Column:
     """The asset of a band: the first listed key present, else one whose declared band name fits."""
-    listed = F.get(F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: F.map_contains_key("assets", k)), 0)
-    names = sorted({band, band.replace("B0", "B")})
+    listed = F.get(F.filter(band["keys"], lambda k: F.map_contains_key("assets", k)), 0)
+    none = F.array().cast("array<struct<name:string>>")
 
     def fits(k: Column, v: Column) -> Column:
         return ~F.lower(k).contains("jp2") & F.exists(
-            F.coalesce(v["eo:bands"], F.array().cast("array<struct<name:string>>")), lambda b: F.upper(b["name"]).isin(*names))
+            F.coalesce(v["eo:bands"], none), lambda b: F.array_contains(band["names"], F.upper(b["name"])))
 
-    declared = F.get(F.map_keys(F.map_filter("assets", fits)), 0)
-    return F.coalesce(listed, declared)
+    return F.coalesce(listed, F.get(F.map_keys(F.map_filter("assets", fits)), 0))
 
 
-def scale_offset(band: str, sensor: str, asset: Column) -> tuple[Column, Column]:
+def scale_offset(found: Column) -> tuple[Column, Column]:
     """Reflectance = number * scale + offset; an unknown optical baseline leaves the offset missing."""
-    if band in ("SCL", "QA_PIXEL"):
-        return F.lit(1.0), F.lit(0.0)
-    rb = F.get(asset["raster:bands"], 0)
+    rb = F.get(found["asset"]["raster:bands"], 0)
     declared = rb["scale"].isNotNull() | rb["offset"].isNotNull()
-    if sensor == B.LANDSAT:
-        scale, offset = F.lit(B.LANDSAT_SCALE), F.lit(B.LANDSAT_OFFSET)
-    else:
-        number = F.col("baseline").try_cast("double")
-        scale = F.lit(B.S2_SCALE)
-        offset = F.when(number >= 4.0, F.lit(B.S2_OFFSET_SINCE_4)).when(number.isNotNull(), F.lit(0.0))
-    return (F.when(declared, F.coalesce(rb["scale"], F.lit(1.0))).otherwise(scale),
-            F.when(declared, F.coalesce(rb["offset"], F.lit(0.0))).otherwise(offset))
+    s2 = F.col("sensor") == B.S2
+    number = F.col("baseline").try_cast("double")
+    s2_offset = F.when(number >= 4.0, F.lit(B.S2_OFFSET_SINCE_4)).when(number.isNotNull(), F.lit(0.0))
+    return (F.when(found["mask"], F.lit(1.0)).when(declared, F.coalesce(rb["scale"], F.lit(1.0)))
+            .otherwise(F.when(s2, F.lit(B.S2_SCALE)).otherwise(F.lit(B.LANDSAT_SCALE))),
+            F.when(found["mask"], F.lit(0.0)).when(declared, F.coalesce(rb["offset"], F.lit(0.0)))
+            .otherwise(F.when(s2, s2_offset).otherwise(F.lit(B.LANDSAT_OFFSET))))
 
 
 def href(asset: Column, auth: Column) -> Column:
@@ -140,23 +144,23 @@ def scenes(items: DataFrame) -> DataFrame:
         "cloud_tile": _prop("eo:cloud_cover")})
     rows = rows.withColumn("datatake", datatake())
 
-    def entry(sensor: str, band: str, keys: list[str]) -> Column:
-        key = asset_key(band, keys)
-        asset = F.try_element_at("assets", key)
-        scale, offset = scale_offset(band, sensor, asset)
-        return F.struct(F.lit(band).alias("band"), key.alias("key"), href(asset, F.col("auth")).alias("href"),
-                        scale.alias("scale"), offset.alias("offset"))
+    # each step looks at the result of the one before, so a key is searched once per band
+    catalogue = F.when(F.col("sensor") == B.S2, band_list(B.S2)).otherwise(band_list(B.LANDSAT))
+    keyed = F.transform(catalogue, lambda b: F.struct(b["band"].alias("band"), b["mask"].alias("mask"), asset_key(b).alias("key")))
+    located = F.transform(keyed, lambda b: F.struct(
+        b["band"].alias("band"), b["mask"].alias("mask"), b["key"].alias("key"), F.try_element_at("assets", b["key"]).alias("asset")))
 
-    def of(sensor: str) -> Column:
-        return F.array(*[entry(s, b, k) for s, b, _, _, k in B.BANDS if s == sensor])
+    def finish(b: Column) -> Column:
+        scale, offset = scale_offset(b)
+        return F.struct(b["band"].alias("band"), b["key"].alias("key"), href(b["asset"], F.col("auth")).alias("href"),
+                        scale.alias("scale"), offset.alias("offset"))
 
-    rows = rows.withColumn("all_bands", F.when(F.col("sensor") == B.S2, of(B.S2)).otherwise(of(B.LANDSAT)))
     return rows.select(
         "page", "pos", "source", "sensor", "auth", "collection", "id", "datetime", "date", "tile", "platform", "baseline",
         "cloud_tile", "datatake",
         F.transform(F.get("geometry.coordinates", F.lit(0)), lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("footprint"),
-        F.filter("all_bands", lambda b: b["key"].isNotNull()).alias("bands"),
-        F.transform(F.filter("all_bands", lambda b: b["key"].isNull()), lambda b: b["band"]).alias("missing"))
+        F.transform(F.filter(located, lambda b: b["key"].isNotNull()), finish).alias("bands"),
+        F.transform(F.filter(keyed, lambda b: b["key"].isNull()), lambda b: b["band"]).alias("missing"))
 
 
 def _by_source(i: int) -> Column:
