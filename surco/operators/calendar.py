@@ -65,10 +65,15 @@ def stage_assign(df: DataFrame, stage_windows: DataFrame, date_col: str, keys: S
     """Add ``stage``: the first window that holds the date (both ends count), else out of stage.
 
     The windows of a calendar travel as one array, so a range join never multiplies rows.
-    With no ``keys`` there is one calendar, read as a scalar.
+    With no ``keys`` there is one calendar, read as a scalar; keyed by cycle and year there are
+    two rows a year, which is a bound that allows a broadcast. Per-profile calendars are many
+    and join as Spark sees fit.
     """
     packed = pack(stage_windows, keys)
-    joined = df.join(packed, list(keys), "left") if keys else df.withColumn("stages", packed.scalar())
+    if not keys:
+        joined = df.withColumn("stages", packed.scalar())
+    else:
+        joined = df.join(F.broadcast(packed) if set(keys) <= {"cycle", "year"} else packed, list(keys), "left")
     day = F.col(date_col)
     hit = F.filter("stages", lambda s: (s["start_date"] <= day) & (day <= s["end_date"]))
     return joined.withColumn("stage", F.coalesce(F.try_element_at(hit, F.lit(1))["stage"], F.lit(OUT_OF_STAGE))).drop("stages")

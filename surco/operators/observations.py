@@ -54,6 +54,13 @@ def mosaic_groups(files: DataFrame) -> DataFrame:
     )
 
 
+def mosaic(tiles: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Mosaics of the (sensor, date) groups that allow one; needs tile, crs and res per row."""
+    good = mosaic_groups(tiles).filter(F.col("status") == "mosaic").select("sensor", "obs_date", "res")
+    # one row per sensor, date and resolution: the season's dates bound it
+    return mosaic_pixels(tiles.join(F.broadcast(good), ["sensor", "obs_date", "res"], "left_semi"), values)
+
+
 def mosaic_pixels(tiles: DataFrame, values: Sequence[str]) -> DataFrame:
     """Overlay tiles in order: the last tile with data shows (0 is no data; 1 for the bit mask)."""
 

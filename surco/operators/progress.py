@@ -52,7 +52,8 @@ def series_profile(rows: DataFrame, crops: Sequence[str] = CROPS_DEFAULT, keys:
     anchor = F.when(start_covered(first_cut), F.array(F.date_sub(F.trunc(first_cut, "month"), 1))).otherwise(
         F.array().cast("array<date>"))
     earlier = F.filter("cuts", lambda c: c < F.col("first_row"))
-    zeros = firsts.join(cuts, ["ciclo", "anio"]).select(
+    # two rows a year at most, hence the broadcast
+    zeros = firsts.join(F.broadcast(cuts), ["ciclo", "anio"]).select(
         *keys, F.explode(F.concat(anchor, earlier)).alias("fecha"), F.lit(0.0).alias("sembrada"), F.lit(0.0).alias("cosechada"))
     return added.unionByName(zeros)
 
@@ -199,7 +200,8 @@ def series_map(selected: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     if not keys:
         return sums
     cuts = selected.groupBy("ciclo", "anio").agg(F.collect_set("fecha").alias("cuts"))
-    spine = sums.select(*group).distinct().join(cuts, ["ciclo", "anio"]).select(*group, F.explode("cuts").alias("fecha"))
+    # two rows a year at most, hence the broadcast
+    spine = sums.select(*group).distinct().join(F.broadcast(cuts), ["ciclo", "anio"]).select(*group, F.explode("cuts").alias("fecha"))
     return spine.join(sums, [*group, "fecha"], "left").fillna(0.0, list(MAP_VARIABLES))
 
 
@@ -258,7 +260,8 @@ def fraction_curve(series: DataFrame, variable: str, state: DataFrame, keys: Seq
     share = F.least(F.lit(1.0), F.col(variable) / F.col("total"))
     pts = series.withColumn("total", total).filter(F.col("total") > 0).select(
         *keys, F.datediff("fecha", cycle_anchor()).alias("day"), share.alias("share"))
-    starts = pts.select(*keys).distinct().join(state.filter("start_ok").select("ciclo", "anio"), ["ciclo", "anio"]).select(
+    covered = F.broadcast(state.filter("start_ok").select("ciclo", "anio"))  # two rows a year at most
+    starts = pts.select(*keys).distinct().join(covered, ["ciclo", "anio"]).select(
         *keys, F.lit(0).alias("day"), F.lit(0.0).alias("share"))
     by_day = Window.partitionBy(*keys).orderBy("day", "share").rowsBetween(Window.unboundedPreceding, 0)
     return pts.unionByName(starts).withColumn("share", F.max("share").over(by_day))

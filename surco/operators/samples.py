@@ -86,7 +86,7 @@ def extract_report(vertices: DataFrame, mapping: DataFrame, taken: DataFrame) ->
 
 def cap(samples: DataFrame, keys: Sequence[str], n: int, seed: int = 0, id_col: str = "px_id") -> DataFrame:
     """At most ``n`` rows of each group, in the order of a seeded hash (this cap is the feature)."""
-    return first_n(samples, keys, [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)], n)
+    return first_n(samples, keys, [F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), F.col(id_col)], n)
 
 
 def summary(samples: DataFrame, few: int = 10) -> DataFrame:

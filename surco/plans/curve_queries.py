@@ -168,9 +168,7 @@ def mosaic(spark, sf_dir):
         "res": F.when(B.is_s2(F.col("sensor")), 10).otherwise(30),
         "crs": F.when(B.is_s2(F.col("sensor")) & (F.day("obs_date") % 4 == 0) & (F.col("tile") == "T2"), "32615")
         .otherwise("32614")})
-    good = O.mosaic_groups(tiles).filter(F.col("status") == "mosaic")
-    pixels = tiles.join(good.select("sensor", "obs_date"), ["sensor", "obs_date"], "left_semi")
-    return rounded(O.mosaic_pixels(pixels, ["mask", "dn_nir", "dn_swir2"]), ())
+    return rounded(O.mosaic(tiles, ["mask", "dn_nir", "dn_swir2"]), ())
 
 
 # ------------------------------------------------------------------ scenes on their mask

@@ -230,7 +230,8 @@ def sample_summary(spark, sf_dir):
     return SM.summary(extracted(spark, sf_dir))
 
 
-@query("class_cap")
+@query("class_cap", with_cte(CTE_FIELDS, """SELECT px_id, fila, col, grupo, clase FROM
+ (SELECT *, row_number() OVER (PARTITION BY clase ORDER BY md5(px_id || ':7'), px_id) AS i FROM smp) WHERE i <= 40"""))
 def class_cap(spark, sf_dir):
     """At most 40 pixels of each class, chosen by a seeded hash."""
     return SM.cap(extracted(spark, sf_dir), ["clase"], 40, 7)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from surco.operators import classify as CL
 from surco.operators import cluster as K
 from surco.operators import separability as SEP
-from surco.plans.curve_queries import rounded, with_cte
+from surco.plans.curve_queries import CTE_LONG, rounded, with_cte
 from surco.plans.registry import query
 from surco.session import scratch_path, shared_dir
 from surco.sources import results as RES
@@ -103,11 +103,37 @@ def jm_multivariate(spark, sf_dir):
     return rounded(rows.select(F.lit("c4").alias("comparison"), F.lit("e1").alias("chosen"), "cand", "jm"), ())
 
 
-@query("forward_selection")
+def _steps_sql() -> str:
+    """Both rounds in closed form: the best single variable, then its best partner."""
+    one, two = [], []
+    for i, v in enumerate(NAMES):
+        one.append(f"""SELECT comparison, '{v}' AS var, {i} AS ord, avg({v}) FILTER (WHERE is_a) - avg({v}) FILTER (WHERE NOT is_a) AS d,
+          var_samp({v}) FILTER (WHERE is_a) AS va, var_samp({v}) FILTER (WHERE NOT is_a) AS vb FROM sd GROUP BY 1""")
+        for j, w in enumerate(NAMES):
+            if i != j:
+                ok = f"{v} IS NOT NULL AND {w} IS NOT NULL"
+                a, b = f"FILTER (WHERE is_a AND {ok})", f"FILTER (WHERE NOT is_a AND {ok})"
+                two.append(f"""SELECT comparison, '{v}' AS first, '{w}' AS var, {j} AS ord, avg({v}) {a} - avg({v}) {b} AS dx, avg({w}) {a} - avg({w}) {b} AS dy,
+                  var_samp({v}) {a} AS pa, var_samp({v}) {b} AS pb, var_samp({w}) {a} AS qa, var_samp({w}) {b} AS qb, covar_samp({v}, {w}) {a} AS ra,
+                  covar_samp({v}, {w}) {b} AS rb, corr({v}, {w}) FILTER (WHERE {ok}) AS cc FROM sd GROUP BY 1""")
+    return f""",
+u AS ({' UNION ALL '.join(one)}), u2 AS (SELECT *, 1e-6 * (va + vb) / 2 AS rg FROM u),
+u3 AS (SELECT comparison, var, ord, 2 * (1 - exp(-(d * d / (8 * ((va + vb) / 2 + rg)) + 0.5 * (ln((va + vb) / 2 + rg) - 0.5 * (ln(va + rg) + ln(vb + rg)))))) AS jm FROM u2),
+s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY jm DESC, ord) AS i FROM u3) WHERE i = 1),
+w AS ({' UNION ALL '.join(two)}), w2 AS (SELECT w.*, 1e-6 * (pa + pb + qa + qb) / 4 AS rg FROM w JOIN s1 ON s1.comparison = w.comparison AND s1.var = w.first WHERE abs(cc) <= 0.95),
+w3 AS (SELECT *, (pa + pb) / 2 + rg AS p, (qa + qb) / 2 + rg AS q, (ra + rb) / 2 AS r FROM w2),
+w4 AS (SELECT comparison, var, ord, 2 * (1 - exp(-((q * dx * dx - 2 * r * dx * dy + p * dy * dy) / (p * q - r * r) / 8
+ + 0.5 * (ln(p * q - r * r) - 0.5 * (ln((pa + rg) * (qa + rg) - ra * ra) + ln((pb + rg) * (qb + rg) - rb * rb)))))) AS jm FROM w3),
+s2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY jm DESC, ord) AS i FROM w4) WHERE i = 1)"""
+
+
+@query("forward_selection", with_cte(CTE_GROUPS, "{{steps}}").replace(" {steps}", _steps_sql()) + """
+SELECT comparison, 1 AS step, var, round(jm, 6) AS jm FROM s1 UNION ALL SELECT comparison, 2, var, round(jm, 6) FROM s2""")
 def forward_selection(spark, sf_dir):
+    """The best two variables of each comparison."""
     s, out = samples(spark, sf_dir), []
     for c in SEP.COMPARISONS:
-        out += [(c, i, v, jm) for i, (v, jm) in enumerate(SEP.forward_selection(s, c, NAMES, 4), 1)]
+        out += [(c, i, v, jm) for i, (v, jm) in enumerate(SEP.forward_selection(s, c, NAMES, 2), 1)]
     return rounded(spark.createDataFrame(out, "comparison string, step int, var string, jm double"), ())
 
 
@@ -182,38 +208,56 @@ def missing_sentinel(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ forests
-@query("group_folds")
+# Variables moved apart by class, so the right answer of a forest is known exactly.
+APART = [n for n in NAMES if n != "e2"]
+
+
+def apart(spark, sf_dir) -> DataFrame:
+    shift = F.when(F.col("clase") == "maiz", 0.0).when(F.col("clase") == "sorgo", 10.0).otherwise(20.0)
+    return samples(spark, sf_dir).withColumns({n: F.col(n) + shift for n in APART})
+
+
+CTE_FOLDS = """s AS (SELECT * FROM {samples} s),
+fl AS (SELECT grupo, any_value(clase) AS clase, count(*) AS n FROM s GROUP BY 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY clase ORDER BY n DESC, md5(grupo || ':0')) - 1 AS r FROM fl)"""
+
+
+def fold_sql(k: int) -> str:
+    return f"CAST(CASE WHEN (r // {k}) % 2 = 0 THEN r % {k} ELSE {k} - 1 - r % {k} END AS INT) AS fold"
+
+
+@query("group_folds", with_cte(CTE_FOLDS, f"SELECT grupo, {fold_sql(5)} FROM rk"))
 def group_folds(spark, sf_dir):
     folds, _, _ = CL.group_folds(samples(spark, sf_dir), 5)
     return folds
 
 
 def _forest_query(name: str, mode: str):
-    @query(name)
+    @query(name, oracle("SELECT px_id, clase, clase AS pred, 1e0 AS p_total FROM {samples} s"))
     def run(spark, sf_dir):
-        """Out-of-sample use is in cross_validate; here the fitted forest scores its own samples."""
-        s = samples(spark, sf_dir)
-        model = CL.fit_final(s, NAMES, mode, TREES, depth=DEPTH)
-        p = model.probabilities(CL.assemble(s, NAMES))
-        return rounded(p.select("px_id", "clase", CL.predicted(F.col("p")).alias("pred"), *[F.col("p")[i].alias(f"p_{c}") for i, c in enumerate(CL.CLASSES)]), ())
+        s = apart(spark, sf_dir)
+        model = CL.fit_final(s, APART, mode, TREES, depth=DEPTH)
+        p = model.probabilities(CL.assemble(s, APART))
+        total = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x)
+        return rounded(p.select("px_id", "clase", CL.predicted(F.col("p")).alias("pred"), total.alias("p_total")), ())
 
 
 _forest_query("rf_flat", "flat")
 _forest_query("rf_hierarchical", "hierarchical")
 
 
-@query("fit_final")
+@query("fit_final", oracle("SELECT step, 10 AS trees, 30 AS nodes FROM (SELECT DISTINCT CASE WHEN clase = 'otros' THEN 'step1' ELSE 'step2' END AS step FROM {samples} s)"))
 def fit_final(spark, sf_dir):
-    """Sizes of the final forest, trained on at most 100 samples of each class."""
-    m = CL.fit_final(samples(spark, sf_dir), NAMES, "hierarchical", TREES, 100, depth=DEPTH)
+    """Size of the final forest: classes apart need one split per tree in each step."""
+    m = CL.fit_final(apart(spark, sf_dir), APART, "hierarchical", TREES, depth=DEPTH)
     rows = [("step1", m.first.getNumTrees, m.first.totalNumNodes), ("step2", m.second.getNumTrees, m.second.totalNumNodes)]
     return spark.createDataFrame(rows, "step string, trees int, nodes int")
 
 
-@query("cross_validate")
+@query("cross_validate", with_cte(CTE_FOLDS, f"SELECT px_id, s.grupo, s.clase, s.clase AS pred, fold FROM s JOIN (SELECT grupo, {fold_sql(3)} FROM rk) f USING (grupo)"))
 def cross_validate(spark, sf_dir):
     shared_dir(spark)
-    return CL.cross_validate(samples(spark, sf_dir), NAMES, "hierarchical", 3, TREES, depth=DEPTH)
+    return CL.cross_validate(apart(spark, sf_dir), APART, "hierarchical", 3, TREES, depth=DEPTH)
 
 
 def importance(spark, sf_dir) -> DataFrame:
@@ -226,18 +270,25 @@ def permutation_importance(spark, sf_dir):
     return rounded(importance(spark, sf_dir), ())
 
 
-@query("importance_topk")
+@query("importance_topk", with_cte(CTE_PIXEL, """SELECT var, round(max(bal_acc) FILTER (WHERE comparison = 'c4'), 6) AS step1, round(max(bal_acc) FILTER (WHERE comparison = 'ms'), 6) AS step2
+FROM th GROUP BY 1 ORDER BY max(bal_acc) FILTER (WHERE comparison = 'c4') + max(bal_acc) FILTER (WHERE comparison = 'ms') DESC, var LIMIT 5"""))
 def importance_topk(spark, sf_dir):
-    return rounded(CL.importance_topk(importance(spark, sf_dir), 40), ())
+    """The five strongest variables, by the accuracy of their best single rule in each step."""
+    th = SEP.best_threshold(pixel_groups(spark, sf_dir))
+    step = lambda c: F.max(F.when(F.col("comparison") == c, F.col("bal_acc")))
+    return rounded(CL.importance_topk(th.groupBy("var").agg(step("c4").alias("step1"), step("ms").alias("step2")), 5), ())
 
 
-@query("predict_map")
+@query("predict_map", oracle("""SELECT px_id, CASE WHEN px_id % 13 = 0 THEN 0 WHEN clase = 'maiz' THEN 1 WHEN clase = 'sorgo' THEN 2 ELSE 3 END AS clase,
+  CASE WHEN px_id % 13 = 0 THEN 'none' ELSE 'about 100' END AS percentages FROM {samples} s"""))
 def predict_map(spark, sf_dir):
-    """Every sample pixel classified; those with too few variables present get no class."""
-    s = samples(spark, sf_dir)
-    model = CL.fit_final(s, NAMES, "flat", TREES, depth=DEPTH)
-    gaps = [F.when((F.col("px_id") % 13 != 0) | (F.lit(i) > 4), F.col(n)).alias(n) for i, n in enumerate(NAMES)]
-    return CL.predict_map(model, s.select("px_id", *gaps))
+    """Every sample pixel classified; those with too few variables present get no class and no percentages."""
+    s = apart(spark, sf_dir)
+    model = CL.fit_final(s, APART, "flat", TREES, depth=DEPTH)
+    gaps = [F.when((F.col("px_id") % 13 != 0) | (F.lit(i) > 3), F.col(n)).alias(n) for i, n in enumerate(APART)]
+    total = F.col("p_maiz") + F.col("p_sorgo") + F.col("p_otros")
+    return CL.predict_map(model, s.select("px_id", *gaps)).select(
+        "px_id", "clase", F.when(total == 765, "none").when(total.between(98, 102), "about 100").otherwise("wrong").alias("percentages"))
 
 
 @query("snk_report", with_cte(CTE_CONF, "SELECT 'pixel' AS level, clase, maiz, sorgo, otros FROM cm"))
@@ -248,21 +299,29 @@ def snk_report(spark, sf_dir):
     return RES.read_confusion(spark, path)
 
 
-@query("snk_features")
+@query("snk_features", with_cte(CTE_LONG + """,
+sp AS (SELECT px_id, name, CASE WHEN name LIKE 'S2%' THEN 'S2' ELSE 'LANDSAT' END AS sensor, CASE WHEN name LIKE '%FEN%' THEN 'FEN'
+  ELSE regexp_extract(name, '(REL[0-9]_[a-z]+)_', 1) END AS w FROM long)""", """SELECT sensor, w AS "window", count(*) AS rows, count(DISTINCT name) AS names FROM sp GROUP BY 1, 2"""))
 def snk_features(spark, sf_dir):
     """Variables, catalogue and parameters written and read back: rows per sensor and window."""
     from surco.plans.curve_queries import STEP, VARS, all_features
     path = scratch_path(spark, "variables")
     RES.write_features(all_features(spark, sf_dir), path, {"step": STEP, "variables": list(VARS)})
     rows, catalogue, _ = RES.read_features(spark, path)
-    return rows.join(catalogue.select("name", "window"), "name").groupBy("sensor", "window").agg(
+    listed = rows.join(catalogue.select("name", "sensor", "window"), ["name", "sensor", "window"], "left_semi")
+    return listed.groupBy("sensor", "window").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("name").alias("names"))
 
 
 # ------------------------------------------------------------------ groups
-@query("kmeans_groups")
+@query("kmeans_groups", oracle("""
+WITH s AS (SELECT px_id, clase, e2 IS NULL AS gap FROM {samples} s),
+r AS (SELECT clase, CAST(row_number() OVER (ORDER BY count(*) DESC) AS INT) AS g FROM s WHERE NOT gap GROUP BY 1)
+SELECT px_id, CASE WHEN gap THEN 0 ELSE g END AS "group" FROM s JOIN r USING (clase)"""))
 def kmeans_groups(spark, sf_dir):
-    return K.kmeans_groups(samples(spark, sf_dir), NAMES, 4, 50_000, 1)
+    """Three groups set apart by class; the largest is 1 and incomplete pixels are 0."""
+    s = apart(spark, sf_dir).withColumn("e2", F.col("e2") + F.col("e1"))
+    return K.kmeans_groups(s, NAMES, 3, 50_000, 1)
 
 
 @query("group_profile", oracle("""
