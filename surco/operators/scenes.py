@@ -77,7 +77,11 @@ def contains_area(footprint: Column, area: Sequence[tuple[float, float]]) -> Col
             side(f["a"], f["b"], e["a"]) * side(f["a"], f["b"], e["b"]) < 0)
 
     crossing = F.exists(_edges(corners), lambda e: F.exists(ring, lambda f: cut(e, f)))
-    return F.coalesce(F.forall(corners, inside) & ~crossing, F.lit(False))
+    # most footprints fail on their box alone
+    xs, ys = [float(x) for x, _ in area], [float(y) for _, y in area]
+    fx, fy = F.transform(footprint, lambda p: p["x"]), F.transform(footprint, lambda p: p["y"])
+    boxed = (F.array_min(fx) <= min(xs)) & (F.array_max(fx) >= max(xs)) & (F.array_min(fy) <= min(ys)) & (F.array_max(fy) >= max(ys))
+    return F.when(boxed, F.coalesce(F.forall(corners, inside) & ~crossing, F.lit(False))).otherwise(False)
 
 
 def duplicates(scenes: DataFrame, area: Sequence[tuple[float, float]]) -> DataFrame:

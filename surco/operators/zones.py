@@ -161,7 +161,8 @@ def near_edges(points: DataFrame, edge_rows: DataFrame, distance: float, key: st
     dx = F.col("x2") - F.col("x1")
     left, right = F.col("gx") * size - distance, (F.col("gx") + 1) * size + distance
     at = lambda x: F.col("y1") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(x - F.col("x1"), dx))) * (F.col("y2") - F.col("y1"))
-    ya, yb = F.coalesce(at(left), F.col("y1")), F.coalesce(at(right), F.col("y2"))
+    upright = dx == 0
+    ya, yb = F.when(upright, F.col("y1")).otherwise(at(left)), F.when(upright, F.col("y2")).otherwise(at(right))
     boxed = by_x.select(key, "x1", "y1", "x2", "y2", "gx", F.explode(F.sequence(lo(ya, yb), hi(ya, yb))).alias("gy"))
     placed = points.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
     return placed.join(boxed, [key, "gx", "gy"]).filter(_distance(F.col("x"), F.col("y")) < distance).select(key, "px_id").distinct()

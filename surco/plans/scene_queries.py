@@ -19,7 +19,8 @@ AREA_BOX = (-98.03, 25.03, -97.83, 25.23)
 
 def pages(spark, sf_dir):
     """Catalogue pages as JSON text: every item comes twice, as on overlapping pages."""
-    f = view(spark, sf_dir, "scene_facts")
+    # the driver's table is one small file; a catalogue comes as many pages, so spread the rows
+    f = view(spark, sf_dir, "scene_facts").repartition("k")
     when, c, lit = F.when, F.col, F.lit
     s2, l = c("sensor") == "S2", c("l")
 
@@ -113,7 +114,7 @@ b AS (SELECT *, unnest(CASE WHEN NOT s2 THEN ['SR_B4', 'SR_B5', 'QA_PIXEL'] WHEN
 
 
 def bands(spark, sf_dir):
-    return scenes(spark, sf_dir).select("id", F.inline("bands"))
+    return scenes(spark, sf_dir).select("id", F.inline_outer("bands")).filter(F.col("band").isNotNull())
 
 
 @query("band_asset_resolve", with_cte(CTE_BANDS, """
@@ -124,7 +125,7 @@ def band_asset_resolve(spark, sf_dir):
     s = scenes(spark, sf_dir)
     found = F.transform("bands", lambda b: F.struct(b["band"].alias("band"), b["key"].alias("key")))
     absent = F.transform("missing", lambda m: F.struct(m.alias("band"), F.lit(None).cast("string").alias("key")))
-    return s.select("id", F.inline(F.concat(found, absent)))
+    return s.select("id", F.inline_outer(F.concat(found, absent)))
 
 
 @query("band_scale_offset", with_cte(CTE_BANDS, """

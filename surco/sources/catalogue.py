@@ -31,8 +31,9 @@ PAGE = f"features array<struct<{ITEM.replace(', ', ',').replace('id string', 'id
 def parse_pages(pages: DataFrame, text: str = "value") -> DataFrame:
     """Features of catalogue pages. ``pages``: page (order), source, value (JSON text)."""
     parsed = pages.select("page", "source", F.from_json(text, PAGE).alias("p"))
-    return parsed.select("page", "source", F.posexplode("p.features").alias("pos", "item")).select(
-        "page", "pos", "source", "item.*")
+    # the outer form: for the inner one Spark would parse once more to skip pages without items
+    rows = parsed.select("page", "source", F.posexplode_outer("p.features").alias("pos", "item"))
+    return rows.filter(F.col("item.id").isNotNull()).select("page", "pos", "source", "item.*")
 
 
 def _prop(name: str) -> Column:

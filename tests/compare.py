@@ -1,12 +1,18 @@
-"""Run registered queries on both engines and compare (development helper)."""
+"""Run registered queries on Spark and on DuckDB and compare rows.
+
+    python tests/compare.py [--sf=0.01] [--show] [name or prefix* ...]
+"""
+import os
 import sys
 import time
 
-import duckdb
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import duckdb  # noqa: E402
 
-import __spark_entry__ as entry
-from surco.session import build_session
-from surco.sources.adapters import TABLES
+import __spark_entry__ as entry  # noqa: E402
+from surco.session import build_session  # noqa: E402
+from surco.sources.adapters import TABLES  # noqa: E402
 
 
 def norm(v):
