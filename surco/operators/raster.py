@@ -88,7 +88,7 @@ def mapped_areas(zoned: DataFrame, px_ha: float) -> DataFrame:
     aggs = [(F.count_if(F.col("clase") == i) * px_ha).alias(f"{c}_ha") for i, c in enumerate(CLASSES, 1)]
     both = [[F.col("cvegeo"), F.col("modalidad")], [F.col("cvegeo")]]
     return rows.groupingSets(both, F.col("cvegeo"), F.col("modalidad")).agg(
-        *aggs, (F.count(F.lit(1)) * px_ha).alias("covered_ha"), F.grouping("modalidad").alias("is_total"))
+        *aggs, (F.count(F.lit(1)) * px_ha).alias("covered_ha"), F.grouping("modalidad").cast("int").alias("is_total"))
 
 
 def map_vs_official(areas: DataFrame, official: DataFrame, municipality_ha: DataFrame, cut: DataFrame,

@@ -51,7 +51,7 @@ refl AS (SELECT sensor, px_id, obs_date, tile_ord, """ + ", ".join(
 CTE_OBS = CTE_CLEAR + """,
 fv AS (SELECT sensor, px_id, obs_date, """ + ", ".join(
     f"arg_min({r}, tile_ord) FILTER (WHERE {r} IS NOT NULL) AS {r}" for r in ROLES) + """ FROM refl GROUP BY 1, 2, 3),
-obs AS (SELECT *, datediff('day', DATE '2024-01-01', obs_date) AS day,
+obs AS (SELECT *, CAST(datediff('day', DATE '2024-01-01', obs_date) AS INT) AS day,
   (nir - red) / nullif(nir + red, 0) AS NDVI, nir / nullif(green, 0) - 1 AS GCVI,
   CASE WHEN sensor = 'S2' THEN (nir8a - swir1) / nullif(nir8a + swir1, 0) ELSE (nir - swir1) / nullif(nir + swir1, 0) END AS NDMI,
   (swir1 - swir2) / nullif(swir1 + swir2, 0) AS NDTI,
