@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from surco.session import written_once
+
 OUT_OF_STAGE = "fuera_de_etapa"
 NAME_PATTERN = "^[A-Za-z0-9_-]+$"
 # The starting calendar.
@@ -134,7 +136,8 @@ def restage(manifest: DataFrame, files_present: DataFrame, stage_windows: DataFr
     a scene moves only if all its files are at the source and none at the destination.
     """
     rows = manifest.filter((F.col("status") == "ok") & (F.size("files") > 0)).withColumnRenamed("stage", "old_stage")
-    staged = stage_assign(rows, stage_windows, "obs_date", keys).withColumnRenamed("stage", "new_stage")
+    # one row per scene, read by the clash, the loss and the final report
+    staged = written_once(stage_assign(rows, stage_windows, "obs_date", keys).withColumnRenamed("stage", "new_stage"))
     listed = staged.filter(F.col("new_stage") != F.col("old_stage")).select(
         "scene_id", F.concat_ws("/", "old_stage", "sensor").alias("source"),
         F.concat_ws("/", "new_stage", "sensor").alias("target"), F.explode("files").alias("file"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surco.functions.text import slug, whole_percent
+from surco.session import written_once
 
 # Fixed values.
 CROPS_DEFAULT = ("Maíz grano", "Sorgo grano")
@@ -143,7 +144,7 @@ def cycle_profiles(rows: DataFrame, crops: Sequence[str] = CROPS_DEFAULT, min_ha
                    emergence: int = EMERGENCE_DAYS, maturity: int = MATURITY_DAYS) -> DataFrame:
     """One row per (municipality, regime, cycle): report line, stages, dates, dates per crop, warnings."""
     keys = ("cvegeo", "modalidad", "ciclo")
-    dates = cycle_dates(series_profile(rows, crops))
+    dates = written_once(cycle_dates(series_profile(rows, crops)))  # one row per series, read twice
     areas = dates.groupBy(*keys).agg(
         F.median("sembrada").alias("area"),
         F.sort_array(F.collect_list(F.struct("anio", "warnings"))).alias("by_year"))
@@ -292,7 +293,8 @@ def progress_summary(rows: DataFrame, regimes: Sequence[str], crops: Sequence[st
     series = series_map(select_rows(rows, regimes, crops), ("cvegeo",))
     if cut is not None:
         series = series.filter(F.col("fecha") <= cut)
-    state = cycle_state(rows)
+    # monthly sums per municipality: small, and read by the closing and both curves
+    series, state = written_once(series), cycle_state(rows)
     last = closing(series, keys)
     out = last.select(
         *keys, "fecha", *MAP_VARIABLES,

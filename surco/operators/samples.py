@@ -11,6 +11,7 @@ from surco.functions.text import class_guess
 from surco.operators import zones as Z
 from surco.operators.raster import CLASSES
 from surco.operators.ranks import first_n
+from surco.session import written_once
 
 HEADER = ("grupo", "clase", "fila", "col")
 
@@ -36,8 +37,9 @@ def extract(pixels: DataFrame, vertices: DataFrame, mapping: DataFrame, res: flo
     polygons, points = known.filter("kind = 'polygon'"), known.filter("kind = 'point'")
     outline = Z.edges(polygons, ("field_ord",))
     grid = pixels.select("px_id", "fila", "col", "x", "y")
-    inside = Z.point_in_polygon(grid, outline, res, ("field_ord",))
+    inside = Z.point_in_polygon(grid, outline, res, ("field_ord",)).select("field_ord", "px_id", "x", "y")
     if inner_buffer > 0:
+        inside = written_once(inside)  # read by both sides of the buffer test
         inside = inside.join(Z.near_edges(inside, outline, inner_buffer, "field_ord"), ["field_ord", "px_id"], "left_anti")
     radius = max(point_radius, res * 0.01)
     cell = lambda c: F.floor(F.col(c) / res).cast("int")
@@ -50,7 +52,7 @@ def extract(pixels: DataFrame, vertices: DataFrame, mapping: DataFrame, res: flo
     dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
     touched = under.filter(F.sqrt(dx * dx + dy * dy) <= radius)
     hits = inside.select("field_ord", "px_id").unionByName(touched.select("field_ord", "px_id"))
-    taken = hits.groupBy("px_id").agg(F.max("field_ord").alias("field_ord"))
+    taken = written_once(hits.groupBy("px_id").agg(F.max("field_ord").alias("field_ord")))
     # fields left without a pixel
     left = info.select("field_ord").join(taken.select("field_ord").distinct(), "field_ord", "left_anti")
     middle = polygons.groupBy("field_ord").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))

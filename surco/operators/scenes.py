@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surco.functions import bands as B
+from surco.session import written_once
 from surco.sources.catalogue import LANDSAT_PLATFORMS
 
 # Columns of the scene log.
@@ -52,18 +53,19 @@ def _crosses(a: Column, b: Column, px: Column, py: Column) -> Column:
 
 
 def _edges(ring: Column) -> Column:
-    n = F.size(ring)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
-        F.get(ring, i).alias("a"), F.get(ring, F.pmod(i + 1, n)).alias("b")))
+    """Edges of a ring of corners; the last corner closes on the first."""
+    after = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, F.lit(1), F.lit(1)))
+    return F.zip_with(ring, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def contains_area(footprint: Column, area: Sequence[tuple[float, float]]) -> Column:
-    """Does the footprint hold the whole area: every corner inside and no edges crossing?
+def holds_area(scenes: DataFrame, area: Sequence[tuple[float, float]]) -> DataFrame:
+    """Add ``whole``: does the footprint hold the whole area (every corner inside, no edges crossing)?
 
-    Works on the few corners of one row; no join.
+    Works on the few corners of one row; no join. The edge list is its own column so that it
+    is built once per row.
     """
-    ring = _edges(footprint)
     corners = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in area])
+    ring = F.col("footprint_edges")
 
     def inside(p: Column) -> Column:
         hits = F.filter(ring, lambda e: _crosses(e["a"], e["b"], p["x"], p["y"]))
@@ -76,12 +78,14 @@ def contains_area(footprint: Column, area: Sequence[tuple[float, float]]) -> Col
         return (side(e["a"], e["b"], f["a"]) * side(e["a"], e["b"], f["b"]) < 0) & (
             side(f["a"], f["b"], e["a"]) * side(f["a"], f["b"], e["b"]) < 0)
 
-    crossing = F.exists(_edges(corners), lambda e: F.exists(ring, lambda f: cut(e, f)))
+    sides = F.array(*[F.struct(F.get(corners, i).alias("a"), F.get(corners, (i + 1) % len(area)).alias("b")) for i in range(len(area))])
+    crossing = F.exists(sides, lambda e: F.exists(ring, lambda f: cut(e, f)))
     # most footprints fail on their box alone
     xs, ys = [float(x) for x, _ in area], [float(y) for _, y in area]
-    fx, fy = F.transform(footprint, lambda p: p["x"]), F.transform(footprint, lambda p: p["y"])
+    fx, fy = F.transform(ring, lambda e: e["a"]["x"]), F.transform(ring, lambda e: e["a"]["y"])
     boxed = (F.array_min(fx) <= min(xs)) & (F.array_max(fx) >= max(xs)) & (F.array_min(fy) <= min(ys)) & (F.array_max(fy) >= max(ys))
-    return F.when(boxed, F.coalesce(F.forall(corners, inside) & ~crossing, F.lit(False))).otherwise(False)
+    whole = F.when(boxed, F.coalesce(F.forall(corners, inside) & ~crossing, F.lit(False))).otherwise(False)
+    return scenes.withColumn("footprint_edges", _edges(F.col("footprint"))).withColumn("whole", whole).drop("footprint_edges")
 
 
 def duplicates(scenes: DataFrame, area: Sequence[tuple[float, float]]) -> DataFrame:
@@ -90,7 +94,9 @@ def duplicates(scenes: DataFrame, area: Sequence[tuple[float, float]]) -> DataFr
     The keeper is the first such tile in name order, found by an aggregate that combines on
     the map side; one keeper row per pass joins back, and a hot pass is split by AQE.
     """
-    marked = scenes.select("id", "sensor", "datatake", "tile", contains_area(F.col("footprint"), area).alias("whole"))
+    # parsed once, read for the keepers and for their repeats
+    seen = holds_area(scenes.select("id", "sensor", "datatake", "tile", "footprint"), area)
+    marked = written_once(seen.drop("footprint"))
     order = F.when(F.col("whole"), F.struct("tile", "id"))
     keepers = marked.groupBy("sensor", "datatake").agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("keeper")).filter((F.col("n") >= 2) & F.col("keeper").isNotNull())

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only settings every job relies on; sizes and memory belong to the cluster.
 SETTINGS = {
@@ -42,6 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """The table kept in the shared folder, for results that several later steps read.
+
+    A reliable checkpoint: a lost executor costs a re-read, not a recomputation.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
