@@ -25,11 +25,11 @@ FENCE = 3
 LEAD_BITS = 6
 #: Metric: (its value, the least spread its fence is built with, whether it has a lower fence).
 METRICS = {
-    "symbols": ("1000 * n_symbols div n_words", 30, False),
-    "capitals": ("1000 * n_capitals div word_chars", 50, False),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", 60, False),
-    "repeats": ("1000 * n_repeat_words div n_words", 40, False),
-    "word_size": ("100 * word_chars div n_words", 60, True),
+    "symbols": ("1000 * n_symbols div nullif(n_words, 0)", 30, False),
+    "capitals": ("1000 * n_capitals div nullif(word_chars, 0)", 50, False),
+    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 60, False),
+    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 40, False),
+    "word_size": ("100 * word_chars div nullif(n_words, 0)", 60, True),
 }
 
 
