@@ -27,8 +27,8 @@ LEAD_BITS = 6
 METRICS = {
     "symbols": ("1000 * n_symbols div nullif(n_words, 0)", 30, False),
     "capitals": ("1000 * n_capitals div nullif(word_chars, 0)", 50, False),
-    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 60, False),
-    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 40, False),
+    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 150, False),
+    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 70, False),
     "word_size": ("100 * word_chars div nullif(n_words, 0)", 60, True),
 }
 
