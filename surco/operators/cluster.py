@@ -9,38 +9,31 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surco.session import written_once
+
 # Fixed values.
 RESTARTS = 4
 MAX_ITERATIONS = 100
 TOLERANCE = 1e-4
-SAMPLE_ROWS = 50_000
 CODE_NAMES = ("sin_curva", "maiz", "sorgo", "ambos", "ninguno", "incompleta")
 
 
-def sample_rows(df: DataFrame, n: int, total: int, seed: int, id_col: str = "px_id") -> DataFrame:
-    """A random sample of ``n`` rows: a hash keeps about 3n of them, then the first n in hash order."""
-    if total <= n:
-        return df
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    keep = min(1.0, 3.0 * n / total)
-    return df.filter(F.pmod(h, F.lit(1 << 20)) < int(keep * (1 << 20)) + 1).orderBy(h, id_col).limit(n)
-
-
-def kmeans_groups(pixels: DataFrame, names: Sequence[str], k: int = 8, sample_n: int = SAMPLE_ROWS, seed: int = 0) -> DataFrame:
-    """(px_id, group): 1 is the largest group of the sample, 0 a pixel with a missing variable.
+def kmeans_groups(pixels: DataFrame, names: Sequence[str], k: int = 8, seed: int = 0) -> DataFrame:
+    """(px_id, group): 1 is the largest group, 0 a pixel with a missing variable.
 
-    Variables are scaled by the sample's mean and spread; the best of several starts is kept.
+    All complete pixels take part. Variables are scaled by their mean and spread; the best of several starts is
+    kept. The pixels are read once: counts, starts and assignment read the written copies.
     """
     clean = pixels.select("px_id", *[F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")).alias(n) for n in names])
+    clean = written_once(clean)
     complete = clean.dropna(subset=list(names))
-    total = complete.count()
-    if total < 10 * k:
-        raise ValueError(f"too few complete pixels ({total})")
-    sample = sample_rows(complete, sample_n, total, seed)
-    stats = sample.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).first()
+    stats = complete.agg(F.count(F.lit(1)).alias("total"), *[F.avg(n).alias(f"m_{n}") for n in names],
+                         *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).first()
+    if stats["total"] < 10 * k:
+        raise ValueError(f"too few complete pixels ({stats['total']})")
     z = {n: (F.col(n) - stats[f"m_{n}"]) / (stats[f"s_{n}"] or 1.0) for n in names}
     vectors = VectorAssembler(inputCols=list(names), outputCol="features")
-    train = vectors.transform(sample.withColumns(z)).select("px_id", "features")
+    train = written_once(vectors.transform(complete.withColumns(z)).select("px_id", "features"))
     best = min((KMeans(k=k, seed=seed + i, maxIter=MAX_ITERATIONS, tol=TOLERANCE).fit(train) for i in range(RESTARTS)),
                key=lambda m: m.summary.trainingCost)
     sizes = best.summary.clusterSizes
@@ -48,7 +41,7 @@ def kmeans_groups(pixels: DataFrame, names: Sequence[str], k: int = 8, sample_n:
     number = F.lit(0)
     for rank, c in enumerate(order, 1):
         number = F.when(F.col("prediction") == c, rank).otherwise(number)
-    assigned = best.transform(vectors.transform(complete.withColumns(z))).select("px_id", number.alias("group"))
+    assigned = best.transform(train).select("px_id", number.alias("group"))
     rest = clean.filter(" OR ".join(f"`{n}` IS NULL" for n in names)).select("px_id", F.lit(0).alias("group"))
     return assigned.unionByName(rest)
 

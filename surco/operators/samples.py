@@ -16,10 +16,9 @@ from surco.session import written_once
 HEADER = ("grupo", "clase", "fila", "col")
 
 
-def class_mapping(labels: DataFrame, label: str = "etiqueta", limit: int = 200) -> DataFrame:
-    """The first distinct label values, each with its guessed class (the mapping table a user edits)."""
-    return labels.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("value")).distinct().orderBy(
-        "value").limit(limit).withColumn("clase", class_guess(F.col("value")))
+def class_mapping(labels: DataFrame, label: str = "etiqueta") -> DataFrame:
+    """The distinct label values, each with its guessed class (the mapping table a user edits)."""
+    return labels.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("value")).distinct().withColumn("clase", class_guess(F.col("value")))
 
 
 def extract(pixels: DataFrame, vertices: DataFrame, mapping: DataFrame, res: float, inner_buffer: float = 10.0,

@@ -321,7 +321,7 @@ SELECT px_id, CASE WHEN gap THEN 0 ELSE g END AS "group" FROM s JOIN r USING (cl
 def kmeans_groups(spark, sf_dir):
     """Three groups set apart by class; the largest is 1 and incomplete pixels are 0."""
     s = apart(spark, sf_dir).withColumn("e2", F.col("e2") + F.col("e1"))
-    return K.kmeans_groups(s, NAMES, 3, 50_000, 1)
+    return K.kmeans_groups(s, NAMES, 3, 1)
 
 
 @query("group_profile", oracle("""

@@ -15,7 +15,6 @@ SOURCES = {
     "es-ls": (B.LANDSAT, "landsat-c2-l2", "aws-rp"),
 }
 LANDSAT_PLATFORMS = ("landsat-8", "landsat-9")
-MAX_ITEMS = 2000
 HREF = "struct<href:string>"
 ASSET = (f"struct<href:string,`raster:bands`:array<struct<scale:double,offset:double>>,"
          f"alternate:struct<s3:{HREF},https:{HREF}>,`eo:bands`:array<struct<name:string>>>")
@@ -52,7 +51,7 @@ def s2_tile() -> Column:
     """Grid square of an optical scene, from the first of five places that has it."""
     zone = F.when(_prop("mgrs:utm_zone").isNotNull(), F.concat(
         _prop("mgrs:utm_zone"), F.coalesce(_prop("mgrs:latitude_band"), F.lit("")), F.coalesce(_prop("mgrs:grid_square"), F.lit(""))))
-    code = F.when(_prop("grid:code").startswith("MGRS-"), F.substring(_prop("grid:code"), 6, 100))
+    code = F.when(_prop("grid:code").startswith("MGRS-"), F.regexp_replace(_prop("grid:code"), "^MGRS-", ""))
     return F.coalesce(_blank(_prop("s2:mgrs_tile")), zone, code,
                       _blank(F.regexp_extract("id", r"_T(\d{2}[A-Z]{3})(_|$)", 1)), _id_part(1), F.lit("?"))
 

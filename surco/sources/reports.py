@@ -70,7 +70,7 @@ def with_rows(headed: DataFrame) -> DataFrame:
         pairs = F.arrays_zip(attrs.alias("a"), texts.alias("t"))
         words = F.transform(F.filter(pairs, lambda c: ~c["a"].contains("tdNum")), lambda c: strip_markup(c["t"]))
         nums = F.transform(F.filter(pairs, lambda c: c["a"].contains("tdNum")), lambda c: number(strip_markup(c["t"])))
-        return F.struct(F.slice(words, 2, 1000).alias("w"), nums.alias("n"))
+        return F.struct(F.slice(words, F.lit(2), F.size(words)).alias("w"), nums.alias("n"))
 
     usable = F.filter(F.transform(trs, cells), lambda c: (F.size(c["n"]) >= 5) & (F.size(c["w"]) > 0))
     rows = headed.select("*", F.explode_outer(usable).alias("cell")).drop("block")

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 def write_features(long: DataFrame, path: str, parameters: dict) -> None:
     """Variables partitioned by sensor and window, the catalogue of names, and the run's parameters.
 
-    The partitions follow the way variables are read: a model asks for some windows of a sensor.
+    The partitions follow the way variables are read: a model asks for some windows of a sensor. Rows are
+    rebalanced, so the size of the data decides how many files a partition gets.
     """
     spark = long.sparkSession
-    long.select("sensor", "window", "px_id", "name", "variable", "value").repartition("sensor", "window", F.pmod(F.hash("px_id"), F.lit(64))).write.partitionBy(
+    long.select("sensor", "window", "px_id", "name", "variable", "value").hint("rebalance", "sensor", "window").write.partitionBy(
         "sensor", "window").parquet(f"{path}/variables")
     back = spark.read.parquet(f"{path}/variables")
     back.select("name", "sensor", "window", "variable").distinct().write.parquet(f"{path}/catalogue")
