@@ -71,9 +71,14 @@ def strip_markup(text: Column) -> Column:
     return collapse(unescape(bare))
 
 
+#: A decimal number; a cast alone would also read type suffixes such as ``1d``.
+NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+
+
 def number(text: Column) -> Column:
     """``1,234.50`` to a double; anything else to NULL."""
-    return F.trim(F.replace(text, F.lit(","), F.lit(""))).try_cast("double")
+    plain = F.trim(F.replace(text, F.lit(","), F.lit("")))
+    return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
 
 
 def spanish_date(text: Column) -> Column:

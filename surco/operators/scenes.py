@@ -19,7 +19,7 @@ MANIFEST = ("scene_id", "sensor", "source", "collection", "date", "datetime", "t
 
 def search(scenes: DataFrame, bbox: Sequence[float] | None = None, date_from: str | None = None, date_to: str | None = None,
            max_cloud: float = 60, max_items: int | None = None) -> DataFrame:
-    """Scenes in a box and period; an unknown cloud share passes; only current platforms of the second sensor."""
+    """Scenes in a box and period; an unknown cloud share or footprint passes; only current platforms of the second sensor."""
     keep = F.col("cloud_tile").isNull() | (F.col("cloud_tile") <= max_cloud)
     keep = keep & ((F.col("sensor") == B.S2) | F.col("platform").isin(*LANDSAT_PLATFORMS))
     if date_from:
@@ -28,7 +28,8 @@ def search(scenes: DataFrame, bbox: Sequence[float] | None = None, date_from: st
         keep = keep & (F.col("date") <= date_to)
     if bbox:
         x, y = F.transform("footprint", lambda p: p["x"]), F.transform("footprint", lambda p: p["y"])
-        keep = keep & (F.array_max(x) >= bbox[0]) & (F.array_min(x) <= bbox[2]) & (F.array_max(y) >= bbox[1]) & (F.array_min(y) <= bbox[3])
+        keep = keep & (F.col("footprint").isNull() | (
+            (F.array_max(x) >= bbox[0]) & (F.array_min(x) <= bbox[2]) & (F.array_max(y) >= bbox[1]) & (F.array_min(y) <= bbox[3])))
     found = scenes.filter(keep)
     return sort(found).limit(max_items) if max_items else found
 

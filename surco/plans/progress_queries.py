@@ -88,11 +88,11 @@ SELECT cvegeo, anio, ciclo, modalidad, cultivo, CAST(fecha AS VARCHAR) AS fecha,
 FROM {crop_progress} p UNION ALL
 SELECT DISTINCT cvegeo, anio, ciclo, modalidad, 'Otro grano', CAST(fecha AS VARCHAR), -1e0 FROM {crop_progress} q WHERE month(fecha) = 3"""))
 def merge_last_wins(spark, sf_dir):
-    base = progress(spark, sf_dir).select(*SRC.KEY, "sembrada")
+    base = progress(spark, sf_dir).select(*SRC.KEY, "sembrada", F.lit(0).alias("line"))
     march = base.filter(F.month("fecha") == 3).withColumn("sembrada", F.lit(-1.0))
     new = march.withColumn("cultivo", F.lit("Otro grano")).distinct()
     irrigated = march.filter(F.col("modalidad") == "riego").withColumn("sembrada", F.lit(-2.0))
-    return rounded(SRC.merge_last_wins([base, march.unionByName(new), irrigated]), ())
+    return rounded(SRC.merge_last_wins([base, march.unionByName(new), irrigated], "line").drop("line"), ())
 
 
 # ------------------------------------------------------------------ profile family

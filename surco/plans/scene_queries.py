@@ -144,7 +144,7 @@ def asset_href(spark, sf_dir):
 
 
 FILTER = """coalesce(cloud <= 60, TRUE) AND (s2 OR platform IN ('landsat-8', 'landsat-9')) AND day >= '1993-01-01' AND day <= '1997-12-31'
- AND k % 10 <> 9 AND x0 <= -97.83e0 AND x0 + 1 >= -98.03e0 AND y0 <= 25.23e0 AND y0 + 1 >= 25.03e0"""
+ AND (k % 10 = 9 OR x0 <= -97.83e0 AND x0 + 1 >= -98.03e0 AND y0 <= 25.23e0 AND y0 + 1 >= 25.03e0)"""
 
 
 @query("scene_filter", with_cte(CTE, f"SELECT id, source, day AS date, cloud AS cloud_tile FROM dt WHERE {FILTER}"))

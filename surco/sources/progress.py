@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surco.functions.text import norm_name
+from surco.functions.text import NUMBER, norm_name
 
 # Labels in the export.
 CYCLE_LABELS = {"Otoño - Invierno": "OI", "Primavera - Verano": "PV"}
@@ -34,7 +34,7 @@ def _code(column: str, labels: dict[str, str]) -> Column:
 def _amount(column: str) -> Column:
     """Blank counts as zero, anything unreadable as NULL."""
     text = F.trim(F.coalesce(F.col(column), F.lit("")))
-    return F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
+    return F.when(text == "", F.lit(0.0)).otherwise(F.when(text.rlike(NUMBER), text.try_cast("double")))
 
 
 def with_municipality(raw: DataFrame, names: DataFrame) -> DataFrame:
@@ -89,16 +89,16 @@ def require_rows(df: DataFrame) -> DataFrame:
     return df
 
 
-def merge_last_wins(parts: list[DataFrame], key=KEY, order_col: str | None = None) -> DataFrame:
+def merge_last_wins(parts: list[DataFrame], order_col: str, key=KEY) -> DataFrame:
     """Rows of later parts replace those with the same key; within a part the larger ``order_col`` wins.
 
-    ``max_by`` combines on the map side, so any number of copies of a key reduces before the shuffle.
+    Equal places are settled by the rows' values. The maximum combines on the map side, so any number of
+    copies of a key reduces before the shuffle.
     """
-    inner = F.col(order_col) if order_col else F.lit(0)
     tagged = None
     for i, part in enumerate(parts):
-        rows = part.withColumn("merge_order", F.struct(F.lit(i).alias("part"), inner.alias("row")))
+        rows = part.withColumn("merge_order", F.struct(F.lit(i).alias("part"), F.col(order_col).alias("row")))
         tagged = rows if tagged is None else tagged.unionByName(rows)
     others = [c for c in tagged.columns if c not in (*key, "merge_order")]
-    best = tagged.groupBy(*key).agg(F.max_by(F.struct(*others), F.col("merge_order")).alias("row"))
-    return best.select(*key, "row.*")
+    best = tagged.groupBy(*key).agg(F.max(F.struct("merge_order", *others)).alias("row"))
+    return best.select(*key, *[F.col("row")[c].alias(c) for c in others])

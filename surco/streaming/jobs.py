@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from surco.operators.calendar import stage_assign
 from surco.sources.progress import KEY
@@ -11,48 +12,56 @@ from surco.sources.progress import KEY
 PARTITIONS = ("ciclo", "anio")
 
 
-def upsert_batch(batch: DataFrame, table: str, order_col: str = "load_ord") -> None:
-    """Merge new cuts into the table at ``table``; on equal keys the larger ``order_col`` wins.
+def upsert_batch(batch: DataFrame, batch_id: int, table: str, order_col: str = "load_ord") -> None:
+    """Add the cuts of one batch to the table at ``table``, one row per key.
 
-    Only the (cycle, year) partitions the batch touches are read and rewritten. Replaying a
-    batch gives the same table, so a retry after a failure is harmless.
+    Every batch has a folder of its own and nothing that is stored is touched. A batch that is replayed after a
+    failure writes its folder anew with the same rows.
     """
-    spark = batch.sparkSession
-    if batch.isEmpty():
-        return
-    rows = batch
-    if _exists(spark, table):
-        touched = batch.select(*PARTITIONS).distinct()
-        stored = spark.read.schema(batch.schema).parquet(table)
-        rows = batch.unionByName(stored.join(touched, list(PARTITIONS), "left_semi"))
-    others = [c for c in rows.columns if c not in KEY]
-    best = rows.groupBy(*KEY).agg(F.max_by(F.struct(*others), F.col(order_col)).alias("row")).select(*KEY, "row.*")
-    best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(table)
+    if not batch.isEmpty():
+        last_rows(batch, [order_col]).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{table}/batch={batch_id}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def last_rows(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The last row of each key by ``order``, equal places settled by the rows' values."""
+    others = [c for c in rows.columns if c not in (*KEY, *order)]
+    best = rows.groupBy(*KEY).agg(F.max(F.struct(*order, *others)).alias("row"))
+    return best.select(*KEY, *[F.col("row")[c].alias(c) for c in rows.columns if c not in KEY])
+
+
+def current_cuts(spark: SparkSession, schema: StructType, table: str, order_col: str = "load_ord") -> DataFrame:
+    """The table as it stands: of each key the row with the larger ``order_col``, then of the later batch."""
+    stored = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", table).parquet(table)
+    return last_rows(stored, [order_col, "batch"]).drop("batch")
 
 
 def progress_upsert(source: DataFrame, table: str, checkpoint: str, available_now: bool = True):
     """Start the upsert of a stream of typed progress rows (with ``load_ord``) into ``table``."""
-    writer = (source.writeStream.foreachBatch(lambda batch, _: upsert_batch(batch, table))
+    writer = (source.writeStream.foreachBatch(lambda batch, batch_id: upsert_batch(batch, batch_id, table))
               .option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
 
 
-def staged_scenes(log: DataFrame, stage_windows: DataFrame, keys=("cycle", "year"), delay: str = "30 days") -> DataFrame:
-    """New log records with their stage, each scene once within ``delay`` of its acquisition time.
+def stage_batch(batch: DataFrame, batch_id: int, stage_windows: DataFrame, sink: str, keys=("cycle", "year")) -> None:
+    """Stage the records of scenes that no earlier batch stored, each scene once, in the batch's own folder.
 
-    ``log``: scene_id, obs_time, obs_date and the calendar keys. The calendar is a static table.
+    Scenes of any age are taken: what counts is the id, not the acquisition time. A replay writes the same rows.
     """
-    fresh = log.withWatermark("obs_time", delay).dropDuplicatesWithinWatermark(["scene_id"])
-    return stage_assign(fresh, stage_windows, "obs_date", list(keys))
+    spark = batch.sparkSession
+    once = batch.groupBy("scene_id").agg(F.min(F.struct(*[c for c in batch.columns if c != "scene_id"])).alias("r")).select("scene_id", "r.*")
+    if _exists(spark, sink):
+        stored = spark.read.parquet(sink).filter(F.col("batch") != batch_id).select("scene_id")
+        once = once.join(stored, "scene_id", "left_anti")
+    stage_assign(once, stage_windows, "obs_date", list(keys)).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
 
+def manifest_stage(log: DataFrame, stage_windows: DataFrame, sink: str, checkpoint: str, keys=("cycle", "year")):
+    """Add staged records of new scenes (scene_id, obs_date and the calendar keys) to ``sink``."""
+    return (log.writeStream.foreachBatch(lambda batch, batch_id: stage_batch(batch, batch_id, stage_windows, sink, keys))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
-def manifest_stage(log: DataFrame, stage_windows: DataFrame, sink: str, checkpoint: str, keys=("cycle", "year"), delay: str = "30 days"):
-    """Append staged, deduplicated records to a Parquet sink."""
-    return (staged_scenes(log, stage_windows, keys, delay).writeStream.outputMode("append").format("parquet")
-            .option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
