@@ -137,9 +137,9 @@ def tile_first_valid(spark, sf_dir):
 
 
 @query("spectral_indices", with_cte(CTE_OBS, "SELECT sensor, px_id, day, " + ", ".join(
-    f"round({i}, 6) + 0e0 AS {i}" for i in B.INDICES) + " FROM obs"))
+    f"round({i}, 9) + 0e0 AS {i}" for i in B.INDICES) + " FROM obs"))
 def spectral_indices(spark, sf_dir):
-    return rounded(observations(spark, sf_dir).select("sensor", "px_id", "day", *B.INDICES), ())
+    return rounded(observations(spark, sf_dir).select("sensor", "px_id", "day", *B.INDICES), (), 9)
 
 
 @query("index_availability", oracle("""
@@ -168,7 +168,7 @@ def mosaic(spark, sf_dir):
         "res": F.when(B.is_s2(F.col("sensor")), 10).otherwise(30),
         "crs": F.when(B.is_s2(F.col("sensor")) & (F.day("obs_date") % 4 == 0) & (F.col("tile") == "T2"), "32615")
         .otherwise("32614")})
-    return rounded(O.mosaic(tiles, ["mask", "dn_nir", "dn_swir2"]), ())
+    return rounded(O.mosaic(tiles, ["mask", "dn_nir", "dn_swir2"]), (), 9)
 
 
 # ------------------------------------------------------------------ scenes on their mask
@@ -188,12 +188,12 @@ def scene_masks(spark, sf_dir):
 @query("scene_cover_clear", with_cte(CTE_STATS + """,
 h AS (SELECT scene_id, string_agg(CAST(mask AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY mask) AS hist
   FROM (SELECT scene_id, mask, count(*) AS n FROM dn GROUP BY 1, 2) GROUP BY 1)""", """
-SELECT scene_id, sensor, n_px, round(cover, 6) AS cover, round(clear, 6) AS clear, CASE WHEN sensor = 'S2' THEN hist
+SELECT scene_id, sensor, n_px, round(cover, 9) AS cover, round(clear, 9) AS clear, CASE WHEN sensor = 'S2' THEN hist
   ELSE 'data:' || n_data || ',clear:' || n_clear END AS mask_hist FROM cc JOIN h USING (scene_id)"""))
 def scene_cover_clear(spark, sf_dir):
     stats = O.scene_cover_clear(scene_masks(spark, sf_dir), 90.0)
     text = F.array_join(F.transform(F.map_entries("mask_hist"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
-    return rounded(stats.withColumn("mask_hist", text), ())
+    return rounded(stats.withColumn("mask_hist", text), (), 9)
 
 
 @query("scene_screen", with_cte(CTE_STATS, """
@@ -206,9 +206,9 @@ def scene_screen(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ the curve
-@query("curve_despike", with_cte(CTE_DESPIKE, "SELECT sensor, px_id, day, round(NDVI, 6) AS NDVI FROM clean"))
+@query("curve_despike", with_cte(CTE_DESPIKE, "SELECT sensor, px_id, day, round(NDVI, 9) AS NDVI FROM clean"))
 def curve_despike(spark, sf_dir):
-    return rounded(C.despike(observations(spark, sf_dir)), ())
+    return rounded(C.despike(observations(spark, sf_dir)), (), 9)
 
 
 @query("curve_gate", with_cte(CTE_GATE, "SELECT sensor, px_id, any_value(n_valid) AS n_valid, any_value(t0) AS t0, "
@@ -223,23 +223,23 @@ def resampled(spark, sf_dir):
     return C.resample(C.gate(C.despike(obs), C.season_axis(obs)), STEP)
 
 
-@query("curve_resample", with_cte(CTE_GRID, "SELECT sensor, px_id, day, round(g, 6) + 0e0 AS g FROM grid"))
+@query("curve_resample", with_cte(CTE_GRID, "SELECT sensor, px_id, day, round(g, 9) + 0e0 AS g FROM grid"))
 def curve_resample(spark, sf_dir):
-    return rounded(resampled(spark, sf_dir).select("sensor", "px_id", "day", "g"), ())
+    return rounded(resampled(spark, sf_dir).select("sensor", "px_id", "day", "g"), (), 9)
 
 
-@query("curve_smooth", with_cte(CTE_SMOOTH, "SELECT sensor, px_id, day, round(s, 6) + 0e0 AS s FROM curve"))
+@query("curve_smooth", with_cte(CTE_SMOOTH, "SELECT sensor, px_id, day, round(s, 9) + 0e0 AS s FROM curve"))
 def curve_smooth(spark, sf_dir):
-    return rounded(C.smooth(resampled(spark, sf_dir)).select("sensor", "px_id", "day", "s"), ())
+    return rounded(C.smooth(resampled(spark, sf_dir)).select("sensor", "px_id", "day", "s"), (), 9)
 
 
 def _metric_query(name: str, columns: tuple[str, ...]) -> None:
     days = ("DIAsube50", "DIAmax", "DIAbaja50", "DUR50", "DIASsubemax")
-    cols = ", ".join(f"CAST({c} AS INT) AS {c}" if c in days else f"round({c}, 6) + 0e0 AS {c}" for c in columns)
+    cols = ", ".join(f"CAST({c} AS INT) AS {c}" if c in days else f"round({c}, 9) + 0e0 AS {c}" for c in columns)
 
     @query(name, with_cte(CTE_METRICS, f"SELECT sensor, px_id, {cols} FROM met"))
     def run(spark, sf_dir):
-        return rounded(curve(spark, sf_dir).select("sensor", "px_id", *columns), ())
+        return rounded(curve(spark, sf_dir).select("sensor", "px_id", *columns), (), 9)
 
 
 _metric_query("curve_metrics", C.SHAPE_METRICS + C.DATE_METRICS)
@@ -267,9 +267,9 @@ rel AS (SELECT sensor, px_id, win, """ + ", ".join(f"median({v}) FILTER (WHERE o
 
 
 @query("relative_window_median", with_cte(CTE_REL, "SELECT sensor, px_id, win AS \"window\", " + ", ".join(
-    f"round({v}, 6) + 0e0 AS {v}" for v in VARS) + ", nobs FROM rel"))
+    f"round({v}, 9) + 0e0 AS {v}" for v in VARS) + ", nobs FROM rel"))
 def relative_window_median(spark, sf_dir):
-    return rounded(relative(spark, sf_dir), ())
+    return rounded(relative(spark, sf_dir), (), 9)
 
 
 STAGE_SQL = "CASE " + " ".join(
@@ -282,10 +282,10 @@ def staged(spark, sf_dir):
 
 
 @query("fixed_stage_median", with_cte(CTE_OBS, f"SELECT sensor, px_id, {STAGE_SQL} AS stage, " + ", ".join(
-    f"round(median({v}), 6) + 0e0 AS {v}" for v in VARS) + ", count(NDVI) AS nobs FROM obs WHERE " + STAGE_SQL
+    f"round(median({v}), 9) + 0e0 AS {v}" for v in VARS) + ", count(NDVI) AS nobs FROM obs WHERE " + STAGE_SQL
     + " <> 'fuera_de_etapa' GROUP BY 1, 2, 3"))
 def fixed_stage_median(spark, sf_dir):
-    return rounded(C.fixed_medians(staged(spark, sf_dir), VARS, [s[0] for s in STAGES["OI"]]), ())
+    return rounded(C.fixed_medians(staged(spark, sf_dir), VARS, [s[0] for s in STAGES["OI"]]), (), 9)
 
 
 @query("nobs", with_cte(CTE_REL, "SELECT sensor, win AS \"window\", nobs, count(*) AS pixels FROM rel GROUP BY 1, 2, 3"))
@@ -360,8 +360,8 @@ def variable_presets(spark, sf_dir):
 
 
 @query("features_wide", with_cte(CTE_LONG, "SELECT px_id, " + ", ".join(
-    f"round(max(value) FILTER (WHERE name = '{n}'), 6) + 0e0 AS {n}" for n in (
+    f"round(max(value) FILTER (WHERE name = '{n}'), 9) + 0e0 AS {n}" for n in (
         "S2_REL2_maximo_NDVI", "LS_REL2_maximo_NDVI", "S2_FEN_NDVImax")) + " FROM long GROUP BY 1"))
 def features_wide(spark, sf_dir):
     names = ["S2_REL2_maximo_NDVI", "LS_REL2_maximo_NDVI", "S2_FEN_NDVImax"]
-    return rounded(C.features_wide(all_features(spark, sf_dir), names), ())
+    return rounded(C.features_wide(all_features(spark, sf_dir), names), (), 9)

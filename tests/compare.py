@@ -21,7 +21,7 @@ def norm(v):
     if isinstance(v, bool):
         return (0, str(int(v)))
     if isinstance(v, float):
-        return (0, repr(round(v, 5) + 0.0))
+        return (0, repr(v + 0.0))
     if isinstance(v, int):
         return (0, str(v))
     return (0, str(v))

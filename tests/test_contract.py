@@ -10,15 +10,9 @@ import __spark_entry__ as contract
 from surco.sources.adapters import TABLES
 
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
-# One or two of each family by default; ALL_QUERIES=1 runs every query, as tests/compare.py does.
-CORE = """accuracy_scores best_threshold calendar_validate calendar_windows class_areas class_guess class_histogram clear_mask closing
-coherence_code confusion_steps cumulative_crossing curve_metrics cutoffs cycle_state cycle_year_of_siap dn_to_reflectance field_median
-field_vote fixed_stage_median forward_selection fraction_curve grid_define group_folds group_profile index_availability jm_multivariate
-majority3x3 mark_manual merge_last_wins missing_sentinel mosaic official_sown pixel_window pixel_zones profile_names profile_validate
-reference_days references_from_sowing regrid relative_window_median report_check report_text request_plan rule_map sample_extract
-scene_cover_clear scene_duplicates scene_screen series_warnings slug snk_manifest_append src_progress_table src_samples_csv stage_assign
-stages_from_dates stream_progress_upsert threshold_confusion tile_first_valid unmatched_names value_at zone_shares""".split()
-NAMES = sorted(QUERIES) if os.environ.get("ALL_QUERIES") else CORE
+# Every query by default; CORE_QUERIES=1 leaves out those that train many models.
+SLOW = {"cross_validate", "permutation_importance", "rf_flat", "rf_hierarchical", "fit_final", "predict_map", "kmeans_groups", "pipeline"}
+NAMES = sorted(set(QUERIES) - SLOW) if os.environ.get("CORE_QUERIES") else sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
