@@ -53,7 +53,9 @@ SELECT cvegeo, trim(municipio) AS municipio, {TYPED}, coalesce(TRY_CAST(nullif(s
   CAST(produccion AS DOUBLE) AS produccion, CAST(anio_consulta AS INT) AS anio_consulta
 FROM tt WHERE aviso = '' AND cvegeo IS NOT NULL"""))
 def src_progress_full(spark, sf_dir):
-    rows = SRC.full_rows(text_file(spark, sf_dir), view(spark, sf_dir, "municipality"))
+    path = scratch_path(spark, "progress")
+    SRC.write_text(view(spark, sf_dir, "progress_text"), path)
+    rows = SRC.read_full(spark, path, view(spark, sf_dir, "municipality"))
     return rounded(rows.withColumn("municipio", F.trim("municipio")), ())
 
 

@@ -25,20 +25,24 @@ def import_calendars(calendars: DataFrame, name_col: str = "name") -> DataFrame:
     return calendars.withColumnRenamed(name_col, "profile")
 
 
+NAME_BLOCK = 4096  # numbers of a name that are sorted at once
+
+
 def free_names(incoming: DataFrame, stored: DataFrame, name_col: str = "profile") -> DataFrame:
     """Names not taken yet: a repeated one gets ``_2``, ``_3`` ... in order of ``import_ord``.
 
     Numbers already taken in the store are skipped, whichever they are.
     """
     taken = stored.select(name_col).distinct()
-    split = F.regexp_extract(name_col, "^(.*)_([0-9]+)$", 1), F.regexp_extract(name_col, "^(.*)_([0-9]+)$", 2)
-    numbers = taken.filter(split[0] != "").select(split[0].alias(name_col), split[1].cast("int").alias("k"))
-    exact = taken.select(name_col, F.lit(1).alias("k"))
-    # per base name: the suffixes in use (1 is the bare name)
-    used = exact.unionByName(numbers).groupBy(name_col).agg(F.collect_set("k").alias("used"))
-    blocks = incoming.withColumn("import_block", F.floor(F.col("import_ord") / 4096))
-    ranked = row_ranks(blocks, [name_col], ["import_block"], ["import_ord"], "copy").join(used, name_col, "left")
-    busy = F.coalesce("used", F.array().cast("array<int>"))
-    options = F.filter(F.sequence(F.lit(1), F.size(busy) + F.col("copy").cast("int")), lambda k: ~F.array_contains(busy, k))
-    k = F.element_at(options, F.col("copy").cast("int"))
-    return ranked.withColumn(name_col, F.when(k == 1, F.col(name_col)).otherwise(F.concat_ws("_", name_col, k.cast("string")))).drop("copy", "used", "import_block")
+    base, suffix = F.regexp_extract(name_col, "^(.*)_([0-9]+)$", 1), F.regexp_extract(name_col, "^(.*)_([0-9]+)$", 2)
+    numbers = taken.filter(base != "").select(base.alias(name_col), suffix.cast("bigint").alias("k"))
+    used = taken.select(name_col, F.lit(1).cast("bigint").alias("k")).unionByName(numbers).distinct()  # 1 is the bare name
+    block = lambda c: F.floor(F.col(c) / NAME_BLOCK)
+    # a taken number stands after as many free ones as are below it, so its place among the copies is known
+    held = row_ranks(used.withColumn("block", block("k")), [name_col], ["block"], ["k"], "i").select(
+        name_col, (F.col("k") - F.col("i")).alias("at"), F.lit(1).alias("late"))
+    asked = row_ranks(incoming.withColumn("block", block("import_ord")), [name_col], ["block"], ["import_ord"], "at").drop("block").withColumn("late", F.lit(0))
+    lined_up = asked.unionByName(held, allowMissingColumns=True).withColumn("block", block("at"))
+    numbered = row_ranks(lined_up, [name_col], ["block"], ["at", "late"], "k").filter("late = 0")
+    name = F.when(F.col("k") == 1, F.col(name_col)).otherwise(F.concat_ws("_", name_col, F.col("k").cast("string")))
+    return numbered.withColumn(name_col, name).drop("at", "late", "block", "k")

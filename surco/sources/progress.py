@@ -69,7 +69,13 @@ def typed_rows(raw: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return rows.filter((F.col("aviso") == "") & (F.col("cvegeo") != "")).dropna(subset=list(needed)).drop("aviso")
 
 
-def full_rows(raw: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def read_full(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
+    """The full table from its files: of rows with the same key the last one counts, in file and line order."""
+    line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return merge_last_wins([full_rows(read_text(spark, path).withColumn("line", line), names, ("line",))], "line").drop("line")
+
+
+def full_rows(raw: DataFrame, names: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """The reader of the maps: every amount, blanks as zero, only rows with a cut."""
     if "cvegeo" not in raw.columns:
         raw = with_municipality(raw, names)
@@ -78,7 +84,7 @@ def full_rows(raw: DataFrame, names: DataFrame | None = None) -> DataFrame:
         _code("ciclo", CYCLE_LABELS).alias("ciclo"), _code("modalidad", REGIME_LABELS).alias("modalidad"),
         F.trim("cultivo").alias("cultivo"), F.try_to_date(F.substring("fecha_corte", 1, 10), "yyyy-M-d").alias("fecha"),
         *[F.coalesce(_amount(c), F.lit(0.0)).alias(c.removesuffix("_ha")) for c in FULL_COLUMNS],
-        F.col("anio_consulta").try_cast("double").cast("int").alias("anio_consulta"))
+        F.col("anio_consulta").try_cast("double").cast("int").alias("anio_consulta"), *more)
     return rows.filter(F.col("fecha").isNotNull() & (F.col("cvegeo") != ""))
 
 

@@ -421,3 +421,21 @@ def test_unknown_footprints_pass_the_box(spark):
     df = spark.createDataFrame([("a", None), ("b", [(0.0, 0.0), (1.0, 1.0)]), ("c", [(8.0, 8.0), (9.0, 9.0)])], "id string, footprint array<struct<x:double,y:double>>")
     df = df.selectExpr("*", "'S2' AS sensor", "null AS platform", "1.0D AS cloud_tile", "'2020' AS date")
     assert {r["id"] for r in S.search(df, (0, 0, 2, 2)).collect()} == {"a", "b"}
+
+
+def test_full_table_keeps_the_last_line(spark, tmp_path):
+    head = "cvegeo,municipio,anio_agricola,ciclo,modalidad,cultivo,fecha_corte,sembrada_ha,cosechada_ha,siniestrada_ha,produccion,anio_consulta,aviso\n"
+    line = "28001,M,2025,Otoño - Invierno,Riego,Sorgo grano,2025-02-28,{},0,0,0,2025,\n"
+    for name, amounts in (("a.csv", (1, 2)), ("b.csv", range(3, 900))):
+        (tmp_path / name).write_text(head + "".join(line.format(v) for v in amounts), encoding="utf-8")
+    got = SRC.read_full(spark, str(tmp_path)).collect()
+    assert [r["sembrada"] for r in got] == [899.0]
+
+
+def test_free_names_skip_taken_numbers(spark):
+    from surco.sources.profiles import free_names
+
+    stored = spark.createDataFrame([("n",), ("n_3",), ("n_4",), ("m_2",)], "profile string")
+    incoming = spark.createDataFrame([(k, name) for k, name in enumerate(["n", "n", "n", "m", "m", "new", "n"])], "import_ord int, profile string")
+    got = {r["import_ord"]: r["profile"] for r in free_names(incoming, stored).collect()}
+    assert got == {0: "n_2", 1: "n_5", 2: "n_6", 3: "m", 4: "m_3", 5: "new", 6: "n_7"}
