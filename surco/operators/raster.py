@@ -66,6 +66,34 @@ def refine(values: DataFrame, factor: int, value: str = "valor", mask: str = "sc
         F.max("m").alias(mask), F.max("own").alias("inside")).filter("inside").drop("inside")
 
 
+def resample(values: DataFrame, res_from: float, res_to: float, shift_x: float = 0.0, shift_y: float = 0.0, value: str = "valor",
+             mask: str = "scl") -> DataFrame:
+    """To a finer grid of any resolution and origin: bilinear values, nearest mask code.
+
+    ``shift_x`` and ``shift_y``: how far the new grid begins to the right of and below the old one. Every cell sends its
+    value to the new cells whose centre lies less than one old cell from its own, and its mask code to those whose centre it holds;
+    the weights present are normalised. New cells outside the old grid are left out.
+    """
+    if res_to > res_from:
+        raise ValueError("the new grid must be the finer one; coarsen takes the other way")
+
+    def reached(index: str, shift: float) -> Column:
+        first, last = ((F.col(index) + d) * res_from - shift for d in (-0.5, 1.5))
+        return F.explode(F.sequence(F.ceil(first / res_to - 0.5).cast("int"), F.floor(last / res_to - 0.5).cast("int")))
+
+    def centre(index: str, shift: float) -> Column:  # of the new cell, in old cells
+        return ((F.col(index) + 0.5) * res_to + shift) / res_from
+
+    spread = values.select("fila", "col", value, mask, reached("fila", shift_y).alias("f")).select("*", reached("col", shift_x).alias("c"))
+    y, x = centre("f", shift_y), centre("c", shift_x)
+    weight = F.greatest(1 - F.abs(y - 0.5 - F.col("fila")), F.lit(0.0)) * F.greatest(1 - F.abs(x - 0.5 - F.col("col")), F.lit(0.0))
+    own = (F.floor(y) == F.col("fila")) & (F.floor(x) == F.col("col"))
+    sent = spread.select(F.col("f").alias("fila"), F.col("c").alias("col"), weight.alias("w"), F.col(value).alias("v"), F.when(own, F.col(mask)).alias("m"), own.alias("own"))
+    return sent.filter((F.col("w") > 0) | F.col("own")).groupBy("fila", "col").agg(
+        F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum(F.when(F.col("v").isNotNull(), F.col("w")))).alias(value),
+        F.max("m").alias(mask), F.max("own").alias("inside")).filter("inside").drop("inside")
+
+
 def rule_map(features: DataFrame, variable: str, threshold: float, direction: str) -> DataFrame:
     """1 where the rule holds, 0 where not, missing without data."""
     hit = F.col(variable) > threshold if direction == ">" else F.col(variable) <= threshold

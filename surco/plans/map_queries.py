@@ -151,6 +151,25 @@ def regrid(spark, sf_dir):
     return rounded(both.select("grid", "fila", "col", "valor", "scl"), ())
 
 
+def _new_centre(cell: str, shift: int) -> str:
+    return f"(({cell} + 5e-1) * 20 + {shift}) / 30"
+
+
+@query("regrid_any", oracle(f"""
+WITH m AS (SELECT fila, col, scl, valor FROM {{class_map}} c),
+t AS (SELECT DISTINCT CAST(floor((m.fila * 30e0 + 20) / 20) AS INT) + a.i AS f, CAST(floor((m.col * 30e0 - 10) / 20) AS INT) + b.i AS c
+  FROM m, (VALUES (-2), (-1), (0), (1), (2)) AS a(i), (VALUES (-2), (-1), (0), (1), (2)) AS b(i)),
+p AS (SELECT f, c, {_new_centre("f", -20)} AS y, {_new_centre("c", 10)} AS x FROM t),
+i AS (SELECT p.*, m.scl FROM p JOIN m ON m.fila = CAST(floor(y) AS INT) AND m.col = CAST(floor(x) AS INT)),
+n AS (SELECT i.f, i.c, i.scl, m.valor, (1 - abs(y - 5e-1 - m.fila)) * (1 - abs(x - 5e-1 - m.col)) AS w FROM i JOIN m
+  ON m.fila BETWEEN CAST(floor(y) AS INT) - 1 AND CAST(floor(y) AS INT) + 1 AND m.col BETWEEN CAST(floor(x) AS INT) - 1 AND CAST(floor(x) AS INT) + 1
+  WHERE abs(y - 5e-1 - m.fila) < 1 AND abs(x - 5e-1 - m.col) < 1)
+SELECT f AS fila, c AS col, round(sum(w * valor) / nullif(sum(CASE WHEN valor IS NOT NULL THEN w END), 0), 6) + 0e0 AS valor, any_value(scl) AS scl FROM n GROUP BY 1, 2"""))
+def regrid_any(spark, sf_dir):
+    """From 30 m to 20 m, on a grid that begins 10 m to the right and 20 m above."""
+    return rounded(RS.resample(class_map(spark, sf_dir), 30, 20, 10, -20).select("fila", "col", "valor", "scl"), ())
+
+
 CTE_AREAS = CTE_ZONES + """,
 mp AS (SELECT lpad(CAST(mun AS VARCHAR), 5, '0') AS cvegeo, CASE WHEN district > 0 THEN 'riego' ELSE 'temporal' END AS modalidad, clase FROM pz WHERE mun > 0 AND clase > 0),
 ma AS (SELECT cvegeo, modalidad, count(*) FILTER (WHERE clase = 1) * 4e-2 AS maiz_ha, count(*) FILTER (WHERE clase = 2) * 4e-2 AS sorgo_ha,
