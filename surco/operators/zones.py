@@ -105,10 +105,12 @@ def zone_shares(area_pixels: DataFrame, keys: Sequence[str] = ("area_id",)) -> D
     ).filter(F.col("mun") != 0)
 
 
-def suggest_profile(area_pixels: DataFrame, profiles: DataFrame, keys: Sequence[str] = ("area_id",)) -> DataFrame:
+def suggest_profile(area_pixels: DataFrame, profiles: DataFrame, names: DataFrame, keys: Sequence[str] = ("area_id",),
+                    state: str = "Tamaulipas") -> DataFrame:
     """The official profile of each study area, its regime and warnings.
 
-    The municipality with the largest share wins; irrigated when half of the area is in districts.
+    The municipality with the largest share wins; irrigated when half of the area is in districts. ``names``
+    (cvegeo, municipio) gives the municipality that a warning names.
     """
     shares = zone_shares(area_pixels, keys)
     areas = area_pixels.groupBy(*keys).agg((F.count_if(F.col("district") > 0) / F.count(F.lit(1))).alias("dr"),
@@ -120,13 +122,13 @@ def suggest_profile(area_pixels: DataFrame, profiles: DataFrame, keys: Sequence[
         "cvegeo": F.lpad(F.col("mun").cast("string"), 5, "0")})
     # several profiles of one (municipality, regime): the first by name
     known = profiles.groupBy("cvegeo", "modalidad").agg(F.min("profile").alias("profile"))
-    j = j.join(known, ["cvegeo", "modalidad"], "left")
+    j = j.join(known, ["cvegeo", "modalidad"], "left").join(names.groupBy("cvegeo").agg(F.min("municipio").alias("mun_name")), "cvegeo", "left")
     pct = lambda c: F.bround(100 * c, 0).cast("int").cast("string")
-    warnings = F.when(F.col("mun").isNull(), F.array(F.lit("fuera de Tamaulipas"))).otherwise(F.array_compact(F.array(
+    warnings = F.when(F.col("mun").isNull(), F.array(F.lit(f"fuera de {state}"))).otherwise(F.array_compact(F.array(
         F.when(F.col("large") > 1, "la zona pilla varios municipios"),
         F.when((F.col("dr") > 0.2) & (F.col("dr") < 0.8), F.concat(F.lit("la zona mezcla distrito de riego ("), pct(F.col("dr")), F.lit(" %) y fuera"))),
-        F.when(F.col("out") > 0.05, F.concat(pct(F.col("out")), F.lit(" % de la zona cae fuera de Tamaulipas"))),
-        F.when(F.col("profile").isNull(), F.concat(F.lit("no hay perfil del SIAP para "), "cvegeo", F.lit(" ("), "modalidad", F.lit(")"))))))
+        F.when(F.col("out") > 0.05, F.concat(pct(F.col("out")), F.lit(f" % de la zona cae fuera de {state}"))),
+        F.when(F.col("profile").isNull(), F.concat(F.lit("no hay perfil del SIAP para "), F.coalesce("mun_name", "cvegeo"), F.lit(" ("), "modalidad", F.lit(")"))))))
     return j.select(*keys, "cvegeo", "modalidad", "profile", F.col("dr").alias("district_share"), F.col("out").alias("outside"),
                     warnings.alias("warnings"))
 

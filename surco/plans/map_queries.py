@@ -99,12 +99,12 @@ SELECT area_id, cvegeo, modalidad, profile, CASE WHEN mun IS NULL THEN 'fuera de
  CASE WHEN large > 1 THEN 'la zona pilla varios municipios' END,
  CASE WHEN dr > 0.2e0 AND dr < 0.8e0 THEN 'la zona mezcla distrito de riego (' || CAST(round_even(100 * dr, 0) AS INT) || ' %) y fuera' END,
  CASE WHEN o > 0.05e0 THEN CAST(round_even(100 * o, 0) AS INT) || ' % de la zona cae fuera de Tamaulipas' END,
- CASE WHEN profile IS NULL THEN 'no hay perfil del SIAP para ' || cvegeo || ' (' || modalidad || ')' END) END AS warnings FROM k"""))
+ CASE WHEN profile IS NULL THEN 'no hay perfil del SIAP para ' || coalesce(municipio, cvegeo) || ' (' || modalidad || ')' END) END AS warnings FROM k LEFT JOIN {municipality} mn USING (cvegeo)"""))
 def suggest_profile(spark, sf_dir):
     munis = view(spark, sf_dir, "municipality").filter(F.col("cvegeo").cast("int") % 3 != 0)
     profiles = munis.select("cvegeo", F.explode(F.array(F.lit("riego"), F.lit("temporal"))).alias("modalidad")).withColumn(
         "profile", F.concat_ws("_", F.lit("siap"), "cvegeo", "modalidad"))
-    s = Z.suggest_profile(area_pixels(spark, sf_dir), profiles)
+    s = Z.suggest_profile(area_pixels(spark, sf_dir), profiles, view(spark, sf_dir, "municipality"))
     return s.select("area_id", "cvegeo", "modalidad", "profile", F.array_join("warnings", " | ").alias("warnings"))
 
 
