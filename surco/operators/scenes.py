@@ -27,7 +27,8 @@ def search(scenes: DataFrame, bbox: Sequence[float] | None = None, date_from: st
     if date_to:
         keep = keep & (F.col("date") <= date_to)
     if bbox:
-        x, y = F.transform("footprint", lambda p: p["x"]), F.transform("footprint", lambda p: p["y"])
+        corners = F.flatten("footprint")
+        x, y = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
         keep = keep & (F.col("footprint").isNull() | (
             (F.array_max(x) >= bbox[0]) & (F.array_min(x) <= bbox[2]) & (F.array_max(y) >= bbox[1]) & (F.array_min(y) <= bbox[3])))
     found = scenes.filter(keep)
@@ -62,7 +63,7 @@ def _edges(ring: Column) -> Column:
 def holds_area(scenes: DataFrame, area: Sequence[tuple[float, float]]) -> DataFrame:
     """Add ``whole``: does the footprint hold the whole area (every corner inside, no edges crossing)?
 
-    Works on the few corners of one row; no join. The edge list is its own column so that it
+    The footprint is a list of rings that do not overlap, one per polygon. Works on the few corners of one row; no join. The edge list is its own column so that it
     is built once per row.
     """
     corners = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in area])
@@ -86,7 +87,7 @@ def holds_area(scenes: DataFrame, area: Sequence[tuple[float, float]]) -> DataFr
     fx, fy = F.transform(ring, lambda e: e["a"]["x"]), F.transform(ring, lambda e: e["a"]["y"])
     boxed = (F.array_min(fx) <= min(xs)) & (F.array_max(fx) >= max(xs)) & (F.array_min(fy) <= min(ys)) & (F.array_max(fy) >= max(ys))
     whole = F.when(boxed, F.coalesce(F.forall(corners, inside) & ~crossing, F.lit(False))).otherwise(False)
-    return scenes.withColumn("footprint_edges", _edges(F.col("footprint"))).withColumn("whole", whole).drop("footprint_edges")
+    return scenes.withColumn("footprint_edges", F.flatten(F.transform("footprint", _edges))).withColumn("whole", whole).drop("footprint_edges")
 
 
 def duplicates(scenes: DataFrame, area: Sequence[tuple[float, float]]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType, StructField, StructType
 
 from surco.functions import bands as B
 
@@ -15,16 +16,30 @@ SOURCES = {
     "es-ls": (B.LANDSAT, "landsat-c2-l2", "aws-rp"),
 }
 LANDSAT_PLATFORMS = ("landsat-8", "landsat-9")
-HREF = "struct<href:string>"
-ASSET = (f"struct<href:string,`raster:bands`:array<struct<scale:double,offset:double>>,"
-         f"alternate:struct<s3:{HREF},https:{HREF}>,`eo:bands`:array<struct<name:string>>>")
-PROPERTIES = ("datetime string, `eo:cloud_cover` double, platform string, `s2:mgrs_tile` string, `mgrs:utm_zone` string,"
-              " `mgrs:latitude_band` string, `mgrs:grid_square` string, `grid:code` string, `s2:datatake_id` string,"
-              " `s2:processing_baseline` string, `processing:version` string, `landsat:wrs_path` string,"
-              " `landsat:wrs_row` string, `landsat:collection_category` string")
-ITEM = (f"id string, collection string, geometry struct<type:string,coordinates:array<array<array<double>>>>,"
-        f" assets map<string,{ASSET}>, properties struct<{', '.join(p.strip().replace(' ', ':', 1) for p in PROPERTIES.split(','))}>")
-PAGE = f"features array<struct<{ITEM.replace(', ', ',').replace('id string', 'id:string').replace('collection string', 'collection:string').replace('geometry struct', 'geometry:struct').replace('assets map', 'assets:map').replace('properties struct', 'properties:struct')}>>"
+def _struct(**kinds) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in kinds.items()])
+
+
+# The parts of a catalogue page that are read. Coordinates stay text: their depth depends on the type.
+TEXT, NUMBER = StringType(), DoubleType()
+HREF = _struct(href=TEXT)
+ASSET = _struct(**{
+    "href": TEXT, "raster:bands": ArrayType(_struct(scale=NUMBER, offset=NUMBER)), "alternate": _struct(s3=HREF, https=HREF),
+    "eo:bands": ArrayType(_struct(name=TEXT))})
+PROPERTIES = _struct(**{
+    "datetime": TEXT, "eo:cloud_cover": NUMBER, "platform": TEXT, "s2:mgrs_tile": TEXT, "mgrs:utm_zone": TEXT, "mgrs:latitude_band": TEXT,
+    "mgrs:grid_square": TEXT, "grid:code": TEXT, "s2:datatake_id": TEXT, "s2:processing_baseline": TEXT, "processing:version": TEXT,
+    "landsat:wrs_path": TEXT, "landsat:wrs_row": TEXT, "landsat:collection_category": TEXT})
+PAGE = _struct(features=ArrayType(_struct(
+    id=TEXT, collection=TEXT, geometry=_struct(type=TEXT, coordinates=TEXT), assets=MapType(TEXT, ASSET), properties=PROPERTIES)))
+
+
+def outer_rings() -> Column:
+    """The corners of the outer ring of each polygon of a footprint; other kinds of geometry are unknown (null)."""
+    text, kind = F.col("geometry.coordinates"), F.col("geometry.type")
+    polygons = F.when(kind == "MultiPolygon", F.from_json(text, "array<array<array<array<double>>>>")).when(
+        kind == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>")))
+    return F.transform(polygons, lambda p: F.transform(F.get(p, F.lit(0)), lambda c: F.struct(c[0].alias("x"), c[1].alias("y"))))
 
 
 def parse_pages(pages: DataFrame, text: str = "value") -> DataFrame:
@@ -158,7 +173,7 @@ def scenes(items: DataFrame) -> DataFrame:
     return rows.select(
         "page", "pos", "source", "sensor", "auth", "collection", "id", "datetime", "date", "tile", "platform", "baseline",
         "cloud_tile", "datatake",
-        F.transform(F.get("geometry.coordinates", F.lit(0)), lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("footprint"),
+        outer_rings().alias("footprint"),
         F.transform(F.filter(located, lambda b: b["key"].isNotNull()), finish).alias("bands"),
         F.transform(F.filter(keyed, lambda b: b["key"].isNull()), lambda b: b["band"]).alias("missing"))
 

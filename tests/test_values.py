@@ -418,7 +418,7 @@ def test_permutation_is_one_cycle_whatever_the_parts(spark, monkeypatch):
 def test_unknown_footprints_pass_the_box(spark):
     from surco.operators import scenes as S
 
-    df = spark.createDataFrame([("a", None), ("b", [(0.0, 0.0), (1.0, 1.0)]), ("c", [(8.0, 8.0), (9.0, 9.0)])], "id string, footprint array<struct<x:double,y:double>>")
+    df = spark.createDataFrame([("a", None), ("b", [[(0.0, 0.0), (1.0, 1.0)]]), ("c", [[(8.0, 8.0), (9.0, 9.0)]])], "id string, footprint array<array<struct<x:double,y:double>>>")
     df = df.selectExpr("*", "'S2' AS sensor", "null AS platform", "1.0D AS cloud_tile", "'2020' AS date")
     assert {r["id"] for r in S.search(df, (0, 0, 2, 2)).collect()} == {"a", "b"}
 
@@ -439,3 +439,23 @@ def test_free_names_skip_taken_numbers(spark):
     incoming = spark.createDataFrame([(k, name) for k, name in enumerate(["n", "n", "n", "m", "m", "new", "n"])], "import_ord int, profile string")
     got = {r["import_ord"]: r["profile"] for r in free_names(incoming, stored).collect()}
     assert got == {0: "n_2", 1: "n_5", 2: "n_6", 3: "m", 4: "m_3", 5: "new", 6: "n_7"}
+
+
+def test_footprints_of_several_polygons(spark):
+    from surco.operators import scenes as S
+
+    def square(x, y, side):
+        return [[[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]]
+
+    def scene(name, kind, coordinates):
+        return {"id": name, "geometry": {"type": kind, "coordinates": coordinates}, "assets": {},
+                "properties": {"datetime": "2022-05-01T17:00:00Z", "eo:cloud_cover": 1.0, "platform": "Sentinel-2A", "s2:mgrs_tile": name, "s2:datatake_id": "GS2A_20220501T170000_1_N04"}}
+
+    page = json.dumps({"features": [scene("AA", "MultiPolygon", [square(50, 50, 5), square(0, 0, 10)]), scene("BB", "MultiPolygon", [square(0, 0, 3), square(6, 6, 9)]),
+                                    scene("CC", "Polygon", square(-5, -5, 30)), scene("DD", "Point", [1, 1])]})
+    found = CT.scenes(CT.parse_pages(spark.createDataFrame([(1, "pc-s2", page)], "page int, source string, value string"))).cache()
+    assert {r["id"] for r in S.search(found, (51, 51, 52, 52)).collect()} == {"AA", "DD"}
+    area = [(2, 2), (7, 2), (7, 7), (2, 7)]
+    whole = {r["id"]: r["whole"] for r in S.holds_area(found, area).collect()}
+    assert whole == {"AA": True, "BB": False, "CC": True, "DD": False}
+    assert {(r["id"], r["kept_tile"]) for r in S.duplicates(found, area).collect()} == {("BB", "AA"), ("CC", "AA"), ("DD", "AA")}
