@@ -5,6 +5,10 @@ Every text chooses anchors from its bytes alone: the grams whose hash is least i
 gram occurs twice can begin a repeat. These suffixes, with the bytes before them, meet by gram. There they are sorted: a multikey
 quicksort to a shallow depth, then blind tries for the groups that still share a long prefix. The tries of what
 follows and of what precedes an anchor tell, for every way to lay ``LENGTH`` bytes around it, which suffixes share them.
+
+An anchor whose whole surroundings (all bytes that a window around it can reach) occur twice needs no sorting: every window
+repeats. Hashes of gram and surroundings find these first, and only the other suffixes at repeated grams, with one of each
+kind of surroundings that is met more often, carry their bytes to the sort.
 """
 
 from __future__ import annotations
@@ -17,17 +21,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surco.llm.common import fresh
 from surco.session import scratch_path, written_once
 
-LENGTH, GRAM = 200, 50
+LENGTH, GRAM = 200, 80
 _WINDOW = LENGTH - GRAM + 1
 SHALLOW = 16  # bytes that the quicksort looks at, after those known to be equal
-#: Occurrences of a gram that one task sorts; those of more frequent grams are compared window by window instead.
+#: Suffixes of one gram that one task sorts; those of grams with more are compared window by window instead.
 MOST_OCCURRENCES = 20_000
 _R = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -58,25 +62,36 @@ def _sliding(a: np.ndarray, w: int, op: np.ufunc, fill: int) -> np.ndarray:
     return op(back[:n - w + 1], op.accumulate(m, axis=1).ravel()[w - 1:n])
 
 
-def window_hashes(raw: bytes, size: int) -> np.ndarray:
-    """A 64-bit hash of every ``size`` neighbouring bytes."""
+def _sums(raw: bytes) -> np.ndarray:
     n = len(raw)
     _grow(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
-    return _mix((sums[size:] - sums[:-size]) * _powers[1][:n - size + 1])
+    return sums
+
 
+def window_hashes(raw: bytes, size: int) -> np.ndarray:
+    """A 64-bit hash of every ``size`` neighbouring bytes."""
+    sums = _sums(raw)
+    return _mix((sums[size:] - sums[:-size]) * _powers[1][:len(raw) - size + 1])
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and gram hashes of the anchors: grams that are the least of some window of grams, ties included."""
-    if len(raw) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = window_hashes(raw, GRAM)
+
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, gram hashes and hashes of the surroundings of the anchors: grams that are the least of some window of
+    grams, ties included."""
+    n = len(raw)
+    if n < LENGTH:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sums = _sums(raw)
+    grams = _mix((sums[GRAM:] - sums[:-GRAM]) * _powers[1][:n - GRAM + 1])
     least = _sliding(grams, _WINDOW, np.minimum, (1 << 64) - 1)
     pad = np.zeros(len(grams) + _WINDOW - 1, np.uint64)
     pad[_WINDOW - 1:_WINDOW - 1 + len(least)] = least
     at = np.flatnonzero(_sliding(pad, _WINDOW, np.maximum, 0) == grams)
-    return at, grams[at].view(np.int64)
+    start, end = np.maximum(at - (LENGTH - GRAM), 0), np.minimum(at + LENGTH, n)
+    size = ((at - start) << 16 | end - at).astype(np.uint64)
+    around = _mix((sums[end] - sums[start]) * _powers[1][start] + size * np.uint64(0xC2B2AE3D27D4EB4F))
+    return at, grams[at].view(np.int64), around.view(np.int64)
 
 
 # --- sorting ---------------------------------------------------------------------------
@@ -227,21 +242,23 @@ def _chosen(docs: DataFrame, names: dict[str, str]) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
     fields = [docs.schema[c] for c in keep]
     added = [T.StructField(names[c], t) for c, t in (
-        ("row", T.LongType()), ("packed", T.BinaryType()), ("bytes", T.LongType()), ("sha", T.StringType()), ("grams", T.BinaryType()), ("places", T.BinaryType()))]
+        ("row", T.LongType()), ("packed", T.BinaryType()), ("bytes", T.LongType()), ("sha", T.StringType()), ("grams", T.BinaryType()), ("around", T.BinaryType()), ("places", T.BinaryType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed, size, sha, grams, places = [], [], [], [], []
+            packed, size, sha, grams, around, places = [], [], [], [], [], []
             for text in batch.column("text"):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                at, h = anchors(raw)
+                at, h, x = anchors(raw)
                 packed.append(zstandard.compress(raw, 1))
                 size.append(len(raw))
                 sha.append(hashlib.sha256(raw).hexdigest())
                 grams.append(h.tobytes())
-                places.append(at.tobytes())
+                around.append(x.tobytes())
+                # place, bytes that a window can reach after it, and a bit for copies
+                places.append((at << 9 | np.minimum(len(raw) - at, LENGTH) << 1).tobytes())
             columns = [batch.column(c) for c in keep] + [
-                batch.column(names["row"]), pa.array(packed, pa.binary()), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(grams, pa.binary()), pa.array(places, pa.binary())]
+                batch.column(names["row"]), pa.array(packed, pa.binary()), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(grams, pa.binary()), pa.array(around, pa.binary()), pa.array(places, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *(f.name for f in added)])
 
     path = scratch_path(docs.sparkSession, "texts")
@@ -252,25 +269,31 @@ def _chosen(docs: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, copies, grams, places in zip(*(batch.column(c).to_pylist() for c in ("row", "copies", "grams", "places"))):
-            h = np.frombuffer(grams, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(np.full(len(h), row)), pa.array(np.frombuffer(places, np.int64)), pa.array(np.full(len(h), copies))],
-                ["gram", "row", "place", "copies"])
+        row, copies = batch.column("row").to_numpy(), batch.column("copies").to_numpy()
+        grams, around, places = (batch.column(c).to_pylist() for c in ("grams", "around", "places"))
+        size = np.fromiter(map(len, grams), np.int64, len(grams)) // 8
+        place = np.frombuffer(b"".join(places), np.int64) | np.repeat((copies > 1).astype(np.int64), size)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.frombuffer(b"".join(grams), np.int64)), pa.array(np.frombuffer(b"".join(around), np.int64)), pa.array(np.repeat(row, size)), pa.array(place)],
+            ["gram", "around", "row", "place"])
 
 
 _AROUND = "gram bigint, row bigint, place bigint, copies bigint, before binary, after binary"
 
 
 def _around(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["gram", "row", "place", "copies", "before", "after"]
     for batch in batches:
         rows = []
-        for packed, row, copies, at in zip(batch["packed"], batch["row"], batch["copies"], batch["at"]):
+        for packed, row, at in zip(batch["packed"], batch["row"], batch["at"]):
             raw = zstandard.decompress(packed)
             for p in at:
                 place = p["place"]
-                rows.append((p["gram"], row, place, copies, raw[max(0, place - LENGTH + GRAM):place][::-1], raw[place:place + LENGTH]))
-        yield pd.DataFrame(rows, columns=["gram", "row", "place", "copies", "before", "after"])
+                rows.append((p["gram"], row, place, p["copies"], raw[max(0, place - LENGTH + GRAM):place][::-1], raw[place:place + LENGTH]))
+            if len(rows) > 20_000:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def _reach(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,7 +334,7 @@ def _windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(spans, groups)`` of a table ``row, packed, bytes, sha, grams, places`` that is written.
+    """``(spans, groups)`` of a table ``row, packed, bytes, sha, grams, around, places`` that is written.
 
     ``groups`` has ``sha, first, copies`` of every text of ``LENGTH`` bytes or more; a text with copies is a repeat as a whole.
     ``spans`` has ``row, spans``: repeated stretches ``[from, to)`` of texts without copies, of which ``row`` is the only one.
@@ -320,24 +343,42 @@ def repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = texts.filter(F.col("bytes") >= LENGTH)
     groups = written_once(long.groupBy("sha").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")))
     firsts = groups.select(F.col("first").alias("row"), "copies")
-    listed = texts.select("row", "grams", "places").join(firsts, "row").select("row", "copies", "grams", "places")
-    seen = written_once(listed.mapInArrow(_occurrences, "gram bigint, row bigint, place bigint, copies bigint"))
-    often = seen.groupBy("gram").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("held")).filter("n > 1")
+    listed = texts.select("row", "grams", "around", "places").join(firsts, "row").select("row", "copies", "grams", "around", "places")
+    seen = listed.mapInArrow(_occurrences, "gram bigint, around bigint, row bigint, place bigint")
+    by_gram = Window.partitionBy("gram").orderBy("around", "row", "place")
+    met = seen.select(
+        "*", F.lag("around").over(by_gram).alias("prior"), F.lead("around").over(by_gram).alias("next"),
+        F.first("around").over(by_gram.rowsBetween(Window.unboundedPreceding, 0)).alias("least"))
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    copied = F.col("place").bitwiseAND(F.lit(1)) == 1
+    twice = copied | is_(F.col("prior") == F.col("around")) | is_(F.col("next") == F.col("around"))
+    others = is_(F.col("next") != F.col("around")) | (F.col("least") != F.col("around"))
+    last = F.col("next").isNull() | (F.col("next") != F.col("around"))
+    # a suffix to sort, or the one that stands for several with the same surroundings
+    carried = others & (last | ~twice)
+    sifted = written_once(
+        met.select("gram", "row", "place", (twice & ~copied).alias("whole"), carried.alias("carried"), F.when(twice, 2).otherwise(1).cast("bigint").alias("copies"))
+        .filter("whole OR carried"))
+    spot = F.shiftright("place", 9)
+    whole = sifted.filter("whole").select(
+        "row", F.greatest(spot - (LENGTH - GRAM), F.lit(0)).alias("from"), (spot + F.shiftright("place", 1).bitwiseAND(F.lit(255))).alias("to"))
+    often = sifted.filter("carried").groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > MOST_OCCURRENCES)
+    hot_grams = written_once(often.select("gram", F.lit(True).alias("hot")))
     places = written_once(
-        seen.join(often, "gram").groupBy("row", "copies", (F.col("held") > MOST_OCCURRENCES).alias("hot"))
-        .agg(F.collect_list(F.struct("gram", "place")).alias("at")))
+        sifted.filter("carried").join(hot_grams, "gram", "left").groupBy("row", F.coalesce("hot", F.lit(False)).alias("hot"))
+        .agg(F.collect_list(F.struct("gram", spot.alias("place"), "copies")).alias("at")))
     packed = texts.select("row", "packed")
 
     def around(part: DataFrame) -> DataFrame:
-        return packed.join(part.select("row", "copies", "at"), "row").select("row", "packed", "copies", "at").mapInPandas(_around, _AROUND)
+        return packed.join(part.select("row", "at"), "row").select("row", "packed", "at").mapInPandas(_around, _AROUND)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = around(places.filter("NOT hot")).repartition(parts, "gram").sortWithinPartitions("gram")
-    reach = sorted_.mapInPandas(_reach, "row bigint, from bigint, to bigint")
+    reach = sorted_.mapInPandas(_reach, "row bigint, from bigint, to bigint").unionByName(whole)
     if not places.filter("hot").isEmpty():
         windows = written_once(around(places.filter("hot")).mapInPandas(_windows, "h bigint, d bigint, row bigint, from bigint, copies bigint").distinct())
-        twice = windows.groupBy("h", "d").agg(F.sum("copies").alias("n")).filter("n > 1")
-        reach = reach.unionByName(windows.filter("copies = 1").join(twice, ["h", "d"]).select("row", "from", (F.col("from") + LENGTH).alias("to")))
+        again = windows.groupBy("h", "d").agg(F.sum("copies").alias("n")).filter("n > 1")
+        reach = reach.unionByName(windows.filter("copies = 1").join(again, ["h", "d"]).select("row", "from", (F.col("from") + LENGTH).alias("to")))
     spans = reach.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))
     return spans, groups
 
@@ -367,7 +408,7 @@ def _cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["cut_row", "removed", "n_spans", "kept"])
 
 
-_NAMES = {c: c for c in ("row", "packed", "bytes", "sha", "grams", "places")}
+_NAMES = {c: c for c in ("row", "packed", "bytes", "sha", "grams", "around", "places")}
 
 
 def removed(docs: DataFrame) -> DataFrame:
