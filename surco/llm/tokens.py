@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that one Python worker remembers; a full memory starts anew.
-MEMORY_PIECES = 1_200_000
+MEMORY_PIECES = 900_000
 #: Bytes of text encoded at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: Two neighbours of white space or control, or a zero byte: such a text is encoded whole.
 _RUN = r"[\x{0}-\x{20}\x{7f}-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]{2}|\x{0}"
 #: Places inside a piece where a run of letters ends and other characters begin.
@@ -29,25 +31,41 @@ class Codec:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # for runs of letters, with or without a space before, which the pattern would leave whole
+        self.letters = Tokenizer.from_file(path)
+        self.letters.encode_special_tokens = True
+        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str], letters: bool = False) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers, straight from the library."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        tokenizer, ids, ends = self.letters if letters else self.tokenizer, array("I"), [0]
+        for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids.extend(e.ids)
+            ends.append(len(ids))
+        raw = np.frombuffer(ids, np.uint32).astype("<u4").tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(ends, ends[1:])]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > MEMORY_PIECES:
             known.clear()
         new = [p for p in pieces if p not in known]
-        inner = {p: _INNER.split(p) for p in new if not p[1:].isalpha()}
-        cores = {q for qs in inner.values() for q in qs}
-        cores.update(p for p in new if p not in inner)
-        unseen = [q for q in cores if q not in known]
-        known.update(zip(unseen, self.whole(unseen)))
+        words, rest, inner = set(), set(), {}
+        for p in new:
+            if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
+                words.add(p)
+                continue
+            head, *others = inner[p] = _INNER.split(p)
+            (words if others and head.lstrip(" ").isalpha() else rest).add(head)
+            rest.update(others)
+        for unseen, letters in ((words, True), (rest, False)):
+            unseen = [q for q in unseen if q not in known]
+            known.update(zip(unseen, self.whole(unseen, letters)))
         return [b"".join([known[q] for q in inner[p]]) if p in inner else known[p] for p in pieces]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,16 +82,18 @@ class Codec:
         split = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
         coded = split.flatten().dictionary_encode()
         ids = self._pieces(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start = np.cumsum(size) - size
+        # a block's ids are far fewer than 2^31, unless one text alone is larger
+        count = np.int32 if len(texts) > 1 else np.int64
+        size = np.fromiter(map(len, ids), count, len(ids)) // 4
+        start = np.cumsum(size, dtype=count) - size
         which = coded.indices.to_numpy()
         n = size[which]
-        upto = np.cumsum(n)
-        at = np.repeat((start[which] - upto + n).astype(np.int32), n)
-        at += np.arange(len(at), dtype=np.int32)
+        upto = np.cumsum(n, dtype=count)
+        at = np.repeat(start[which] - upto + n, n)
+        at += np.arange(len(at), dtype=count)
         ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
         filled = np.concatenate(([0], upto))[ends]
-        return np.frombuffer(b"".join(ids), "<u4")[at], np.diff(filled, prepend=0)
+        return np.frombuffer(b"".join(ids), "<u4")[at], np.diff(filled, prepend=0).astype(np.int64)
 
 
 def _cuts(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +107,21 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _undisturbed(run):
+    """Without cycle collection, which would walk the remembered pieces again and again."""
+
+    def wrapped(*args):
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return run(*args)
+        finally:
+            if collects:
+                gc.enable()
+
+    return wrapped
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the ids of their texts (null: none) and each text's number of ids."""
     own = codec(path)
@@ -96,5 +131,5 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, column: str = "text")
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES)))
-            yield batch.slice(at, to - at), *own.encode(pa.array(texts.slice(at, to - at)))
+            yield batch.slice(at, to - at), *_undisturbed(own.encode)(pa.array(texts.slice(at, to - at)))
             at = to
