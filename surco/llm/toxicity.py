@@ -42,6 +42,7 @@ TERM_LETTERS = (4, 24)
 PREFIX_LETTERS = (4, 5, 6)
 MIN_DOCS, MIN_ODDS = 4, 3.0
 MAX_TERMS = 5_000
+TERMS_HELD = 200_000  # terms that a task counts before it hands them on
 BLANK_SCORE = 0.0
 
 
@@ -105,14 +106,22 @@ def _terms(text: str) -> set[str]:
 
 def _count_terms(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     bad, all_ = Counter(), Counter()
+
+    def counts() -> pd.DataFrame:
+        out = pd.DataFrame({"term": list(all_), "n_bad": [bad[t] for t in all_], "n": list(all_.values())})
+        bad.clear()
+        all_.clear()
+        return out
+
     for batch in batches:
         for text, label in zip(batch["text"], batch["label"]):
             found = _terms(text or "")
             all_.update(found)
             if label:
                 bad.update(found)
-    # only terms of some bad text can enter the lexicon; their good ones are in all_ of every part
-    yield pd.DataFrame({"term": list(all_), "n_bad": [bad[t] for t in all_], "n": list(all_.values())})
+            if len(all_) > TERMS_HELD:  # the counts of a task's parts are added up later
+                yield counts()
+    yield counts()
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[Lexicon, np.ndarray]:
