@@ -23,14 +23,15 @@ END = 0
 #: Ids of a shard (one file and one task) and of a block, about.
 SHARD_IDS, BLOCK_IDS = 4_000_000, 500_000
 #: How many bytes each of the four ids of a control byte takes.
-_SIZES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+_SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
 def pack_ids(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit numbers."""
-    values = np.ascontiguousarray(ranks, "<u4")
-    extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    wide = 2 if ranks.max(initial=0) <= 0xFFFF else 4  # bytes that any of the numbers takes
+    values = np.ascontiguousarray(ranks, f"<u{wide}")
+    extra = sum((values > limit).astype(np.uint8) for limit in (0xFF, 0xFFFF, 0xFFFFFF)[:wide - 1])
+    data = values.view(np.uint8).reshape(-1, wide)[np.arange(wide, dtype=np.uint8) <= extra[:, None]]
     quads = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     quads[:len(values)] = extra
     quads = quads.reshape(-1, 4)
@@ -42,9 +43,9 @@ def unpack_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` numbers: control bytes look up the sizes, sizes give the places of the bytes."""
     sizes = _SIZES[np.frombuffer(control, np.uint8)].ravel()[:n]
     raw = np.frombuffer(data, np.uint8)
-    at = np.cumsum(sizes) - sizes
+    at = np.cumsum(sizes, dtype=np.int64) - sizes
     out = raw[at].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(sizes.max(initial=1))):
         longer = np.flatnonzero(sizes > k)
         out[longer] |= raw[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -78,8 +79,9 @@ def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for ids in _ids(batch):
-            seen = np.bincount(ids)
+        held = list(_ids(batch))
+        for k in range(0, len(held), 256):  # a count is as long as the vocabulary, so it pays for many texts
+            seen = np.bincount(np.concatenate(held[k:k + 256]))
             if len(seen) > len(total):
                 total = np.concatenate((total, np.zeros(len(seen) - len(total), np.int64)))
             total[:len(seen)] += seen
@@ -104,7 +106,7 @@ def write(docs: DataFrame, path: str, folder: str) -> None:
     spark.createDataFrame([(bytearray(order.astype("<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{folder}/ranks")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, start, names, sizes, held = TaskContext.get().partitionId(), 0, [], [], []
+        shard, start, full, names, sizes, held = TaskContext.get().partitionId(), 0, 0, [], [], []
 
         def block() -> pa.RecordBatch:
             nonlocal start, names, sizes, held
@@ -118,7 +120,9 @@ def write(docs: DataFrame, path: str, folder: str) -> None:
                 names.append(name)
                 sizes.append(len(ids))
                 held.append(ids)
-                if sum(sizes) >= BLOCK_IDS:
+                full += len(ids)
+                if full >= BLOCK_IDS:
+                    full = 0
                     yield block()
         if held:
             yield block()
