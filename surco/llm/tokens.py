@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 #: Pieces that one Python worker remembers; a full memory starts anew.
 MEMORY_PIECES = 900_000
 #: Bytes of text encoded at once.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 10 << 20
 #: Two neighbours of white space or control, or a zero byte: such a text is encoded whole.
 _RUN = r"[\x{0}-\x{20}\x{7f}-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]{2}|\x{0}"
 #: Places inside a piece where a run of letters ends and other characters begin.
