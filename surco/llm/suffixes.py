@@ -30,6 +30,7 @@ from surco.session import scratch_path, written_once
 
 LENGTH, GRAM = 200, 80
 _WINDOW = LENGTH - GRAM + 1
+_HALF = (LENGTH - GRAM) // 2
 SHALLOW = 16  # bytes that the quicksort looks at, after those known to be equal
 #: Suffixes of one gram that one task sorts; those of grams with more are compared window by window instead.
 MOST_OCCURRENCES = 20_000
@@ -203,6 +204,15 @@ def _paths(strings: list[bytes], known: int) -> list[list[tuple[int, int]]]:
     return paths
 
 
+def _nearest(strings: list[bytes], known: int) -> list[int]:
+    """The longest prefix that each string shares with any other: that of a neighbour in sorted order."""
+    order, common = deep_shallow(strings, known)
+    out = [0] * len(strings)
+    for i, a, b in zip(order, [0, *common], [*common, 0]):
+        out[i] = max(a, b)
+    return out
+
+
 def covered(before: list[bytes], after: list[bytes], weight: list[int]) -> list[tuple[int, int] | None]:
     """How far repeats reach around each anchor of one gram: bytes before and after it, or None.
 
@@ -210,6 +220,19 @@ def covered(before: list[bytes], after: list[bytes], weight: list[int]) -> list[
     occurrences with exactly these bytes. A window with ``o`` bytes before the anchor is shared by the strings in one class of
     depth ``o`` before and one of depth ``LENGTH - o`` after. Both classes change at few ``o``.
     """
+    if len(before) == 2:  # two leaves: one branch before and one after
+        b, a = _common(*before, 0), _common(*after, GRAM)
+        return [(b, a) if a + b >= LENGTH else None] * 2
+    # a shared window holds _HALF bytes before the anchor, or all but as many after it
+    near, far = Counter(b[:_HALF] for b in before), Counter(a[:LENGTH - _HALF] for a in after)
+    able = [near[b[:_HALF]] > 1 or far[a[:LENGTH - _HALF]] > 1 for b, a in zip(before, after)]
+    if all(able):
+        # nor can it be shared where not even the strings next to one in both orders have enough in common
+        able = [b + a >= LENGTH for b, a in zip(_nearest(before, 0), _nearest(after, GRAM))]
+    if not all(able):
+        left = [x for x, y in enumerate(able) if y]
+        found = iter(covered([before[x] for x in left], [after[x] for x in left], [weight[x] for x in left]) if left else ())
+        return [next(found) if y else None for y in able]
     back, front = _paths(before, 0), _paths(after, GRAM)
     pieces: list[list[tuple[int, int, tuple[int, int]]]] = []
     shared: Counter = Counter()
