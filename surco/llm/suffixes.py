@@ -33,7 +33,7 @@ _WINDOW = LENGTH - GRAM + 1
 _HALF = (LENGTH - GRAM) // 2
 SHALLOW = 16  # bytes that the quicksort looks at, after those known to be equal
 #: Suffixes of one gram that one task sorts; those of grams with more are compared window by window instead.
-MOST_OCCURRENCES = 20_000
+MOST_OCCURRENCES = 100_000
 _R = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
