@@ -136,6 +136,60 @@ def test_components_of_a_chain(spark):
     assert len({got[i] for i in range(201)}) == 1 and got[1000] == got[1001] != got[0]
 
 
+def alike_by_hand(texts):
+    """The least id of each group of texts linked by a 5-word similarity of 0.8 or more."""
+    sets, first, root, where = {}, {}, {}, collections.defaultdict(list)
+    for i in sorted(texts):
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[i] or ""))
+        shingles = frozenset(hash(" ".join(words[k:k + 5])) for k in range(max(1, len(words) - 4))) if words else frozenset()
+        if first.setdefault(shingles, i) == i:
+            sets[i], root[i] = shingles, i
+            for h in shingles:
+                where[h].append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    shared, common = collections.Counter(), collections.Counter()
+    for at in where.values():
+        if len(at) < 200:
+            shared.update((i, j) for n, j in enumerate(at) for i in at[:n])
+        else:
+            common.update(at)
+    for (i, j), n in shared.items():
+        both = 4 * (len(sets[i]) + len(sets[j]))
+        if 9 * (n + common[i]) >= both and 9 * len(sets[i] & sets[j]) >= both:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return {find(i) for i in root}
+
+
+def test_stage_leaves_one_of_each_group_of_near_copies(spark, sf_dir):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for _ in range(25):
+        words = [word() for _ in range(200)]
+        for changed in (0, 1, 4, 6, 3):  # similarities of 1, 0.95, 0.81, 0.73 and 0.86 to the first; the rest by chance
+            copy = list(words)
+            for k in r.sample(range(10, 190, 8), changed):
+                copy[k] = word()
+            texts[len(texts)] = " ".join(copy)
+            texts[len(texts)] = "  ".join(copy).upper()
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id bigint, text string")
+    want = alike_by_hand(texts)
+    assert 25 < len(want) < 75
+    assert {x.doc_id for x in corpus_pipeline.one_of_near_duplicates(spark, docs, sf_dir).collect()} == want
+
+
+def test_stage_leaves_one_of_the_near_copies_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = [x.doc_id for x in corpus_pipeline.one_of_near_duplicates(spark, docs, "").select("doc_id").collect()]
+    assert sorted(got) == sorted(alike_by_hand({x.doc_id: x.text for x in docs.collect()}))
+
+
 # --- quality rules -----------------------------------------------------------------------
 
 
