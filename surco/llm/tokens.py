@@ -34,10 +34,10 @@ class Codec:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # a text that holds one of these is encoded whole: cuts would part it
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # for runs of letters, with or without a space before, which the pattern would leave whole
         self.letters = Tokenizer.from_file(path)
-        self.letters.encode_special_tokens = True
         self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
@@ -71,6 +71,8 @@ class Codec:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row (unsigned 32-bit), and how many each text has."""
         odd = pc.match_substring_regex(texts, _RUN)
+        for content in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, content))
         if pc.any(odd).as_py():
             flags = odd.to_numpy(zero_copy_only=False)
             parts = iter(np.split(*_cuts(*self.encode(texts.filter(pc.invert(odd)))))) if not flags.all() else iter(())

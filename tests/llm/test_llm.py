@@ -231,6 +231,24 @@ def test_codec_equals_the_library():
     assert [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] == codec.whole(cases)
 
 
+def test_added_tokens_of_the_vocabulary(spark):
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain, r = Tokenizer.from_file(VOCABULARY), random.Random(9)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "end", " next", ".", "\n", "é", "  "]
+    cases = ["end <|endoftext|> next", "end<|endoftext|>", *("".join(r.choice(parts) for _ in range(r.randint(0, 8))) for _ in range(500))]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in cases]
+    assert want[0] == [437, 220, 50256, 1306]
+    ids, n = Codec(VOCABULARY).encode(pa.array(cases, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    crc = [zlib.crc32(np.array([*w, 0], "<u4").tobytes()) for w in want]
+    assert sorted((x.doc_id, x.length, x.ids_crc32) for x in packing.pack(df, VOCABULARY).collect()) == [(i, len(w) + 1, c) for i, (w, c) in enumerate(zip(want, crc))]
+    assert sorted((x.doc_id, x.n_tokens, x.ids_crc32) for x in token_files.round_trip(df, VOCABULARY).collect()) == [(i, len(w) + 1, c) for i, (w, c) in enumerate(zip(want, crc))]
+
+
 def test_plan_is_whole_and_no_worse_than_best_fit():
     r = random.Random(5)
     for _ in range(150):
