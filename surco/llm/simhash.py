@@ -22,6 +22,8 @@ ALIKE_WORDS = 5
 ALIKE = (4, 5)
 #: Least hashes of a text: so many bands of so many. Texts of similarity 0.8 agree in no band once in 38 000 pairs.
 BANDS, BAND_HASHES = 20, 4
+#: Nodes of a band that lead a round after the first.
+LEADERS = 8
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BLOCK = 1 << 15  # hashes unpacked at once
 
@@ -182,18 +184,25 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def alike_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """``(node, root)`` of the linked nodes, from ``rows(key, node)`` and ``sets(node, n, shingles)``.
 
-    Each round one node of every key leads, in an order of its own, and is compared with all nodes of the key that aren't
-    yet of its component. Keys of a single component are done. The rounds end when one finds no new link.
+    In the first round one node of every key leads and is compared with all nodes of the key; in each further one ``LEADERS``
+    nodes, each with those that aren't yet of its component. Keys of a single component are done. The rounds end when one finds
+    no new link.
     """
-    links, roots, turn = None, None, 0
+    roots, turn = None, 0
     while True:
-        lead = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", *(["root"] if turn else []))).alias("m"))
-        met = rows.join(lead, "key").filter("m.node <> node" + (" AND m.root <> root" if turn else ""))
-        pairs = met.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+        orders = range(turn * LEADERS, (turn + 1) * LEADERS) if turn else [0]
+        known = ["root"] if turn else []
+        lead = rows.groupBy("key").agg(F.array_distinct(F.array(*[
+            F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", *known))["node"] for k in orders])).alias("leads"))
+        led = lead.select("key", F.explode("leads").alias("lead"))
+        if turn:
+            led = led.join(rows.select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root")), ["key", "lead"])
+        met = rows.join(led, "key").filter("lead <> node" + (" AND lead_root <> root" if turn else ""))
+        pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         found = written_once(_alike(pairs, sets))
         if found.isEmpty():
             break
-        links = found if links is None else links.unionByName(found)
+        links = found if roots is None else found.unionByName(roots.toDF("a", "b"))
         roots = written_once(components(links))
         rows = rows.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rows.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l <> h").select("key")
