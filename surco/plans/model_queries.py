@@ -236,7 +236,7 @@ def _forest_query(name: str, mode: str):
     @query(name, oracle("SELECT px_id, clase, clase AS pred, 1e0 AS p_total FROM {samples} s"))
     def run(spark, sf_dir):
         s = apart(spark, sf_dir)
-        model = CL.fit_final(s, APART, mode, TREES, depth=DEPTH)
+        model = CL.fit_final(s, APART, mode)
         p = model.probabilities(CL.assemble(s, APART))
         total = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x)
         return rounded(p.select("px_id", "clase", CL.predicted(F.col("p")).alias("pred"), total.alias("p_total")), ())
@@ -284,7 +284,7 @@ def importance_topk(spark, sf_dir):
 def predict_map(spark, sf_dir):
     """Every sample pixel classified; those with too few variables present get no class and no percentages."""
     s = apart(spark, sf_dir)
-    model = CL.fit_final(s, APART, "flat", TREES, depth=DEPTH)
+    model = CL.fit_final(s, APART, "flat")
     gaps = [F.when((F.col("px_id") % 13 != 0) | (F.lit(i) > 3), F.col(n)).alias(n) for i, n in enumerate(APART)]
     total = F.col("p_maiz") + F.col("p_sorgo") + F.col("p_otros")
     return CL.predict_map(model, s.select("px_id", *gaps)).select(

@@ -459,3 +459,16 @@ def test_footprints_of_several_polygons(spark):
     whole = {r["id"]: r["whole"] for r in S.holds_area(found, area).collect()}
     assert whole == {"AA": True, "BB": False, "CC": True, "DD": False}
     assert {(r["id"], r["kept_tile"]) for r in S.duplicates(found, area).collect()} == {("BB", "AA"), ("CC", "AA"), ("DD", "AA")}
+
+
+@pytest.mark.parametrize("name", ["rf_flat", "rf_hierarchical", "predict_map"])
+def test_registered_forests_are_full(spark, sf_dir, monkeypatch, name):
+    from surco.operators import classify
+    from surco.plans import model_queries  # noqa: F401
+    from surco.plans.registry import REGISTRY
+
+    grown = []
+    forest = classify._forest
+    monkeypatch.setattr(classify, "_forest", lambda trees, seed, depth: grown.append((trees, depth)) or forest(2, seed, 2))
+    REGISTRY[name].run(spark, sf_dir)
+    assert set(grown) == {(200, 25)}
