@@ -9,7 +9,7 @@ import tempfile
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from surco.llm import lookup_sketch, mixing, packing, quality_rules, ranking, sharding, simhash, suffixes, token_files, toxicity
+from surco.llm import lookup_sketch, merkle, mixing, packing, quality_rules, ranking, sharding, simhash, suffixes, token_files, toxicity
 from surco.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +43,7 @@ QUERIES = {
     "op8_lpt_sharding": lambda spark, sf_dir: sharding.shard(_documents(spark, sf_dir)),
     "op9_token_files": lambda spark, sf_dir: token_files.round_trip(_documents(spark, sf_dir), VOCABULARY),
     "op10_toxicity": lambda spark, sf_dir: toxicity.score(_documents(spark, sf_dir), table(spark, sf_dir, "labels")),
+    "op11_merkle_manifest": lambda spark, sf_dir: merkle.audit(_documents(spark, sf_dir)),
 }
 
-ORACLES = {"op2_quality_rules": quality_rules.oracle()}
+ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op11_merkle_manifest": merkle.oracle()}
