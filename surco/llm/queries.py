@@ -9,7 +9,7 @@ import tempfile
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from surco.llm import lookup_sketch, merkle, mixing, packing, quality_rules, ranking, sharding, simhash, suffixes, token_files, toxicity
+from surco.llm import conversations, lookup_sketch, merkle, mixing, packing, quality_rules, ranking, sharding, simhash, suffixes, token_files, toxicity
 from surco.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return table(spark, sf_dir, "conversations")
+
+
 QUERIES = {
     "op1_simhash_dedup": lambda spark, sf_dir: simhash.near_duplicates(_documents(spark, sf_dir)),
     "op2_quality_rules": lambda spark, sf_dir: quality_rules.judge(_documents(spark, sf_dir)),
@@ -44,6 +49,7 @@ QUERIES = {
     "op9_token_files": lambda spark, sf_dir: token_files.round_trip(_documents(spark, sf_dir), VOCABULARY),
     "op10_toxicity": lambda spark, sf_dir: toxicity.score(_documents(spark, sf_dir), table(spark, sf_dir, "labels")),
     "op11_merkle_manifest": lambda spark, sf_dir: merkle.audit(_documents(spark, sf_dir)),
+    "op12_conversation_repair": lambda spark, sf_dir: conversations.damaged_and_repaired(_conversations(spark, sf_dir)),
 }
 
 ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op11_merkle_manifest": merkle.oracle()}
