@@ -1,8 +1,7 @@
-"""Token ids of whole texts, by a public vocabulary file whose path is a parameter."""
+"""Token ids of whole texts by the tokenizers library and a public vocabulary file whose path is a parameter."""
 
 from __future__ import annotations
 
-import gc
 import re
 from array import array
 from collections.abc import Iterator
@@ -11,95 +10,54 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that one Python worker remembers; a full memory starts anew.
-MEMORY_PIECES = 900_000
-#: Bytes of text encoded at once.
-BLOCK_BYTES = 10 << 20
-#: Two neighbours of white space or control, or a zero byte: such a text is encoded whole.
-_RUN = r"[\x{0}-\x{20}\x{7f}-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]{2}|\x{0}"
-#: Places inside a piece where a run of letters ends and other characters begin.
+from surco.llm.pieces import PieceCoder, blocks
+
+#: Places inside a piece where a run of letters ends and other characters begin; the pattern cuts there too.
 _INNER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,\n!?;:|$%&*#])")
 _codecs: dict[str, Codec] = {}
 
 
-class Codec:
-    """Encodes texts piece by piece: a piece begins at a single space between two other characters.
-
-    The vocabulary's pattern always parts a text there, and where letters turn into punctuation, so the ids
-    of a text are those of its pieces in a row. Words repeat; each is encoded once per worker.
-    """
+class Codec(PieceCoder):
+    """The ids that the library gives whole texts. Runs of letters, which the pattern would leave whole, skip it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         # a text that holds one of these is encoded whole: cuts would part it
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # for runs of letters, with or without a space before, which the pattern would leave whole
-        self.letters = Tokenizer.from_file(path)
-        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}
+        self.unbroken = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.by_pattern = self.tokenizer.pre_tokenizer
+        self.by_letters = ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def whole(self, texts: list[str], letters: bool = False) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers, straight from the library."""
-        tokenizer, ids, ends = self.letters if letters else self.tokenizer, array("I"), [0]
-        for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+    def whole(self, texts: list[str]) -> list[bytes]:
+        ids, ends = array("I"), [0]
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             ids.extend(e.ids)
             ends.append(len(ids))
         raw = np.frombuffer(ids, np.uint32).astype("<u4").tobytes()
         return [raw[4 * a:4 * b] for a, b in zip(ends, ends[1:])]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
+    def pieces(self, pieces: list[str]) -> list[bytes]:
         known = self.known
-        if len(known) > MEMORY_PIECES:
-            known.clear()
-        new = [p for p in pieces if p not in known]
         words, rest, inner = set(), set(), {}
-        for p in new:
+        for p in pieces:
+            if p in known:
+                continue
             if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
                 words.add(p)
                 continue
             head, *others = inner[p] = _INNER.split(p)
             (words if others and head.lstrip(" ").isalpha() else rest).add(head)
             rest.update(others)
-        for unseen, letters in ((words, True), (rest, False)):
+        for unseen, way in ((words, self.by_letters), (rest, self.by_pattern)):
             unseen = [q for q in unseen if q not in known]
-            known.update(zip(unseen, self.whole(unseen, letters)))
-        return [b"".join([known[q] for q in inner[p]]) if p in inner else known[p] for p in pieces]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all texts in a row (unsigned 32-bit), and how many each text has."""
-        odd = pc.match_substring_regex(texts, _RUN)
-        for content in self.added:
-            odd = pc.or_(odd, pc.match_substring(texts, content))
-        if pc.any(odd).as_py():
-            flags = odd.to_numpy(zero_copy_only=False)
-            parts = iter(np.split(*_cuts(*self.encode(texts.filter(pc.invert(odd)))))) if not flags.all() else iter(())
-            long = iter(self.whole(texts.filter(odd).to_pylist()))
-            each = [np.frombuffer(next(long), "<u4") if f else next(parts) for f in flags]
-            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
-        if not len(texts):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        split = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
-        coded = split.flatten().dictionary_encode()
-        ids = self._pieces(coded.dictionary.to_pylist())
-        # a block's ids are far fewer than 2^31, unless one text alone is larger
-        count = np.int32 if len(texts) > 1 else np.int64
-        size = np.fromiter(map(len, ids), count, len(ids)) // 4
-        start = np.cumsum(size, dtype=count) - size
-        which = coded.indices.to_numpy()
-        n = size[which]
-        upto = np.cumsum(n, dtype=count)
-        at = np.repeat(start[which] - upto + n, n)
-        at += np.arange(len(at), dtype=count)
-        ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
-        filled = np.concatenate(([0], upto))[ends]
-        return np.frombuffer(b"".join(ids), "<u4")[at], np.diff(filled, prepend=0).astype(np.int64)
-
-
-def _cuts(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return ids, np.cumsum(n)[:-1]
+            self.tokenizer.pre_tokenizer = way  # the last one stays: whole texts need the pattern
+            for q, ids in zip(unseen, self.whole(unseen)):
+                known[q] = ids
+        young = known.young
+        return [b"".join([young[q] for q in inner[p]]) if p in inner else young[p] for p in pieces]
 
 
 def codec(path: str) -> Codec:
@@ -109,29 +67,9 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _undisturbed(run):
-    """Without cycle collection, which would walk the remembered pieces again and again."""
-
-    def wrapped(*args):
-        collects = gc.isenabled()
-        gc.disable()
-        try:
-            return run(*args)
-        finally:
-            if collects:
-                gc.enable()
-
-    return wrapped
-
-
 def encoded(batches: Iterator[pa.RecordBatch], path: str, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the ids of their texts (null: none) and each text's number of ids."""
     own = codec(path)
     for batch in batches:
-        texts = pc.fill_null(batch.column(column).cast(pa.string()), "")
-        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES)))
-            yield batch.slice(at, to - at), *_undisturbed(own.encode)(pa.array(texts.slice(at, to - at)))
-            at = to
+        for at, texts in blocks(pc.fill_null(batch.column(column).cast(pa.string()), "")):
+            yield batch.slice(at, len(texts)), *own.encode(texts)
