@@ -19,12 +19,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from surco.llm.pieces import PieceCoder, blocks
+
 #: Cells of one matrix, about; a part longer than that is a matrix by itself.
 MATRIX_CELLS = 1 << 20
-#: Bytes that one Python worker remembers of parts and their ids; a full memory starts anew.
-MEMORY_BYTES = 96 << 20
-#: Bytes of text encoded at once.
-BLOCK_BYTES = 4 << 20
 _NONE = np.int32(np.iinfo(np.int32).max)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _coders: dict[tuple[str, str], Coder] = {}
@@ -81,10 +79,11 @@ class PairTable:
         return out
 
 
-class Coder:
+class Coder(PieceCoder):
     """Ids of texts and bytes of ids for one rank file and pattern."""
 
     def __init__(self, path: str, pattern: str):
+        super().__init__()
         tokens = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.of_token = {t: i for i, t in enumerate(tokens)}
@@ -93,8 +92,6 @@ class Coder:
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.known: dict[str, bytes] = {}
-        self.held = 0
 
     def merge(self, parts: list[bytes]) -> list[np.ndarray]:
         """The ids of each part, none of them empty."""
@@ -148,11 +145,14 @@ class Coder:
             has = np.flatnonzero(place)
             rank[line[has], place[has] - 1] = self.pairs.merged(ids[line[has], place[has] - 1], best[has])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        parted = [self.pattern.findall(t) for t in texts]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return self.pieces(texts, keep=False)
+
+    def pieces(self, pieces: list[str], keep: bool = True) -> list[bytes]:
+        """The ids of each piece; it and its parts are remembered (``keep`` false: its parts)."""
         known, new = self.known, {}
-        for p in {p for parts in parted for p in parts}:
+        parted = {p: self.pattern.findall(p) for p in pieces if p not in known}
+        for p in {p for parts in parted.values() for p in parts}:
             if p in known:
                 continue
             raw = p.encode("utf-8", "surrogatepass")
@@ -160,18 +160,23 @@ class Coder:
             if own is None:
                 new[p] = raw
             else:
-                self._remember(p, np.array([own], "<u4").tobytes())
+                known[p] = np.array([own], "<u4").tobytes()
         for p, ids in zip(new, self.merge(list(new.values()))):
-            self._remember(p, ids.astype("<u4").tobytes())
-        out = [np.frombuffer(b"".join([known[p] for p in parts]), "<u4") for parts in parted]
-        if self.held > MEMORY_BYTES:
-            known.clear()
-            self.held = 0
+            known[p] = ids.astype("<u4").tobytes()
+        young, out = known.young, []
+        for p in pieces:
+            ids = young.get(p)
+            if ids is None:
+                ids = b"".join([young[q] for q in parted[p]])
+                if keep:
+                    known[p] = ids
+            out.append(ids)
         return out
 
-    def _remember(self, part: str, ids: bytes) -> None:
-        self.known[part] = ids
-        self.held += 180 + 2 * len(part) + len(ids)  # two objects and their place in the table
+    def each(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        ids, n = self.encode(texts)
+        return np.split(ids.astype("<u4", copy=False), np.cumsum(n)[:-1]) if len(n) else []
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids in a row."""
@@ -188,15 +193,6 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
-def _blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES)))
-        yield at, texts.slice(at, to - at)
-        at = to
-
-
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, ids``: the ids of every whole text, little-endian unsigned 32-bit numbers in one binary value.
 
@@ -205,8 +201,8 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for batch in batches:
-            for at, texts in _blocks(pc.fill_null(batch.column("text").cast(pa.string()), "")):
-                ids = [i.tobytes() for i in own.encode(texts.to_pylist())]
+            for at, texts in blocks(pc.fill_null(batch.column("text").cast(pa.string()), "")):
+                ids = [i.tobytes() for i in own.each(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -218,7 +214,7 @@ def decoded(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for batch in batches:
-            for at, ids in _blocks(pc.fill_null(batch.column("ids"), b"")):
+            for at, ids in blocks(pc.fill_null(batch.column("ids"), b"")):
                 texts = [own.decode(np.frombuffer(i, "<u4")) for i in ids.to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(texts, pa.binary())], ["doc_id", "bytes"])
 
@@ -234,8 +230,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for batch in batches:
-            for at, texts in _blocks(pc.fill_null(batch.column("text").cast(pa.string()), "")):
-                ids = own.encode(texts.to_pylist())
+            for at, texts in blocks(pc.fill_null(batch.column("text").cast(pa.string()), "")):
+                ids = own.each(texts)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(at, len(ids)), pa.array([len(i) for i in ids], pa.int64()),
                     pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),

@@ -9,10 +9,11 @@ import tempfile
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from surco.llm import conversations, lookup_sketch, merkle, mixing, packing, quality_rules, ranking, sharding, simhash, suffixes, token_files, toxicity
+from surco.llm import bpe, conversations, lookup_sketch, merkle, mixing, packing, quality_rules, ranking, sharding, simhash, suffixes, token_files, toxicity
 from surco.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def ship(spark: SparkSession) -> None:
@@ -50,6 +51,7 @@ QUERIES = {
     "op10_toxicity": lambda spark, sf_dir: toxicity.score(_documents(spark, sf_dir), table(spark, sf_dir, "labels")),
     "op11_merkle_manifest": lambda spark, sf_dir: merkle.audit(_documents(spark, sf_dir)),
     "op12_conversation_repair": lambda spark, sf_dir: conversations.damaged_and_repaired(_conversations(spark, sf_dir)),
+    "op13_byte_bpe": lambda spark, sf_dir: bpe.round_trip(_documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN),
 }
 
 ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op11_merkle_manifest": merkle.oracle()}
