@@ -22,8 +22,10 @@ ALIKE_WORDS = 5
 ALIKE = (4, 5)
 #: Least hashes of a text: so many bands of so many. Texts of similarity 0.8 agree in no band once in 38 000 pairs.
 BANDS, BAND_HASHES = 20, 4
-#: Nodes of a band that lead a round after the first.
-LEADERS = 8
+#: Of nodes that leaders of the first comparison left apart: further leaders of a band, and the most texts of a rare shingle.
+LEADERS, RARE = 4, 32
+#: Fingerprints of texts of similarity 0.8 differ in 10 of 64 bits on average; more than this once in millions of pairs.
+FAR_BITS = 26
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BLOCK = 1 << 15  # hashes unpacked at once
 
@@ -41,9 +43,8 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[size - 1:].tolist())), np.uint64, len(words) - size + 1)
 
 
-def text_fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of the word shingles of a text, as a signed number; 0 for a text without words."""
-    hashes = shingle_hashes(text, size)
+def fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashes, as a signed number; 0 for none."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -54,6 +55,11 @@ def text_fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
     return int(bits.view("<i8")[0])
 
 
+def text_fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
+    """The SimHash of the word shingles of a text; 0 for a text without words."""
+    return fingerprint(shingle_hashes(text, size))
+
+
 @F.pandas_udf(T.LongType())
 def fingerprint_of(texts: pd.Series) -> pd.Series:
     return pd.Series([text_fingerprint(t) for t in texts], dtype="int64")
@@ -143,25 +149,26 @@ def _those(docs: DataFrame, stay: DataFrame) -> DataFrame:
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * BAND_HASHES), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def text_bands(text: str | None) -> tuple[int, int, list[int]]:
-    """Name and size of the set of shingles of a text, and a key for each band of its least hashes (none without words)."""
-    hashes = np.unique(shingle_hashes(text, ALIKE_WORDS))
+def text_facts(text: str | None) -> tuple[int, int, int, list[int]]:
+    """Name and size of the set of shingles of a text, its fingerprint, and a key for each band of its least hashes (none without words)."""
+    every = shingle_hashes(text, ALIKE_WORDS)
+    hashes = np.unique(every)
     if not len(hashes):
-        return 0, 0, []
+        return 0, 0, 0, []
     least = np.full(BANDS * BAND_HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 1024):
         np.minimum(least, (hashes[at:at + 1024, None] * _FACTORS[0] + _FACTORS[1]).min(axis=0), out=least)
     bands = [_signed(xxh64_intdigest(b.tobytes(), k)) for k, b in enumerate(least.astype("<u8").reshape(BANDS, -1))]
-    return _signed(xxh64_intdigest(hashes.astype("<u8").tobytes(), 42)), len(hashes), bands
+    return _signed(xxh64_intdigest(hashes.astype("<u8").tobytes(), 42)), len(hashes), fingerprint(every), bands
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-@F.pandas_udf(T.StructType().add("node", T.LongType()).add("n", T.IntegerType()).add("bands", T.ArrayType(T.LongType())))
-def bands_of(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_bands(t) for t in texts], columns=["node", "n", "bands"]).astype({"node": "int64", "n": "int32"})
+@F.pandas_udf(T.StructType().add("node", T.LongType()).add("n", T.IntegerType()).add("print", T.LongType()).add("bands", T.ArrayType(T.LongType())))
+def facts_of(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([text_facts(t) for t in texts], columns=["node", "n", "print", "bands"]).astype({"node": "int64", "n": "int32", "print": "int64"})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -169,63 +176,91 @@ def shingles_of(texts: pd.Series) -> pd.Series:
     return pd.Series([np.unique(shingle_hashes(t, ALIKE_WORDS)).view(np.int64) for t in texts], dtype=object)
 
 
+def _pairs(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets of shingles have the similarity ``ALIKE``, by all shingles of both."""
+    """Those of ``pairs(a, b)`` whose sets of shingles have the similarity ``ALIKE``, by all shingles of both.
+
+    Sizes and fingerprints go first: they are a few bytes, and rule out most pairs that are far apart.
+    """
     p, q = ALIKE
-    sized = sets.select("node", "n")
-    near = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").filter(
-        q * F.least("na", "nb").cast("bigint") >= p * F.greatest("na", "nb").cast("bigint"))
+    known = sets.select("node", "n", "print")
+    near = pairs.join(known.toDF("a", "na", "pa"), "a").join(known.toDF("b", "nb", "pb"), "b").filter(
+        (q * F.least("na", "nb").cast("bigint") >= p * F.greatest("na", "nb").cast("bigint"))
+        & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= FAR_BITS)).select("a", "b", "na", "nb")
     both = near.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb")).cast("bigint")
     return both.filter((p + q) * shared >= p * (F.col("na").cast("bigint") + F.col("nb"))).select("a", "b")
 
 
-def alike_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(node, root)`` of the linked nodes, from ``rows(key, node)`` and ``sets(node, n, shingles)``.
+def _met_leaders(rows: DataFrame, orders: list[Column], known: list[str]) -> DataFrame:
+    """Pairs of every node with the first of its key in each order; with ``root`` known, only pairs of different roots."""
+    lead = rows.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(o.alias("o"), "node", *known)) for o in orders])).alias("leads"))
+    met = rows.join(lead, "key").select("node", *known, F.explode("leads").alias("lead"))
+    met = met.filter("lead.root <> root" if known else "lead.node <> node")
+    return met.select(*_pairs("node", "lead.node")).distinct()
+
+
+def _met_rare(members: DataFrame) -> DataFrame:
+    """Pairs of ``members(node, n, root, shingles)`` of different roots that share a rare shingle and may be alike.
 
-    In the first round one node of every key leads and is compared with all nodes of the key; in each further one ``LEADERS``
-    nodes, each with those that aren't yet of its component. Keys of a single component are done. The rounds end when one finds
-    no new link.
+    A prefix filter. In one order of all shingles, those of one text first, then those of up to ``RARE`` texts, two sets of n and more shingles
+    with the similarity ``ALIKE`` share one of the first n - ceil(0.8 n) + 1. Only rare ones of these are
+    sent, and only where they reach texts of different roots, so no group is longer than ``RARE``.
     """
-    roots, turn = None, 0
-    while True:
-        orders = range(turn * LEADERS, (turn + 1) * LEADERS) if turn else [0]
-        known = ["root"] if turn else []
-        lead = rows.groupBy("key").agg(F.array_distinct(F.array(*[
-            F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", *known))["node"] for k in orders])).alias("leads"))
-        led = lead.select("key", F.explode("leads").alias("lead"))
-        if turn:
-            led = led.join(rows.select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root")), ["key", "lead"])
-        met = rows.join(led, "key").filter("lead <> node" + (" AND lead_root <> root" if turn else ""))
-        pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        found = written_once(_alike(pairs, sets))
-        if found.isEmpty():
-            break
-        links = found if roots is None else found.unionByName(roots.toDF("a", "b"))
-        roots = written_once(components(links))
-        rows = rows.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rows.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l <> h").select("key")
-        rows = written_once(rows.join(mixed, "key", "left_semi"))
-        turn += 1
-    return components(found) if roots is None else roots
+    p, q = ALIKE
+    each = members.select("node", "root", "n", F.explode("shingles").alias("s"))
+    used = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("c") <= RARE)
+    first = F.col("n") - F.ceil(F.col("n") * p / q) + 1
+    rare = each.join(used, "s").groupBy("node", "root", "n").agg(
+        F.count(F.when(F.col("c") == 1, 1)).alias("alone"),
+        F.sort_array(F.collect_list(F.when(F.col("c") > 1, F.struct("s", (F.col("lo") != F.col("hi")).alias("wide"))))).alias("shared"))
+    sent = rare.withColumn("left", (first - F.col("alone")).cast("int")).filter("left > 0").select(
+        "node", "root", "n", F.explode(F.expr("filter(slice(shared, 1, left), x -> x.wide)")).alias("x"))
+    met = sent.groupBy("x.s").agg(F.sort_array(F.collect_list(F.struct("node", "root", "n"))).alias("m"))
+    pairs = met.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).filter(
+        (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+        & (q * F.least("x.n", "y.n").cast("bigint") >= p * F.greatest("x.n", "y.n").cast("bigint")))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def alike_roots(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(node, root)`` of the nodes linked by similarity, from ``rows(key, node, n)`` and ``sets(node, n, print, shingles)``.
+
+    First every node of a key is compared with the smallest and with one other of its key, the same one in most keys. That joins copies of one
+    text, however many. Keys of a single component are done. In those that are left, nodes of different components meet by their rare
+    shingles, which misses no pair that shares one, and once more by leaders, for texts of which all parts are frequent.
+    """
+    found = written_once(_alike(_met_leaders(rows, [F.col("n").cast("bigint"), F.xxhash64("node", F.lit(0))], []), sets))
+    roots = written_once(components(found))
+    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    open_ = written_once(rooted.join(mixed, "key", "left_semi"))
+    members = sets.join(open_.select("node", "root").distinct(), "node")
+    met = _met_rare(members).unionByName(_met_leaders(open_, [F.xxhash64("node", F.lit(k)) for k in range(1, LEADERS + 1)], ["root"])).distinct()
+    more = written_once(_alike(met, sets))
+    return components(more.unionByName(roots.toDF("a", "b")))
 
 
 def keep_one_alike(docs: DataFrame) -> DataFrame:
     """The documents with one of each group of near copies: the least id, then the least text hash.
 
     Near copies have 5-word shingles of a similarity of 0.8 or more (exact, by all shingles), or are linked by such texts.
-    Texts of the same shingles are one row from the start. The others meet in bands of least hashes.
-    All columns stay. Repeated rows of the document that stays count once; a null id comes last.
+    Texts of the same shingles are one row from the start, so all texts without a word (null, empty, blank) are one group. The others meet
+    in bands of least hashes, and what meets is decided by fingerprint, size and all shingles. All columns stay. Repeated rows of
+    the document that stays count once; a null id comes last. An empty table gives no row; other columns are not read.
     """
-    base = docs.select("doc_id", _text_key().alias("k"), bands_of(F.col("text")).alias("t")).select("doc_id", "k", "t.*")
-    nodes = written_once(base.groupBy("node").agg(F.min(_order()).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    rows = nodes.select("node", F.explode("bands").alias("key"))
+    base = docs.select("doc_id", _text_key().alias("k"), facts_of(F.col("text")).alias("t")).select("doc_id", "k", "t.*")
+    nodes = written_once(base.groupBy("node").agg(F.min(_order()).alias("first"), *[F.first(c).alias(c) for c in ("n", "print", "bands")]))
+    rows = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     rows = written_once(rows.join(shared, "key", "left_semi"))
-    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("first.doc_id", "first.k", "node", "n")
+    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("first.doc_id", "first.k", "node", "n", "print")
     key, = fresh(docs, "text_key")
-    texts = _with_key(docs.select("doc_id", "text"), wanted, "inner", key).select("s.node", "s.n", "d.text").dropDuplicates(["node"])
-    roots = alike_links(rows, written_once(texts.select("node", "n", shingles_of(F.col("text")).alias("shingles"))))
+    texts = _with_key(docs.select("doc_id", "text"), wanted, "inner", key).select("s.node", "s.n", "s.print", "d.text").dropDuplicates(["node"])
+    roots = alike_roots(rows, written_once(texts.select("node", "n", "print", shingles_of(F.col("text")).alias("shingles"))))
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return _those(docs, rooted.select("first.doc_id", "first.k"))

@@ -184,6 +184,34 @@ def test_stage_leaves_one_of_each_group_of_near_copies(spark, sf_dir):
     assert {x.doc_id for x in corpus_pipeline.one_of_near_duplicates(spark, docs, sf_dir).collect()} == want
 
 
+def templated(texts, planted, shared, own):
+    """Texts that share a beginning (similarity 0.76 at 640 and 100 words), some with a partner of similarity just over 0.8."""
+    r = random.Random(1)
+    word = lambda: f"w{r.getrandbits(32):08x}"
+
+    def shingles(words):
+        return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+    head = [word() for _ in range(shared)]
+    rows = [head + [word() for _ in range(own)] for _ in range(texts - planted)]
+    for p in range(planted):
+        mine = shingles(rows[3 * p])
+        for k in range(own + 1):
+            partner = rows[3 * p][:shared + k] + [word() for _ in range(own - k)]
+            other = shingles(partner)
+            if 10 * len(mine & other) >= 8 * len(mine | other):
+                break
+        rows.append(partner)
+    return [(i, " ".join(words)) for i, words in enumerate(rows)]
+
+
+def test_stage_loses_no_pair_of_templated_texts(spark):
+    rows = templated(2540, 20, 640, 100)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    got = {x.doc_id for x in corpus_pipeline.one_of_near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert got == set(range(2520))
+
+
 def test_stage_leaves_one_of_the_near_copies_of_the_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     got = [x.doc_id for x in corpus_pipeline.one_of_near_duplicates(spark, docs, "").select("doc_id").collect()]
