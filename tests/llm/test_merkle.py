@@ -49,6 +49,8 @@ def manifest_by_hand(rows):
     for lang in order:
         langs[lang].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf_by_hand(r)))
         trees[lang] = tree_by_hand([leaf_by_hand(r) for r in langs[lang]])
+    if not rows:
+        return []
     upper, root = tree_by_hand([trees[lang][1] for lang in order])
     for k, lang in enumerate(order):
         for r, path in zip(langs[lang], trees[lang][0]):
