@@ -146,32 +146,23 @@ class Coder(PieceCoder):
             rank[line[has], place[has] - 1] = self.pairs.merged(ids[line[has], place[has] - 1], best[has])
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return self.pieces(texts, keep=False)
-
-    def pieces(self, pieces: list[str], keep: bool = True) -> list[bytes]:
-        """The ids of each piece; it and its parts are remembered (``keep`` false: its parts)."""
-        known, new = self.known, {}
-        parted = {p: self.pattern.findall(p) for p in pieces if p not in known}
-        for p in {p for parts in parted.values() for p in parts}:
-            if p in known:
-                continue
-            raw = p.encode("utf-8", "surrogatepass")
-            own = self.of_token.get(raw)
-            if own is None:
-                new[p] = raw
-            else:
-                known[p] = np.array([own], "<u4").tobytes()
-        for p, ids in zip(new, self.merge(list(new.values()))):
-            known[p] = ids.astype("<u4").tobytes()
-        young, out = known.young, []
-        for p in pieces:
-            ids = young.get(p)
-            if ids is None:
-                ids = b"".join([young[q] for q in parted[p]])
-                if keep:
-                    known[p] = ids
-            out.append(ids)
-        return out
+        return self.pieces(texts)
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; each distinct part is encoded once, and remembered like a piece."""
+        parted = [self.pattern.findall(p) for p in pieces]
+        parts = list({p for parts in parted for p in parts})
+        ids, unseen = self.known.find(parts)
+        new = [parts[k] for k in unseen]
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        own = [self.of_token.get(r) for r in raw]
+        merged = iter(self.merge([r for r, o in zip(raw, own) if o is None]))
+        found = [(next(merged).astype("<u4") if o is None else np.array([o], "<u4")).tobytes() for o in own]
+        self.known.put(new, found)
+        for k, i in zip(unseen, found):
+            ids[k] = i
+        of_part = dict(zip(parts, ids))
+        return [of_part[parts[0]] if len(parts) == 1 else b"".join([of_part[q] for q in parts]) for parts in parted]
 
     def each(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""

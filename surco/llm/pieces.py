@@ -10,11 +10,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that one Python worker remembers of pieces and their ids, about.
-MEMORY_BYTES = 120 << 20
+MEMORY_BYTES = 160 << 20
 #: Bytes of text encoded at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: Two neighbours of white space or control, or a zero byte: such a text is encoded whole.
 _RUN = r"[\x{0}-\x{20}\x{7f}-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]{2}|\x{0}"
+#: Where a run of letters ends and a mark follows, the pattern cuts too.
+_WORD_END = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:|$%&*#])"
 
 
 class Memory:
@@ -25,18 +27,22 @@ class Memory:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __setitem__(self, piece: str, ids: bytes) -> None:
-        self.young[piece] = ids
-        self.held += 190 + len(piece) + len(ids)  # two objects and their place in the table
-
-    def __contains__(self, piece: str) -> bool:
-        if piece in self.young:
-            return True
-        ids = self.old.get(piece)
-        if ids is None:
-            return False
-        self[piece] = ids
-        return True
+    def find(self, pieces: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """The ids of each piece and the places of those not known."""
+        ids = list(map(self.young.get, pieces))
+        unseen = [k for k, i in enumerate(ids) if i is None]
+        if self.old and unseen:
+            older = list(map(self.old.get, [pieces[k] for k in unseen]))
+            again = [(k, i) for k, i in zip(unseen, older) if i is not None]
+            for k, i in again:
+                ids[k] = i
+            self.put([pieces[k] for k, _ in again], [i for _, i in again])
+            unseen = [k for k, i in zip(unseen, older) if i is None]
+        return ids, unseen
+
+    def put(self, pieces: list[str], ids: list[bytes]) -> None:
+        self.young.update(zip(pieces, ids))
+        self.held += 190 * len(pieces) + sum(map(len, pieces)) + sum(map(len, ids))  # two objects and their place in the table
 
     def age(self) -> None:
         """To be called between blocks: while one is encoded, nothing is forgotten."""
@@ -45,10 +51,11 @@ class Memory:
 
 
 class PieceCoder:
-    """Encodes texts piece by piece: a piece begins at a single space between two other characters.
+    """Encodes texts piece by piece: a piece begins at a single space or line end between two other characters, behind
+    such a line end, and at a mark behind a letter.
 
     The vocabulary's pattern always parts a text there, so the ids of a text are those of its pieces in a row. ``whole`` and
-    ``pieces`` give the ids of texts and of pieces as little-endian unsigned 32-bit numbers; texts that hold one of ``unbroken`` are never cut.
+    ``pieces`` give the ids of texts and of new pieces as little-endian unsigned 32-bit numbers; texts that hold one of ``unbroken`` are never cut.
     """
 
     unbroken: tuple[str, ...] = ()
@@ -91,21 +98,21 @@ class PieceCoder:
         return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        split = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+        split = pc.split_pattern(pc.replace_substring_regex(marked, _WORD_END, "\\1\0\\2"), "\0")
         coded = split.flatten().dictionary_encode()
-        ids = self.pieces(coded.dictionary.to_pylist())
-        # a block's ids are far fewer than 2^31, unless one text alone is larger
-        count = np.int32 if len(texts) > 1 else np.int64
-        size = np.fromiter(map(len, ids), count, len(ids)) // 4
-        start = np.cumsum(size, dtype=count) - size
-        which = coded.indices.to_numpy()
-        n = size[which]
-        upto = np.cumsum(n, dtype=count)
-        at = np.repeat(start[which] - upto + n, n)
-        at += np.arange(len(at), dtype=count)
-        ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
-        filled = np.concatenate(([0], upto))[ends]
-        return np.frombuffer(b"".join(ids), "<u4")[at], np.diff(filled, prepend=0).astype(np.int64)
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        ids, unseen = self.known.find(pieces)
+        if unseen:
+            new = [pieces[k] for k in unseen]
+            found = self.pieces(new)
+            self.known.put(new, found)
+            for k, i in zip(unseen, found):
+                ids[k] = i
+        every = pa.array(ids, pa.large_binary()).take(coded.indices)
+        filled = np.frombuffer(every.buffers()[1], np.int64)[:len(every) + 1] // 4
+        ends = np.asarray(split.offsets) - split.offsets[0].as_py()
+        return np.frombuffer(every.buffers()[2] or b"", "<u4")[:filled[-1]], np.diff(filled[ends])
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import os
 from array import array
 from collections.abc import Iterator
 
@@ -12,8 +12,6 @@ import pyarrow.compute as pc
 
 from surco.llm.pieces import PieceCoder, blocks
 
-#: Places inside a piece where a run of letters ends and other characters begin; the pattern cuts there too.
-_INNER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,\n!?;:|$%&*#])")
 _codecs: dict[str, Codec] = {}
 
 
@@ -21,6 +19,8 @@ class Codec(PieceCoder):
     """The ids that the library gives whole texts. Runs of letters, which the pattern would leave whole, skip it."""
 
     def __init__(self, path: str):
+        # Spark's tasks are the parallelism; the library's own threads only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -40,24 +40,12 @@ class Codec(PieceCoder):
         return [raw[4 * a:4 * b] for a, b in zip(ends, ends[1:])]
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        known = self.known
-        words, rest, inner = set(), set(), {}
-        for p in pieces:
-            if p in known:
-                continue
-            if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
-                words.add(p)
-                continue
-            head, *others = inner[p] = _INNER.split(p)
-            (words if others and head.lstrip(" ").isalpha() else rest).add(head)
-            rest.update(others)
-        for unseen, way in ((words, self.by_letters), (rest, self.by_pattern)):
-            unseen = [q for q in unseen if q not in known]
-            self.tokenizer.pre_tokenizer = way  # the last one stays: whole texts need the pattern
-            for q, ids in zip(unseen, self.whole(unseen)):
-                known[q] = ids
-        young = known.young
-        return [b"".join([young[q] for q in inner[p]]) if p in inner else young[p] for p in pieces]
+        words = [p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) or p.isalpha() for p in pieces]
+        self.tokenizer.pre_tokenizer = self.by_letters
+        letters = iter(self.whole([p for p, w in zip(pieces, words) if w]))
+        self.tokenizer.pre_tokenizer = self.by_pattern  # it stays: whole texts need it
+        others = iter(self.whole([p for p, w in zip(pieces, words) if not w]))
+        return [next(letters if w else others) for w in words]
 
 
 def codec(path: str) -> Codec:
