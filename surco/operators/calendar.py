@@ -29,6 +29,13 @@ def calendar_table(spark: SparkSession, cycles: dict = DEFAULT_CALENDAR) -> Data
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(cycle, stage_ord, stage, start_mmdd, end_mmdd)")
 
 
+def calendar_of_years(years: DataFrame, cycles: dict = DEFAULT_CALENDAR) -> DataFrame:
+    """The calendar once for every row of ``years``: a literal array that each row explodes, no join."""
+    rows = [F.struct(F.lit(c).alias("cycle"), F.lit(i).alias("stage_ord"), F.lit(n).alias("stage"), F.lit(a).alias("start_mmdd"), F.lit(b).alias("end_mmdd"))
+            for c, stages in cycles.items() for i, (n, a, b) in enumerate(stages)]
+    return years.select("*", F.explode(F.array(*rows)).alias("entry")).select(*years.columns, "entry.*")
+
+
 def mmdd_date(year: Column, mmdd: Column) -> Column:
     """The date of a MM-DD text in ``year``; NULL for an impossible day."""
     return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), mmdd), "yyyy-MM-dd")

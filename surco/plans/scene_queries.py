@@ -212,9 +212,7 @@ def staged_scenes(spark, sf_dir):
     """Scenes of both cycles with their stage in the starting calendar (year of their date)."""
     f = view(spark, sf_dir, "scene_facts").withColumns({
         "cycle": F.when(F.col("k") % 2 == 0, "OI").otherwise("PV"), "year": F.year("obs_date")})
-    years = f.select("year").distinct()
-    cal = CAL.calendar_table(spark).withColumn("cycle_key", F.lit(1))
-    windows = CAL.windows(years.withColumn("cycle_key", F.lit(1)).join(cal, "cycle_key").drop("cycle_key"))
+    windows = CAL.windows(CAL.calendar_of_years(f.select("year").distinct()))
     return CAL.stage_assign(f, windows, "obs_date", ["cycle", "year"])
 
 
@@ -289,8 +287,7 @@ def restage_manifest(spark, sf_dir):
     rec = records(spark, sf_dir).filter("status = 'ok'").withColumns({
         "files": F.split("files", ";"), "obs_date": F.to_date("date"),
         "cycle": F.when(F.col("k") % 2 == 0, "OI").otherwise("PV")}).withColumn("year", F.year("obs_date"))
-    years = s.select("year").distinct().withColumn("cycle_key", F.lit(1))
-    windows = CAL.windows(years.join(CAL.calendar_table(spark, NEW_CALENDAR).withColumn("cycle_key", F.lit(1)), "cycle_key").drop("cycle_key"))
+    windows = CAL.windows(CAL.calendar_of_years(s.select("year").distinct(), NEW_CALENDAR))
     # on disk: every file at its stage, but some second files lost, and some first files already at the target
     source = F.concat_ws("/", "stage", "sensor")
     here = rec.select(source.alias("folder"), "k", F.posexplode("files").alias("i", "file")).filter(~((F.col("i") == 1) & (F.col("k") % 9 == 2)))

@@ -39,9 +39,8 @@ def stream_manifest_stage(spark, sf_dir):
     rec = f.select(F.col("id").alias("scene_id"), F.col("obs_date").cast("timestamp").alias("obs_time"), "obs_date",
                    F.when(F.col("k") % 2 == 0, "OI").otherwise("PV").alias("cycle"), F.year("obs_date").alias("year"))
     inbox, sink, log = (scratch_path(spark, n) for n in ("inbox", "staged", "log"))
-    years = rec.select("year").distinct().select("year", F.lit(1).alias("one"))
-    windows = CAL.windows(years.join(CAL.calendar_table(spark).withColumn("one", F.lit(1)), "one").drop("one"))
+    windows = CAL.windows(CAL.calendar_of_years(rec.select("year").distinct()))
     for part in (rec.filter(F.month("obs_date") > 6), rec):
         part.write.mode("append").parquet(inbox)
         J.manifest_stage(spark.readStream.schema(rec.schema).parquet(inbox), windows, sink, log).awaitTermination()
-    return spark.read.parquet(sink).select("scene_id", "cycle", "stage")
+    return J.staged_scenes(spark, J.staged_schema(rec), sink).select("scene_id", "cycle", "stage")

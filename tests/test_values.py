@@ -384,22 +384,6 @@ def test_merge_takes_the_last_row_of_a_part(spark):
     assert merge_last_wins([earlier, part], "line", ("key",)).first()["line"] == 999
 
 
-def test_a_replayed_upsert_gives_the_same_table(spark, tmp_path):
-    from surco.streaming import jobs as J
-
-    def cuts(v, load):
-        return spark.createDataFrame([("c", 2024, "OI", "riego", "maiz", k, float(v), load) for k in range(5)],
-                                     "cvegeo string, anio int, ciclo string, modalidad string, cultivo string, fecha int, sembrada double, load_ord int")
-
-    table = str(tmp_path / "cuts")
-    J.upsert_batch(cuts(1, 0), 0, table)
-    for _ in range(2):  # the second batch again, as after a failure
-        J.upsert_batch(cuts(2, 1).filter("fecha < 2"), 1, table)
-    J.upsert_batch(cuts(3, 0).filter("fecha = 0"), 2, table)
-    got = {r["fecha"]: r["sembrada"] for r in J.current_cuts(spark, cuts(0, 0).schema, table).collect()}
-    assert got == {0: 2.0, 1: 2.0, 2: 1.0, 3: 1.0, 4: 1.0}
-
-
 def test_permutation_is_one_cycle_whatever_the_parts(spark, monkeypatch):
     from surco.operators import classify as CL
 
