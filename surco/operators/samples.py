@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surco.functions.text import class_guess
+from surco.operators import covering
 from surco.operators import zones as Z
 from surco.operators.raster import CLASSES
 from surco.operators.ranks import first_n
@@ -27,62 +28,67 @@ def extract(pixels: DataFrame, vertices: DataFrame, mapping: DataFrame, res: flo
 
     ``vertices``: field_ord, grupo, kind ('polygon' or 'point'), etiqueta, ring_id, v_ord, x, y.
     A polygon takes the pixels whose centre it holds at least ``inner_buffer`` from its outline; a
-    point those within its radius. A field that takes none gets the cell under its point (for a
-    polygon, under the mean of its vertices when that lies deep enough), if nobody else has it.
-    Later fields overwrite earlier ones.
+    point those within its radius. A field that takes none gets every cell that it, shrunk, touches and nobody
+    else has. Later fields overwrite earlier ones.
     """
-    known = vertices.join(mapping.select(F.col("value").alias("etiqueta"), "clase"), "etiqueta").filter(F.col("clase").isin(*CLASSES))
-    info = known.groupBy("field_ord").agg(F.first("grupo").alias("grupo"), F.first("clase").alias("clase"))
-    polygons, points = known.filter("kind = 'polygon'"), known.filter("kind = 'point'")
-    outline = Z.edges(polygons, ("field_ord",))
     grid = pixels.select("px_id", "fila", "col", "x", "y")
-    inside = Z.point_in_polygon(grid, outline, res, ("field_ord",)).select("field_ord", "px_id", "x", "y")
-    if inner_buffer > 0:
-        inside = written_once(inside)  # read by both sides of the buffer test
-        inside = inside.join(Z.near_edges(inside, outline, inner_buffer, "field_ord"), ["field_ord", "px_id"], "left_anti")
-    radius = max(point_radius, res * 0.01)
-    cell = lambda c: F.floor(F.col(c) / res).cast("int")
-    reach = int(radius // res) + 1
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    spots = points.select("field_ord", F.col("x").alias("px"), F.col("y").alias("py"), cell("y").alias("r"), cell("x").alias("c"))
-    candidates = spots.select("*", F.explode(around).alias("i")).select("*", F.explode(around).alias("j")).select(
-        "field_ord", "px", "py", (F.col("r") + F.col("i")).alias("fila"), (F.col("c") + F.col("j")).alias("col"))
-    under = grid.join(candidates, ["fila", "col"])
-    dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
-    touched = under.filter(F.sqrt(dx * dx + dy * dy) <= radius)
-    hits = inside.select("field_ord", "px_id").unionByName(touched.select("field_ord", "px_id"))
-    taken = written_once(hits.groupBy("px_id").agg(F.max("field_ord").alias("field_ord")))
-    # fields left without a pixel
-    left = info.select("field_ord").join(taken.select("field_ord").distinct(), "field_ord", "left_anti")
-    middle = polygons.groupBy("field_ord").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    middle = middle.withColumns({"px_id": F.col("field_ord"), "fila": cell("y"), "col": cell("x")})
-    lone = middle.join(left, "field_ord", "left_semi")
-    own = Z.edges(polygons.join(left, "field_ord", "left_semi"), ("field_ord",))
-    # inside test of the few lone middles against their own outline only
-    y = F.col("y")
-    spans_y = (F.col("y1") > y) != (F.col("y2") > y)
-    right = F.col("x") < F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    crossing = F.when(F.col("y1") != F.col("y2"), spans_y & right).otherwise(False)
-    deep = lone.join(own, "field_ord").groupBy("field_ord", "fila", "col").agg(
-        F.count_if(crossing).alias("n"), F.min(Z._distance(F.col("x"), F.col("y"))).alias("d")).filter(
-        (F.col("n") % 2 == 1) & (F.col("d") >= inner_buffer)).select("field_ord", "fila", "col")
-    single = points.join(left, "field_ord", "left_semi").select("field_ord", cell("y").alias("fila"), cell("x").alias("col"))
-    spare = grid.join(deep.unionByName(single), ["fila", "col"]).join(taken.select("px_id"), "px_id", "left_anti")
+    known = _known(vertices, mapping)
+    taken = _taken(grid, known, res, inner_buffer, point_radius)
+    left = known.select("field_ord").distinct().join(taken.select("field_ord").distinct(), "field_ord", "left_anti")
+    spare = grid.join(_touched(known.join(left, "field_ord", "left_semi"), res, inner_buffer, point_radius), ["fila", "col"]).join(
+        taken.select("px_id"), "px_id", "left_anti")
     extra = spare.groupBy("px_id").agg(F.max("field_ord").alias("field_ord"))
+    info = known.groupBy("field_ord").agg(F.first("grupo").alias("grupo"), F.first("clase").alias("clase"))
     out = taken.unionByName(extra).join(info, "field_ord").join(grid.select("px_id", "fila", "col"), "px_id")
     out = out.select("px_id", "fila", "col", "grupo", "clase")
     return cap(out, ["grupo"], max_per_group, seed) if max_per_group else out
 
 
-def extract_report(vertices: DataFrame, mapping: DataFrame, taken: DataFrame) -> DataFrame:
-    """How many fields were given, ignored by class, or ended without a pixel."""
+def _known(vertices: DataFrame, mapping: DataFrame) -> DataFrame:
+    return vertices.join(mapping.select(F.col("value").alias("etiqueta"), "clase"), "etiqueta").filter(F.col("clase").isin(*CLASSES))
+
+
+def _radius(res: float, point_radius: float) -> float:
+    return max(point_radius, res * 0.01)
+
+
+def _taken(grid: DataFrame, known: DataFrame, res: float, inner_buffer: float, point_radius: float) -> DataFrame:
+    """(px_id, field_ord) of the pixels whose centre a field holds, written once."""
+    outline = Z.edges(known.filter("kind = 'polygon'"), ("field_ord",))
+    inside = Z.point_in_polygon(grid, outline, res, ("field_ord",)).select("field_ord", "px_id", "x", "y")
+    if inner_buffer > 0:
+        inside = written_once(inside)  # read by both sides of the buffer test
+        inside = inside.join(Z.near_edges(inside, outline, inner_buffer, "field_ord"), ["field_ord", "px_id"], "left_anti")
+    radius = _radius(res, point_radius)
+    spots = known.filter("kind = 'point'").select("field_ord", "x", "y")
+    under = grid.join(covering.touched_by_discs(spots, res, radius).join(spots.toDF("field_ord", "px", "py"), "field_ord"), ["fila", "col"])
+    near = under.filter(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) <= radius)
+    hits = inside.select("field_ord", "px_id").unionByName(near.select("field_ord", "px_id"))
+    return written_once(hits.groupBy("px_id").agg(F.max("field_ord").alias("field_ord")))
+
+
+def _touched(fields: DataFrame, res: float, inner_buffer: float, point_radius: float) -> DataFrame:
+    outline = Z.edges(fields.filter("kind = 'polygon'"), ("field_ord",))
+    spots = fields.filter("kind = 'point'").select("field_ord", "x", "y")
+    return covering.touched_by_polygons(outline, res, inner_buffer).unionByName(covering.touched_by_discs(spots, res, _radius(res, point_radius)))
+
+
+def extract_report(vertices: DataFrame, mapping: DataFrame, taken: DataFrame, res: float, inner_buffer: float = 10.0, point_radius: float = 0.0) -> DataFrame:
+    """How many fields were given, ignored by class, shrank to nothing, or ended without a pixel (off the grid, or all taken by others).
+
+    ``taken`` is what ``extract`` gave with the same settings, before any cap.
+    """
     fields = vertices.select("field_ord", "grupo", "etiqueta").distinct().join(
         mapping.select(F.col("value").alias("etiqueta"), "clase"), "etiqueta", "left")
     got = taken.select("grupo").distinct().withColumn("hit", F.lit(1))
-    known = F.col("clase").isin(*CLASSES)
-    return fields.join(got, "grupo", "left").agg(
-        F.count(F.lit(1)).alias("features"), F.count_if(~F.coalesce(known, F.lit(False))).alias("ignored_class"),
-        F.count_if(F.coalesce(known, F.lit(False)) & F.col("hit").isNull()).alias("without_pixels"))
+    known = F.coalesce(F.col("clase").isin(*CLASSES), F.lit(False))
+    found = written_once(fields.join(got, "grupo", "left").select("field_ord", known.alias("known"), F.col("hit").isNotNull().alias("hit")))
+    lone = _known(vertices, mapping).join(found.filter("known AND NOT hit"), "field_ord", "left_semi")
+    something = _touched(lone, res, inner_buffer, point_radius).select("field_ord").distinct().withColumn("some", F.lit(1))
+    lost = F.col("known") & ~F.col("hit")
+    return found.join(something, "field_ord", "left").agg(
+        F.count(F.lit(1)).alias("features"), F.count_if(~F.col("known")).alias("ignored_class"),
+        F.count_if(lost & F.col("some").isNull()).alias("empty_after_buffer"), F.count_if(lost & F.col("some").isNotNull()).alias("outside"))
 
 
 def cap(samples: DataFrame, keys: Sequence[str], n: int, seed: int = 0, id_col: str = "px_id") -> DataFrame:

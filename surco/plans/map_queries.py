@@ -222,12 +222,20 @@ hits AS (SELECT px_id, field_ord FROM dst WHERE d >= 3 UNION ALL
   SELECT px_id, field_ord FROM px, pt WHERE sqrt(pow(px.x - pt.x, 2) + pow(px.y - pt.y, 2)) <= 15),
 tk AS (SELECT px_id, max(field_ord) AS field_ord FROM hits GROUP BY 1),
 lf AS (SELECT DISTINCT field_ord FROM fv WHERE field_ord NOT IN (SELECT field_ord FROM tk)),
-mid AS (SELECT field_ord, avg(x) AS mx, avg(y) AS my FROM pg WHERE field_ord IN (SELECT field_ord FROM lf) GROUP BY 1),
-deep AS (SELECT field_ord, mx, my FROM mid JOIN fe USING (field_ord), LATERAL (SELECT greatest(0e0, least(1e0, ((mx - x1) * (x2 - x1) + (my - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t)
-  GROUP BY ALL HAVING count(*) FILTER (WHERE (y1 > my) <> (y2 > my) AND mx < x1 + (my - y1) * (x2 - x1) / (y2 - y1)) % 2 = 1
-   AND min(sqrt(pow(mx - (x1 + t * (x2 - x1)), 2) + pow(my - (y1 + t * (y2 - y1)), 2))) >= 3),
-sp AS (SELECT field_ord, mx, my FROM deep UNION ALL SELECT field_ord, x, y FROM pt WHERE field_ord IN (SELECT field_ord FROM lf)),
-ex AS (SELECT px_id, max(field_ord) AS field_ord FROM px JOIN sp ON px.fila = floor(my / 20) AND px.col = floor(mx / 20) WHERE px_id NOT IN (SELECT px_id FROM tk) GROUP BY 1),
+mid AS (SELECT field_ord, avg(x) AS mx, avg(y) AS my, floor(min(x) / 20) AS kx0, ceil(max(x) / 20) AS kx1, floor(min(y) / 20) AS ky0, ceil(max(y) / 20) AS ky1
+  FROM pg WHERE field_ord IN (SELECT field_ord FROM lf) GROUP BY 1),
+nm AS (SELECT field_ord, x1, y1, (y1 - y2) / l AS a, (x2 - x1) / l AS c FROM (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS l FROM fe)),
+hp AS (SELECT *, a0 * s AS a, c0 * s AS c, (a0 * x1 + c0 * y1) * s + 3 AS d FROM (SELECT mid.*, x1, y1, a AS a0, c AS c0,
+  CASE WHEN a * (mx - x1) + c * (my - y1) > 0 THEN 1e0 ELSE -1e0 END AS s FROM nm JOIN mid USING (field_ord))),
+cr AS (SELECT field_ord, (g.d * h.c - h.d * g.c) / (g.a * h.c - h.a * g.c) AS x, (g.a * h.d - h.a * g.d) / (g.a * h.c - h.a * g.c) AS y
+  FROM hp g JOIN hp h USING (field_ord) WHERE abs(g.a * h.c - h.a * g.c) > 1e-12),
+cd AS (SELECT field_ord, x, y, floor(y / 20) AS fila, floor(x / 20) AS col FROM cr
+  UNION ALL SELECT field_ord, k * 20e0, (d - a * k * 20) / c, floor((d - a * k * 20) / c / 20), k - o FROM (SELECT *, unnest(range(kx0::BIGINT, kx1::BIGINT + 1)) AS k FROM hp WHERE c <> 0), (VALUES (0), (1)) AS t(o)
+  UNION ALL SELECT field_ord, (d - c * k * 20) / a, k * 20e0, k - o, floor((d - c * k * 20) / a / 20) FROM (SELECT *, unnest(range(ky0::BIGINT, ky1::BIGINT + 1)) AS k FROM hp WHERE a <> 0), (VALUES (0), (1)) AS t(o)),
+tp AS (SELECT DISTINCT field_ord, fila, col FROM cd WHERE NOT EXISTS (SELECT 1 FROM hp WHERE hp.field_ord = cd.field_ord AND hp.a * cd.x + hp.c * cd.y < hp.d - 4e-7)),
+td AS (SELECT field_ord, fila, col FROM (SELECT field_ord, x AS dx, y AS dy FROM pt WHERE field_ord IN (SELECT field_ord FROM lf)) JOIN px
+  ON pow(dx - greatest(col * 20, least(dx, col * 20 + 20)), 2) + pow(dy - greatest(fila * 20, least(dy, fila * 20 + 20)), 2) <= 225),
+ex AS (SELECT px_id, max(field_ord) AS field_ord FROM px JOIN (SELECT * FROM tp UNION ALL SELECT * FROM td) USING (fila, col) WHERE px_id NOT IN (SELECT px_id FROM tk) GROUP BY 1),
 smp AS (SELECT px_id, fila, col, 'F' || field_ord AS grupo, cl AS clase FROM (SELECT * FROM tk UNION ALL SELECT * FROM ex) JOIN px USING (px_id)
   JOIN (SELECT DISTINCT field_ord, cl FROM fv) USING (field_ord))"""
 
@@ -239,9 +247,10 @@ def sample_extract(spark, sf_dir):
 
 @query("sample_report", with_cte(CTE_FIELDS, """SELECT (SELECT count(DISTINCT field_ord) FROM {field_vertex} f) AS features,
  (SELECT count(DISTINCT field_ord) FROM {field_vertex} f WHERE etiqueta = 'arroz') AS ignored_class,
- (SELECT count(DISTINCT grupo) FROM fv WHERE grupo NOT IN (SELECT grupo FROM smp)) AS without_pixels"""))
+ (SELECT count(DISTINCT field_ord) FROM pg WHERE grupo NOT IN (SELECT grupo FROM smp) AND field_ord NOT IN (SELECT field_ord FROM tp)) AS empty_after_buffer,
+ (SELECT count(DISTINCT field_ord) FROM fv WHERE grupo NOT IN (SELECT grupo FROM smp) AND (kind = 'point' OR field_ord IN (SELECT field_ord FROM tp))) AS outside"""))
 def sample_report(spark, sf_dir):
-    return SM.extract_report(view(spark, sf_dir, "field_vertex"), mapping(spark, sf_dir), extracted(spark, sf_dir))
+    return SM.extract_report(view(spark, sf_dir, "field_vertex"), mapping(spark, sf_dir), extracted(spark, sf_dir), RES, 3.0, 15.0)
 
 
 @query("sample_summary", with_cte(CTE_FIELDS, "SELECT clase, count(*) AS pixels, count(DISTINCT grupo) AS fields, CAST(count(DISTINCT grupo) < 10 AS INT) AS few_fields FROM smp GROUP BY 1"))
@@ -265,7 +274,7 @@ def class_guess(spark, sf_dir):
 
 @query("class_mapping", oracle("""
 SELECT DISTINCT etiqueta AS value, CASE WHEN etiqueta IN ('Maíz', 'maize', 'Field corn') THEN 'maiz' WHEN etiqueta IN ('Sorgo grano', 'sorghum') THEN 'sorgo' ELSE 'otros' END AS clase
-FROM {field_vertex} f ORDER BY 1 LIMIT 200"""))
+FROM {field_vertex} f ORDER BY 1"""))
 def class_mapping(spark, sf_dir):
     return SM.class_mapping(view(spark, sf_dir, "field_vertex"))
 
