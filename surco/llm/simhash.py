@@ -176,73 +176,77 @@ def shingles_of(texts: pd.Series) -> pd.Series:
     return pd.Series([np.unique(shingle_hashes(t, ALIKE_WORDS)).view(np.int64) for t in texts], dtype=object)
 
 
-def _pairs(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
+def _near(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """``a, b, na, nb`` of the pairs whose sizes and fingerprints allow the similarity ``ALIKE``; a few bytes rule out most pairs far apart."""
+    p, q = ALIKE
+    low, high = F.least(f"{x}.node", f"{y}.node"), F.greatest(f"{x}.node", f"{y}.node")
+    small, large = (f(f"{x}.n", f"{y}.n").cast("bigint") for f in (F.least, F.greatest))
+    bits = F.bit_count(F.col(f"{x}.print").bitwiseXOR(F.col(f"{y}.print")))
+    swapped = F.col(f"{x}.node") > F.col(f"{y}.node")
+    near = pairs.filter((low != high) & (q * small >= p * large) & (bits <= FAR_BITS))
+    return near.select(low.alias("a"), high.alias("b"), F.when(swapped, F.col(f"{y}.n")).otherwise(F.col(f"{x}.n")).alias("na"),
+                       F.when(swapped, F.col(f"{x}.n")).otherwise(F.col(f"{y}.n")).alias("nb")).distinct()
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets of shingles have the similarity ``ALIKE``, by all shingles of both.
 
-    Sizes and fingerprints go first: they are a few bytes, and rule out most pairs that are far apart.
-    """
+def _alike(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``near(a, b, na, nb)`` whose sets of shingles have the similarity ``ALIKE``, by all shingles of both."""
     p, q = ALIKE
-    known = sets.select("node", "n", "print")
-    near = pairs.join(known.toDF("a", "na", "pa"), "a").join(known.toDF("b", "nb", "pb"), "b").filter(
-        (q * F.least("na", "nb").cast("bigint") >= p * F.greatest("na", "nb").cast("bigint"))
-        & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= FAR_BITS)).select("a", "b", "na", "nb")
     both = near.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb")).cast("bigint")
     return both.filter((p + q) * shared >= p * (F.col("na").cast("bigint") + F.col("nb"))).select("a", "b")
 
 
-def _met_leaders(rows: DataFrame, orders: list[Column], known: list[str]) -> DataFrame:
-    """Pairs of every node with the first of its key in each order; with ``root`` known, only pairs of different roots."""
-    lead = rows.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(o.alias("o"), "node", *known)) for o in orders])).alias("leads"))
-    met = rows.join(lead, "key").select("node", *known, F.explode("leads").alias("lead"))
-    met = met.filter("lead.root <> root" if known else "lead.node <> node")
-    return met.select(*_pairs("node", "lead.node")).distinct()
+def _leaders(rows: DataFrame, orders: list[Column], *more: Column) -> DataFrame:
+    """``key, leads``: the first of each key in each order."""
+    firsts = [F.min(F.struct(o.alias("o"), "x"))["x"] for o in orders]
+    return rows.groupBy("key").agg(F.array_distinct(F.array(*firsts)).alias("leads"), *more)
 
 
 def _met_rare(members: DataFrame) -> DataFrame:
-    """Pairs of ``members(node, n, root, shingles)`` of different roots that share a rare shingle and may be alike.
+    """Pairs of ``members(x, shingles)`` of different roots that share a rare shingle and may be alike.
 
     A prefix filter. In one order of all shingles, those of one text first, then those of up to ``RARE`` texts, two sets of n and more shingles
     with the similarity ``ALIKE`` share one of the first n - ceil(0.8 n) + 1. Only rare ones of these are
     sent, and only where they reach texts of different roots, so no group is longer than ``RARE``.
     """
     p, q = ALIKE
-    each = members.select("node", "root", "n", F.explode("shingles").alias("s"))
-    used = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("c") <= RARE)
-    first = F.col("n") - F.ceil(F.col("n") * p / q) + 1
-    rare = each.join(used, "s").groupBy("node", "root", "n").agg(
+    each = members.select("x", F.explode("shingles").alias("s"))
+    used = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).filter(F.col("c") <= RARE)
+    first = F.col("x.n") - F.ceil(F.col("x.n") * p / q) + 1
+    rare = each.join(used, "s").groupBy("x").agg(
         F.count(F.when(F.col("c") == 1, 1)).alias("alone"),
         F.sort_array(F.collect_list(F.when(F.col("c") > 1, F.struct("s", (F.col("lo") != F.col("hi")).alias("wide"))))).alias("shared"))
     sent = rare.withColumn("left", (first - F.col("alone")).cast("int")).filter("left > 0").select(
-        "node", "root", "n", F.explode(F.expr("filter(slice(shared, 1, left), x -> x.wide)")).alias("x"))
-    met = sent.groupBy("x.s").agg(F.sort_array(F.collect_list(F.struct("node", "root", "n"))).alias("m"))
-    pairs = met.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).filter(
-        (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-        & (q * F.least("x.n", "y.n").cast("bigint") >= p * F.greatest("x.n", "y.n").cast("bigint")))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        "x", F.explode(F.expr("filter(slice(shared, 1, left), y -> y.wide)")).alias("w"))
+    met = sent.groupBy("w.s").agg(F.collect_list("x").alias("m")).filter(F.size("m") > 1)
+    return met.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).filter(
+        (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
 
 
-def alike_roots(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(node, root)`` of the nodes linked by similarity, from ``rows(key, node, n)`` and ``sets(node, n, print, shingles)``.
+def alike_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that join the nodes of a similarity of 0.8 or more, from ``rows(key, x, leads)`` and ``sets(node, shingles)``.
 
-    First every node of a key is compared with the smallest and with one other of its key, the same one in most keys. That joins copies of one
-    text, however many. Keys of a single component are done. In those that are left, nodes of different components meet by their rare
-    shingles, which misses no pair that shares one, and once more by leaders, for texts of which all parts are frequent.
+    First every node of a key is compared with its leaders. That joins copies of one text, however many; a node's root is the least leader
+    that it is linked to. Keys of a single root are done. In those that are left, nodes of different roots meet by their rare
+    shingles, which misses no pair that shares one, and by further leaders, for texts of which all parts are frequent.
     """
-    found = written_once(_alike(_met_leaders(rows, [F.col("n").cast("bigint"), F.xxhash64("node", F.lit(0))], []), sets))
-    roots = written_once(components(found))
-    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    open_ = written_once(rooted.join(mixed, "key", "left_semi"))
-    members = sets.join(open_.select("node", "root").distinct(), "node")
-    met = _met_rare(members).unionByName(_met_leaders(open_, [F.xxhash64("node", F.lit(k)) for k in range(1, LEADERS + 1)], ["root"])).distinct()
-    more = written_once(_alike(met, sets))
-    return components(more.unionByName(roots.toDF("a", "b")))
+    led = rows.select("x", F.explode("leads").alias("y"))
+    found = written_once(_alike(_near(led, "x", "y"), sets))
+    leads = rows.select(F.explode("leads.node").alias("lead")).distinct()
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    roots = both.join(leads, both["b"] == leads["lead"], "left_semi").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    roots = written_once(roots.select("node", F.least("node", "root").alias("root")))
+    # a leader is linked to leaders itself: one step further brings most of a group to one root
+    roots = roots.join(roots.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select(
+        "node", F.coalesce("further", "root").alias("root"))
+    rooted = written_once(rows.select("key", F.col("x.node").alias("node"), "x").join(roots, "node", "left").select(
+        "key", F.struct("x.*", F.coalesce("root", "node").alias("root")).alias("x")))
+    mixed = _leaders(rooted, [F.xxhash64("x.node", F.lit(k)) for k in range(1, LEADERS + 1)], F.min("x.root").alias("lo"), F.max("x.root").alias("hi"))
+    open_ = written_once(rooted.join(mixed.filter("lo <> hi").select("key", "leads"), "key"))
+    members = open_.select("x").distinct().join(sets, F.col("x.node") == sets["node"]).select("x", "shingles")
+    again = open_.select("x", F.explode("leads").alias("y")).filter("x.root <> y.root")
+    return found.unionByName(_alike(_near(_met_rare(members).unionByName(again), "x", "y"), sets))
 
 
 def keep_one_alike(docs: DataFrame) -> DataFrame:
@@ -255,12 +259,12 @@ def keep_one_alike(docs: DataFrame) -> DataFrame:
     """
     base = docs.select("doc_id", _text_key().alias("k"), facts_of(F.col("text")).alias("t")).select("doc_id", "k", "t.*")
     nodes = written_once(base.groupBy("node").agg(F.min(_order()).alias("first"), *[F.first(c).alias(c) for c in ("n", "print", "bands")]))
-    rows = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    rows = written_once(rows.join(shared, "key", "left_semi"))
-    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("first.doc_id", "first.k", "node", "n", "print")
+    rows = nodes.select(F.struct("node", "n", "print").alias("x"), F.explode("bands").alias("key"))
+    leads = _leaders(rows, [F.col("x.n").cast("bigint"), F.xxhash64("x.node", F.lit(0))], F.count(F.lit(1)).alias("c"))
+    rows = written_once(rows.join(leads.filter("c > 1").drop("c"), "key"))
+    wanted = nodes.join(rows.select("x.node").distinct(), "node", "left_semi").select("first.doc_id", "first.k", "node")
     key, = fresh(docs, "text_key")
-    texts = _with_key(docs.select("doc_id", "text"), wanted, "inner", key).select("s.node", "s.n", "s.print", "d.text").dropDuplicates(["node"])
-    roots = alike_roots(rows, written_once(texts.select("node", "n", "print", shingles_of(F.col("text")).alias("shingles"))))
+    texts = _with_key(docs.select("doc_id", "text"), wanted, "inner", key).select("s.node", "d.text").dropDuplicates(["node"])
+    roots = components(alike_links(rows, written_once(texts.select("node", shingles_of(F.col("text")).alias("shingles")))))
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return _those(docs, rooted.select("first.doc_id", "first.k"))
