@@ -10,12 +10,11 @@ from surco.operators import cluster as K
 from surco.operators import separability as SEP
 from surco.plans.curve_queries import CTE_LONG, rounded, with_cte
 from surco.plans.registry import query
-from surco.session import scratch_path, shared_dir
+from surco.session import scratch_path
 from surco.sources import results as RES
 from surco.sources.adapters import oracle, view
 
 NAMES = [f"e{i}" for i in range(1, 9)]
-TREES, DEPTH = 10, 8  # smaller forests than the default, for the check runs
 
 
 def samples(spark, sf_dir):
@@ -217,18 +216,25 @@ def apart(spark, sf_dir) -> DataFrame:
     return samples(spark, sf_dir).withColumns({n: F.col(n) + shift for n in APART})
 
 
-CTE_FOLDS = """s AS (SELECT * FROM {samples} s),
+FOLDS = 5
+#: The deal one field after another: each to the fold with the least of its class, then the least in all, then the first.
+CTE_FOLDS = f"""s AS (SELECT * FROM {{samples}} s),
 fl AS (SELECT grupo, any_value(clase) AS clase, count(*) AS n FROM s GROUP BY 1),
-rk AS (SELECT *, row_number() OVER (PARTITION BY clase ORDER BY n DESC, md5(grupo || ':0')) - 1 AS r FROM fl)"""
+rk AS (SELECT *, row_number() OVER (ORDER BY list_position(['maiz', 'sorgo', 'otros'], clase), n DESC, md5(grupo || ':0')) AS r FROM fl),
+dl AS (SELECT 0 AS i, {[0] * FOLDS} AS own, {[0] * FOLDS} AS total, NULL::VARCHAR AS clase, NULL::VARCHAR AS grupo, NULL::INT AS fold
+ UNION ALL SELECT i + 1, list_transform(c, lambda v, j: CASE WHEN j = f + 1 THEN v + n ELSE v END), list_transform(total, lambda v, j: CASE WHEN j = f + 1 THEN v + n ELSE v END), nc, ng, CAST(f AS INT)
+ FROM (SELECT *, list_min(list_transform(range({FOLDS}), lambda j: {{{{'a': c[j + 1], 'b': total[j + 1], 'f': j}}}})).f AS f
+  FROM (SELECT dl.i, dl.total, rk.n, rk.clase AS nc, rk.grupo AS ng, CASE WHEN dl.clase IS DISTINCT FROM rk.clase THEN {[0] * FOLDS} ELSE own END AS c FROM dl JOIN rk ON rk.r = dl.i + 1))),
+fo AS (SELECT grupo, fold FROM dl WHERE i > 0)"""
 
 
-def fold_sql(k: int) -> str:
-    return f"CAST(CASE WHEN (r // {k}) % 2 = 0 THEN r % {k} ELSE {k} - 1 - r % {k} END AS INT) AS fold"
+def with_recursive(cte: str, select: str) -> str:
+    return oracle("WITH RECURSIVE " + cte + " " + select)
 
 
-@query("group_folds", with_cte(CTE_FOLDS, f"SELECT grupo, {fold_sql(5)} FROM rk"))
+@query("group_folds", with_recursive(CTE_FOLDS, "SELECT grupo, fold FROM fo"))
 def group_folds(spark, sf_dir):
-    folds, _, _ = CL.group_folds(samples(spark, sf_dir), 5)
+    folds, _, _ = CL.group_folds(samples(spark, sf_dir), FOLDS)
     return folds
 
 
@@ -246,23 +252,42 @@ _forest_query("rf_flat", "flat")
 _forest_query("rf_hierarchical", "hierarchical")
 
 
-@query("fit_final", oracle("SELECT step, 10 AS trees, 30 AS nodes FROM (SELECT DISTINCT CASE WHEN clase = 'otros' THEN 'step1' ELSE 'step2' END AS step FROM {samples} s)"))
+@query("fit_final", oracle("""SELECT step, 200 AS trees, CAST(count(DISTINCT g) AS INT) AS classes, CAST(sum(least(n, 5000)) AS BIGINT) AS training_rows, 8 AS variables, TRUE AS fits
+FROM (SELECT 'step1' AS step, clase, clase = 'otros' AS g, count(*) AS n FROM {samples} s GROUP BY ALL UNION ALL
+ SELECT 'step2', clase, clase = 'maiz', count(*) FROM {samples} s WHERE clase <> 'otros' GROUP BY ALL) GROUP BY 1"""))
 def fit_final(spark, sf_dir):
-    """Size of the final forest: classes apart need one split per tree in each step."""
-    m = CL.fit_final(apart(spark, sf_dir), APART, "hierarchical", TREES, depth=DEPTH)
-    rows = [("step1", m.first.getNumTrees, m.first.totalNumNodes), ("step2", m.second.getNumTrees, m.second.totalNumNodes)]
-    return spark.createDataFrame(rows, "step string, trees int, nodes int")
+    """The final two-step forest by its own record, and whether it knows nearly all of its training rows."""
+    s = samples(spark, sf_dir)
+    m = CL.fit_final(s, NAMES, "hierarchical")
+    known = CL.assemble(CL.cap(s, ["clase"], CL.MAX_PER_CLASS), NAMES)
+    p = m.probabilities(known).withColumn("pred", CL.predicted(F.col("p")))
+    hit, crops = F.col("pred") == F.col("clase"), F.col("clase").isin(*CL.C4)
+    facts = p.agg(F.count(F.lit(1)).alias("n1"), F.count_if(crops).alias("n2"), (F.avg(hit.cast("int")) > 0.9).alias("f1"), (F.avg(F.when(crops, (F.col("step2") == F.col("clase")).cast("int"))) > 0.9).alias("f2"))
+    per_step = F.array(*[F.struct(F.lit(step).alias("step"), F.lit(model.getNumTrees).alias("trees"), F.lit(model.numClasses).alias("classes"), F.col(n).alias("training_rows"),
+                                  F.lit(model.numFeatures).alias("variables"), F.col(f).alias("fits")) for step, model, n, f in (("step1", m.first, "n1", "f1"), ("step2", m.second, "n2", "f2"))])
+    return facts.select(F.inline(per_step))
+
+
+@query("cross_validate", with_recursive(CTE_FOLDS, "SELECT px_id, s.grupo, s.clase, fold, TRUE AS known_class, 1e0 AS p_total FROM s JOIN fo USING (grupo)"))
+def cross_validate(spark, sf_dir):
+    """Every sample predicted once, by the forest of its own field's fold."""
+    preds = CL.cross_validate(samples(spark, sf_dir), NAMES, "hierarchical", FOLDS)
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return rounded(preds.select("px_id", "grupo", "clase", "fold", F.col("pred").isin(*CL.CLASSES).alias("known_class"), total.alias("p_total")), ())
 
 
-@query("cross_validate", with_cte(CTE_FOLDS, f"SELECT px_id, s.grupo, s.clase, s.clase AS pred, fold FROM s JOIN (SELECT grupo, {fold_sql(3)} FROM rk) f USING (grupo)"))
-def cross_validate(spark, sf_dir):
-    shared_dir(spark)
-    return CL.cross_validate(apart(spark, sf_dir), APART, "hierarchical", 3, TREES, depth=DEPTH)
+@query("training_sets", with_recursive(CTE_FOLDS, """, fd AS (SELECT px_id, clase, fold FROM s JOIN fo USING (grupo)),
+ ft AS (SELECT px_id, clase, CAST(f AS INT) AS for_fold FROM fd, range(5) AS t(f) WHERE f <> fold)
+ SELECT px_id, clase, for_fold FROM (SELECT *, row_number() OVER (PARTITION BY for_fold, clase ORDER BY md5(px_id || ':' || for_fold), px_id) AS i FROM ft) WHERE i <= 5000""").replace(" , fd", ", fd"))
+def training_sets(spark, sf_dir):
+    """The capped training rows of every fold."""
+    s = samples(spark, sf_dir)
+    folds, k, _ = CL.group_folds(s, FOLDS)
+    return CL.training_sets(CL.with_folds(s, folds).withColumn("features", F.lit(0)), k).select("px_id", "clase", "for_fold")
 
 
 def importance(spark, sf_dir) -> DataFrame:
-    shared_dir(spark)
-    return CL.cross_validate(samples(spark, sf_dir), NAMES, "hierarchical", 2, TREES, importance=True, depth=DEPTH)[1]
+    return CL.cross_validate(samples(spark, sf_dir), NAMES, "hierarchical", FOLDS, importance=True)[1]
 
 
 @query("permutation_importance")
