@@ -6,12 +6,14 @@ pixel holds at most one row per date of the season and a window partition stays
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surco.functions import bands as B
+from surco.session import scratch_path
 
 PIXEL = ("sensor", "px_id")
 # Fixed values.
@@ -46,11 +48,22 @@ def with_day(obs: DataFrame, day0: Column) -> DataFrame:
     return obs.withColumn("day", F.datediff(F.col("obs_date"), day0))
 
 
+def stored(obs: DataFrame, name: str | None = None) -> DataFrame:
+    """Observations as a table bucketed by sensor and pixel, in the shared folder; ``name`` keeps it for later sessions of the same catalogue.
+
+    The source is read once. Every window, join and aggregate on a pixel that follows finds its rows in their bucket, whatever columns
+    it takes, so it needs no shuffle.
+    """
+    spark = obs.sparkSession
+    name = name or f"observations_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    obs.repartition(buckets, *PIXEL).write.bucketBy(buckets, *PIXEL).sortBy(*PIXEL, "day").option("path", scratch_path(spark, "observations")).saveAsTable(name)
+    return spark.table(name)
+
+
 def season_axis(obs: DataFrame) -> DataFrame:
-    """First and last date and number of dates of each sensor; one row per sensor (two)."""
-    dates = obs.select("sensor", "day").distinct()
-    return dates.groupBy("sensor").agg(F.min("day").alias("t0"), F.max("day").alias("t_end"),
-                                       F.count(F.lit(1)).alias("n_dates"))
+    """First and last date and number of dates of each sensor; one row per sensor (two), from at most a season's dates each."""
+    return obs.groupBy("sensor").agg(F.min("day").alias("t0"), F.max("day").alias("t_end"), F.size(F.collect_set("day")).cast("bigint").alias("n_dates"))
 
 
 def despike(obs: DataFrame, drop: float = SPIKE_DROP) -> DataFrame:
@@ -140,25 +153,33 @@ def curve_metrics(obs: DataFrame, step: int = STEP_DAYS, drop: float = SPIKE_DRO
     return metrics(smooth(resample(gate(despike(obs, drop), season_axis(obs), min_obs), step)), step)
 
 
-def relative_medians(obs: DataFrame, met: DataFrame, variables: Sequence[str],
-                     windows=RELATIVE_WINDOWS, landsat_extra: int = LANDSAT_EXTRA_DAYS) -> DataFrame:
-    """Medians of the raw observations in windows around each pixel's own curve dates.
+def pixel_windows(obs: DataFrame, met: DataFrame, variables: Sequence[str], windows=RELATIVE_WINDOWS,
+                  landsat_extra: int = LANDSAT_EXTRA_DAYS, stages: Sequence[str] = ()) -> DataFrame:
+    """One row per pixel: its metrics, and ``windows``, an array of (window, variables..., nobs).
 
-    Every pixel keeps a row per window: no anchor or no observation gives missing and 0.
+    Medians of the raw observations, in windows around the pixel's own curve dates and, with ``stages``, in calendar stages (column
+    ``stage``). Every window is a condition on one and the same row, so an observation is read once. No anchor or no observation
+    gives missing and 0; a stage without any row of the pixel is left out.
     """
-    anchors = sorted({w[1] for w in windows})
-    joined = obs.join(met.select(*PIXEL, *anchors), list(PIXEL), "left")
+    own = [c for c in met.columns if c not in PIXEL]
+    joined = obs.join(met, list(PIXEL), "left")
     extra = F.when(F.col("sensor") == B.LANDSAT, landsat_extra).otherwise(0)
-    options = F.array(*[
-        F.struct(F.lit(name).alias("window"), (F.col("day") - F.col(anchor)).alias("since"),
-                 (F.lit(a) - extra).alias("lo"), (F.lit(b) + extra).alias("hi"))
-        for name, anchor, a, b in windows])
-    rows = joined.select(*PIXEL, *variables, F.inline(options))
-    inside = F.col("since").between(F.col("lo"), F.col("hi"))
-    return rows.groupBy(*PIXEL, "window").agg(
-        *[F.median(F.when(inside, F.col(v))).alias(v) for v in variables],
-        F.count(F.when(inside, F.col("NDVI"))).alias("nobs"),
-    )
+    inside = {name: (F.col("day") - F.col(anchor)).between(F.lit(a) - extra, F.lit(b) + extra) for name, anchor, a, b in windows}
+    inside |= {name: F.col("stage") == name for name in stages}
+    aggs = [F.first(c).alias(c) for c in own]
+    for i, hit in enumerate(inside.values()):
+        aggs += [F.median(F.when(hit, F.col(v))).alias(f"_{i}_{v}") for v in variables]
+        aggs += [F.count(F.when(hit, F.col("NDVI"))).alias(f"_{i}_nobs"), F.count_if(hit).alias(f"_{i}_rows")]
+    entry = [F.struct(F.lit(name).alias("window"), *[F.col(f"_{i}_{v}").alias(v) for v in (*variables, "nobs")]) for i, name in enumerate(inside)]
+    kept = [e if name not in stages else F.when(F.col(f"_{i}_rows") > 0, e) for i, (name, e) in enumerate(zip(inside, entry))]
+    return joined.groupBy(*PIXEL).agg(*aggs).select(*PIXEL, *own, F.array_compact(F.array(*kept)).alias("windows"))
+
+
+def relative_medians(obs: DataFrame, met: DataFrame, variables: Sequence[str],
+                     windows=RELATIVE_WINDOWS, landsat_extra: int = LANDSAT_EXTRA_DAYS) -> DataFrame:
+    """Medians of the raw observations in windows around each pixel's own curve dates, one row per pixel and window."""
+    anchors = sorted({w[1] for w in windows})
+    return pixel_windows(obs, met.select(*PIXEL, *anchors), variables, windows, landsat_extra).select(*PIXEL, F.inline("windows"))
 
 
 def fixed_medians(obs: DataFrame, variables: Sequence[str], stages: Sequence[str] | None = None) -> DataFrame:
@@ -202,18 +223,9 @@ def features_long(met: DataFrame, relative: DataFrame | None, fixed: DataFrame |
     Bands are named by the sensor's own band id; an index a sensor lacks gives no variable.
     """
     wanted = SHAPE_METRICS + (DATE_METRICS if dates_as_variables else ())
-    own = {(sensor, role): band for sensor, band, role, _, _ in B.BANDS}
-
-    def name_on(sensor: str, v: str) -> Column:
-        if v in B.INDICES:
-            return F.lit(v if sensor in B.INDEX_ROLES[v] else None)
-        return F.lit(own.get((sensor, v)) if v in B.ROLES else v)
 
     def melt(df: DataFrame, window: Column, names: Sequence[str]) -> DataFrame:
-        entries = F.array(*[F.struct(
-            F.when(B.is_s2(F.col("sensor")), name_on(B.S2, n)).otherwise(name_on(B.LANDSAT, n)).alias("variable"),
-            F.col(n).cast("double").alias("value")) for n in names])
-        return df.select("sensor", "px_id", window.alias("window"), F.inline(entries))
+        return _named(df.select("sensor", "px_id", F.inline(_entries(window, {n: F.col(n) for n in names}))))
 
     parts = [melt(met, F.lit("FEN"), wanted)]
     if relative is not None:
@@ -223,10 +235,38 @@ def features_long(met: DataFrame, relative: DataFrame | None, fixed: DataFrame |
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.filter(F.col("variable").isNotNull()).withColumn(
-        "name", B.variable_name(F.col("sensor"), F.col("window"), F.col("variable")))
+    return out
+
+
+def features_of_pixels(pixels: DataFrame, variables: Sequence[str], dates_as_variables: bool = False) -> DataFrame:
+    """The same rows from ``pixel_windows``, all of a pixel's from its one row; a pixel without a curve has no FEN variables."""
+    wanted = SHAPE_METRICS + (DATE_METRICS if dates_as_variables else ())
+    shape = F.when(F.col("NDVImax").isNotNull(), _entries(F.lit("FEN"), {n: F.col(n) for n in wanted}))
+    every = F.flatten(F.transform("windows", lambda w: _entries(w["window"], {n: w[n] for n in variables})))
+    return _named(pixels.select("sensor", "px_id", F.inline(F.concat(F.coalesce(shape, F.array().cast(_ENTRIES)), every))))
+
+
+_ENTRIES = "array<struct<window:string,variable:string,value:double>>"
+
+
+def _entries(window: Column, values: dict[str, Column]) -> Column:
+    own = {(sensor, role): band for sensor, band, role, _, _ in B.BANDS}
+
+    def name_on(sensor: str, v: str) -> Column:
+        if v in B.INDICES:
+            return F.lit(v if sensor in B.INDEX_ROLES[v] else None)
+        return F.lit(own.get((sensor, v)) if v in B.ROLES else v)
+
+    return F.array(*[F.struct(
+        window.alias("window"), F.when(B.is_s2(F.col("sensor")), name_on(B.S2, n)).otherwise(name_on(B.LANDSAT, n)).cast("string").alias("variable"),
+        value.cast("double").alias("value")) for n, value in values.items()]).cast(_ENTRIES)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("variable").isNotNull()).withColumn("name", B.variable_name(F.col("sensor"), F.col("window"), F.col("variable")))
 
 
 def features_wide(long: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per pixel with an explicit list of variables (no discovery pass)."""
-    return long.groupBy("px_id").pivot("name", list(names)).agg(F.first("value", ignorenulls=True))
+    """One row per pixel with an explicit list of variables (no discovery pass, one shuffle)."""
+    return long.groupBy("px_id").agg(
+        *[F.first(F.when(F.col("name") == n, F.col("value")), ignorenulls=True).alias(n) for n in names])

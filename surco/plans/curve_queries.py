@@ -252,8 +252,13 @@ _metric_query("curve_shape", ("AMPLITUD", "DUR50", "DIASsubemax", "NDVImedio"))
 
 
 # ------------------------------------------------------------------ variables
+def stored(spark, sf_dir, stage: bool = False):
+    """The observations of all pixels, read and merged once."""
+    return C.stored(staged(spark, sf_dir) if stage else observations(spark, sf_dir))
+
+
 def relative(spark, sf_dir, variables=VARS):
-    obs = observations(spark, sf_dir)
+    obs = stored(spark, sf_dir)
     return C.relative_medians(obs, C.curve_metrics(obs, STEP), variables, WINDOWS, LANDSAT_EXTRA)
 
 
@@ -319,18 +324,21 @@ def reference_histogram(spark, sf_dir):
     return coherence(spark, sf_dir).groupBy("code").agg(F.count(F.lit(1)).alias("pixels"))
 
 
+def pixel_windows(spark, sf_dir, stages=()) -> DataFrame:
+    """One row per pixel: metrics, relative windows and, asked for, calendar stages."""
+    obs = stored(spark, sf_dir, bool(stages))
+    return C.pixel_windows(obs, C.curve_metrics(obs, STEP), VARS, WINDOWS, LANDSAT_EXTRA, stages)
+
+
 def all_features(spark, sf_dir) -> DataFrame:
     """The variables table (one row per pixel and variable) of the whole cycle."""
-    obs = observations(spark, sf_dir)
-    met = C.curve_metrics(obs, STEP)
-    rel = C.relative_medians(obs, met, VARS, WINDOWS, LANDSAT_EXTRA)
-    return C.features_long(met, rel, None, VARS)
+    return C.features_of_pixels(pixel_windows(spark, sf_dir), VARS)
 
 
 BAND_OF = {("S2", "nir"): "B08", ("S2", "red"): "B04", ("LANDSAT", "nir"): "SR_B5", ("LANDSAT", "red"): "SR_B4"}
 
 
-def _names(sensor: str) -> list[tuple[str, str]]:
+def band_names(sensor: str) -> list[tuple[str, str]]:
     return [(v, BAND_OF.get((sensor, v), v)) for v in VARS if sensor == "S2" or v not in ("NDRE", "CIre")]
 
 
@@ -338,7 +346,7 @@ CTE_LONG = CTE_REL + ", long AS (" + " UNION ALL ".join(
     [f"SELECT px_id, CASE sensor WHEN 'S2' THEN 'S2' ELSE 'LS' END || '_FEN_{m}' AS name, CAST({m} AS DOUBLE) AS value FROM met"
      for m in C.SHAPE_METRICS]
     + [f"SELECT px_id, '{'S2' if s == 'S2' else 'LS'}_' || win || '_{n}', {v} FROM rel WHERE sensor = '{s}'"
-       for s in ("S2", "LANDSAT") for v, n in _names(s)]) + ")"
+       for s in ("S2", "LANDSAT") for v, n in band_names(s)]) + ")"
 
 
 @query("variable_name", with_cte(CTE_LONG, "SELECT name, count(*) AS pixels, count(value) AS present, "

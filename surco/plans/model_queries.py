@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from surco.operators import classify as CL
 from surco.operators import cluster as K
 from surco.operators import separability as SEP
-from surco.plans.curve_queries import CTE_LONG, rounded, with_cte
+from surco.operators.curve import features_of_pixels
+from surco.plans.curve_queries import CTE_LONG, STAGE_SQL, STAGES, STEP, VARS, band_names, pixel_windows, rounded, with_cte
 from surco.plans.registry import query
-from surco.session import scratch_path
+from surco.session import scratch_path, written_once
 from surco.sources import results as RES
 from surco.sources.adapters import oracle, view
 
@@ -324,18 +325,26 @@ def snk_report(spark, sf_dir):
     return RES.read_confusion(spark, path)
 
 
-@query("snk_features", with_cte(CTE_LONG + """,
-sp AS (SELECT px_id, name, CASE WHEN name LIKE 'S2%' THEN 'S2' ELSE 'LANDSAT' END AS sensor, CASE WHEN name LIKE '%FEN%' THEN 'FEN'
-  ELSE regexp_extract(name, '(REL[0-9]_[a-z]+)_', 1) END AS w FROM long)""", """SELECT sensor, w AS "window", count(*) AS rows, count(DISTINCT name) AS names FROM sp GROUP BY 1, 2"""))
+@query("snk_features", with_cte(CTE_LONG + f""",
+fx AS (SELECT sensor, px_id, {STAGE_SQL} AS win, """ + ", ".join(f"median({v}) AS {v}" for v in VARS) + f""", count(NDVI) AS nobs FROM obs WHERE {STAGE_SQL} <> 'fuera_de_etapa' GROUP BY 1, 2, 3),
+sp AS (SELECT px_id, name, value, CASE WHEN name LIKE 'S2%' THEN 'S2' ELSE 'LANDSAT' END AS sensor, CASE WHEN name LIKE '%FEN%' THEN 'FEN'
+  ELSE regexp_extract(name, '(REL[0-9]_[a-z]+)_', 1) END AS w FROM long UNION ALL """ + " UNION ALL ".join(
+    f"SELECT px_id, '{'S2' if s == 'S2' else 'LS'}_' || win || '_{n}', {v}, sensor, win FROM fx WHERE sensor = '{s}'" for s in ("S2", "LANDSAT") for v, n in band_names(s)) + """),
+cn AS (SELECT sensor, win AS w, CAST(sum(nobs) AS BIGINT) AS nobs, count(*) AS pixels FROM (SELECT sensor, win, nobs FROM rel UNION ALL SELECT sensor, win, nobs FROM fx) GROUP BY 1, 2)""",
+"""SELECT sensor, w AS "window", count(*) AS rows, count(DISTINCT name) AS names, count(value) AS present, round(sum(value), 4) + 0e0 AS total, any_value(nobs) AS nobs, any_value(pixels) AS pixels
+ FROM sp LEFT JOIN cn USING (sensor, w) GROUP BY 1, 2"""))
 def snk_features(spark, sf_dir):
-    """Variables, catalogue and parameters written and read back: rows per sensor and window."""
-    from surco.plans.curve_queries import STEP, VARS, all_features
+    """Variables of curve, relative windows and stages, counts, catalogue and parameters, written and read back."""
     path = scratch_path(spark, "variables")
-    RES.write_features(all_features(spark, sf_dir), path, {"step": STEP, "variables": list(VARS)})
+    pixels = written_once(pixel_windows(spark, sf_dir, [s[0] for s in STAGES["OI"]]))
+    counts = pixels.select("sensor", "px_id", F.inline("windows")).select("sensor", "window", "px_id", "nobs")
+    RES.write_features(features_of_pixels(pixels, VARS), path, {"step": STEP, "variables": list(VARS)}, counts)
     rows, catalogue, _ = RES.read_features(spark, path)
     listed = rows.join(catalogue.select("name", "sensor", "window"), ["name", "sensor", "window"], "left_semi")
+    counted = RES.read_counts(spark, path).groupBy("sensor", "window").agg(F.sum("nobs").alias("nobs"), F.count(F.lit(1)).alias("pixels"))
     return listed.groupBy("sensor", "window").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("name").alias("names"))
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("name").alias("names"), F.count("value").alias("present"), (F.round(F.sum("value"), 4) + 0.0).alias("total")).join(
+        counted, ["sensor", "window"], "left")
 
 
 # ------------------------------------------------------------------ groups

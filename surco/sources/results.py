@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_features(long: DataFrame, path: str, parameters: dict) -> None:
-    """Variables partitioned by sensor and window, the catalogue of names, and the run's parameters.
+def write_features(long: DataFrame, path: str, parameters: dict, counts: DataFrame | None = None) -> None:
+    """Variables and observation counts partitioned by sensor and window, the catalogue of names, and the run's parameters.
 
     The partitions follow the way variables are read: a model asks for some windows of a sensor. Rows are
-    rebalanced, so the size of the data decides how many files a partition gets.
+    rebalanced, so the size of the data decides how many files a partition gets. ``counts``: sensor, window, px_id, nobs.
     """
     spark = long.sparkSession
     long.select("sensor", "window", "px_id", "name", "variable", "value").hint("rebalance", "sensor", "window").write.partitionBy(
         "sensor", "window").parquet(f"{path}/variables")
     back = spark.read.parquet(f"{path}/variables")
     back.select("name", "sensor", "window", "variable").distinct().write.parquet(f"{path}/catalogue")
+    if counts is not None:
+        counts.select("sensor", "window", "px_id", "nobs").hint("rebalance", "sensor", "window").write.partitionBy("sensor", "window").parquet(f"{path}/counts")
     spark.createDataFrame([(json.dumps(parameters),)], "parameters string").write.json(f"{path}/parameters")
 
 
@@ -26,6 +28,10 @@ def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return (spark.read.parquet(f"{path}/variables"), spark.read.parquet(f"{path}/catalogue"), spark.read.json(f"{path}/parameters"))
 
 
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/counts")
+
+
 def write_report(path: str, confusions: dict[str, DataFrame], importance: DataFrame | None = None) -> None:
     """Confusion rows per level, and importance by the first step, largest first."""
     rows = None
