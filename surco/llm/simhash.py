@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from surco.llm.common import fresh
+from surco.llm.common import fresh, give_back
 from surco.llm.components import components
 from surco.session import written_once
 
@@ -168,12 +168,16 @@ def _signed(x: int) -> int:
 
 @F.pandas_udf(T.StructType().add("node", T.LongType()).add("n", T.IntegerType()).add("print", T.LongType()).add("bands", T.ArrayType(T.LongType())))
 def facts_of(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_facts(t) for t in texts], columns=["node", "n", "print", "bands"]).astype({"node": "int64", "n": "int32", "print": "int64"})
+    out = pd.DataFrame([text_facts(t) for t in texts], columns=["node", "n", "print", "bands"]).astype({"node": "int64", "n": "int32", "print": "int64"})
+    give_back()
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def shingles_of(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(shingle_hashes(t, ALIKE_WORDS)).view(np.int64) for t in texts], dtype=object)
+    out = pd.Series([np.unique(shingle_hashes(t, ALIKE_WORDS)).view(np.int64) for t in texts], dtype=object)
+    give_back()
+    return out
 
 
 def _near(pairs: DataFrame, x: str, y: str) -> DataFrame:
