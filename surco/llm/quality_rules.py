@@ -20,10 +20,12 @@ MIN_WORDS = 10
 MAX_REPEAT = 20
 #: A sketch of fewer rows is replaced by the merged sketch of its language, then of all rows.
 MIN_ROWS = 200
-#: A document fails above q75 + FENCE * max(q75 - q25, spread), or below q25 by as much.
-FENCE = 3
+#: A document fails above the lesser of two cuts of its group: q75 + FENCE * max(q75 - q25, floor), and q99 with a quarter more, but at
+#: least the floor; or below q25 - FENCE * max(q75 - q25, floor). The first cut holds where junk is more than a hundredth of the group, the second follows
+#: the tail where most values are 0.
+FENCE, MARGIN = 3, 4
 LEAD_BITS = 6
-#: Metric: (its value, the least spread its fence is built with, whether it has a lower fence).
+#: Metric: (its value, the floor of its spread and of its upper cut, whether it has a lower fence).
 METRICS = {
     "symbols": ("1000 * n_symbols div nullif(n_words, 0)", 30, False),
     "capitals": ("1000 * n_capitals div nullif(word_chars, 0)", 50, False),
@@ -107,30 +109,33 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles and row count of each sketch, from its own buckets."""
+    """Quartiles, 99th percentile and row count of each sketch, from its own buckets."""
     by = Window.partitionBy(*keys, "metric")
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     ranked = merged.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("rows", F.sum("n").over(by))
-    at = lambda p: F.min(F.when(4 * F.col("upto") >= p * F.col("rows"), F.col("bucket")))
-    return ranked.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), at(1).alias("q25"), at(3).alias("q75"))
+    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("rows"), F.col("bucket")))
+    return ranked.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), *[at(p).alias(f"q{p}") for p in (25, 75, 99)])
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row per language and source: ``<metric>_most`` and, where it has one, ``<metric>_least``."""
     own = _quartiles(sketch, ["lang", "source"])
     lang = _quartiles(sketch, ["lang"]).select(
-        F.col("lang").alias("l"), F.col("metric").alias("lm"), F.col("rows").alias("lrows"), F.col("q25").alias("l25"), F.col("q75").alias("l75"))
-    whole = _quartiles(sketch, []).select(F.col("metric").alias("wm"), F.col("q25").alias("w25"), F.col("q75").alias("w75"))
+        F.col("lang").alias("l"), F.col("metric").alias("lm"), F.col("rows").alias("lrows"), *[F.col(f"q{p}").alias(f"l{p}") for p in (25, 75, 99)])
+    whole = _quartiles(sketch, []).select(F.col("metric").alias("wm"), *[F.col(f"q{p}").alias(f"w{p}") for p in (25, 75, 99)])
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("lm"))).join(whole, F.col("metric") == F.col("wm"))
     pick = lambda q: F.when(F.col("rows") >= MIN_ROWS, F.col(f"q{q}")).when(F.col("lrows") >= MIN_ROWS, F.col(f"l{q}")).otherwise(F.col(f"w{q}"))
     low, high = pick(25), pick(75)
     spread = F.create_map(*[F.lit(x) for m, (_, s, _) in METRICS.items() for x in (m, s)])[F.col("metric")]
-    fence = joined.select("lang", "source", "metric", low.alias("low"), high.alias("high"), F.greatest(high - low, spread.cast("bigint")).alias("wide"))
+    spread, tail = spread.cast("bigint"), pick(99)
+    wide = F.greatest(high - low, spread)
+    most = F.least(high + FENCE * wide, F.greatest(tail + F.floor(tail / MARGIN), spread))
+    fence = joined.select("lang", "source", "metric", most.alias("most"), (low - FENCE * wide).alias("least"))
     cuts = []
     for m, (_, _, both) in METRICS.items():
-        cuts.append(F.max(F.when(F.col("metric") == m, F.col("high") + FENCE * F.col("wide"))).alias(f"{m}_most"))
+        cuts.append(F.max(F.when(F.col("metric") == m, F.col("most"))).alias(f"{m}_most"))
         if both:
-            cuts.append(F.max(F.when(F.col("metric") == m, F.col("low") - FENCE * F.col("wide"))).alias(f"{m}_least"))
+            cuts.append(F.max(F.when(F.col("metric") == m, F.col("least"))).alias(f"{m}_least"))
     return fence.groupBy("lang", "source").agg(*cuts)
 
 
@@ -166,13 +171,13 @@ def oracle() -> str:
         by = f"{keys}metric"
         return f"""{name}_r AS (SELECT {keys}metric, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS rows
           FROM (SELECT {keys}metric, bucket, sum(n) AS n FROM sketch GROUP BY {keys}metric, bucket)),
-        {name} AS (SELECT {keys}metric, max(rows) AS rows, min(CASE WHEN 4 * upto >= rows THEN bucket END) AS q25, min(CASE WHEN 4 * upto >= 3 * rows THEN bucket END) AS q75
-          FROM {name}_r GROUP BY {keys}metric)"""
+        {name} AS (SELECT {keys}metric, max(rows) AS rows, min(CASE WHEN 100 * upto >= 25 * rows THEN bucket END) AS q25, min(CASE WHEN 100 * upto >= 75 * rows THEN bucket END) AS q75,
+          min(CASE WHEN 100 * upto >= 99 * rows THEN bucket END) AS q99 FROM {name}_r GROUP BY {keys}metric)"""
 
     pick = lambda q: f"CASE WHEN o.rows >= {MIN_ROWS} THEN o.q{q} WHEN l.rows >= {MIN_ROWS} THEN l.q{q} ELSE w.q{q} END"
     spread = " ".join(f"WHEN '{m}' THEN {s}" for m, (_, s, _) in METRICS.items())
     ok = " AND ".join(
-        f"{values[m]} <= max(CASE WHEN f.metric = '{m}' THEN f.high + {FENCE} * f.wide END)"
+        f"{values[m]} <= max(CASE WHEN f.metric = '{m}' THEN least(f.high + {FENCE} * f.wide, greatest(f.tail + f.tail // {MARGIN}, f.floor)) END)"
         + (f" AND {values[m]} >= max(CASE WHEN f.metric = '{m}' THEN f.low - {FENCE} * f.wide END)" if both else "")
         for m, (_, _, both) in METRICS.items())
     counts = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
@@ -189,8 +194,8 @@ def oracle() -> str:
     measured AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM c),
     sketch AS (SELECT lang, source, metric, (v >> {cut}) << {cut} AS bucket, count(*) AS n FROM ({metric_rows}) GROUP BY ALL),
     {quartiles("o", "lang, source, ")}, {quartiles("l", "lang, ")}, {quartiles("w", "")},
-    f AS (SELECT lang, source, metric, low, high, greatest(high - low, CASE metric {spread} END) AS wide
-      FROM (SELECT o.lang, o.source, o.metric, {pick(25)} AS low, {pick(75)} AS high FROM o
+    f AS (SELECT *, greatest(high - low, floor) AS wide
+      FROM (SELECT o.lang, o.source, o.metric, {pick(25)} AS low, {pick(75)} AS high, {pick(99)} AS tail, CASE o.metric {spread} END AS floor FROM o
         JOIN l ON l.lang IS NOT DISTINCT FROM o.lang AND l.metric = o.metric JOIN w ON w.metric = o.metric))
     SELECT {counts}, coalesce(NOT base_failed AND {ok}, false) AS kept
     FROM measured m LEFT JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source
