@@ -12,12 +12,15 @@ from surco.functions import bands as B
 OBS_KEY = ("sensor", "px_id", "obs_date")
 
 
-def to_reflectance(dn: DataFrame, roles: Sequence[str] = B.ROLES, scale: float = 1 / 4096, offset: float = 0.0,
+def to_reflectance(dn: DataFrame, roles: Sequence[str] = B.ROLES, scale: float | None = None, offset: float = 0.0,
                    scl=B.VARIABLE_SCL) -> DataFrame:
     """``dn_<role>`` columns to reflectance, missing where not clear or without data.
 
-    A table that carries ``scale_<role>`` / ``offset_<role>`` columns is scaled by them.
+    A table that carries ``scale_<role>`` / ``offset_<role>`` columns is scaled by them; otherwise ``scale`` must be given.
     """
+    unscaled = [r for r in roles if f"scale_{r}" not in dn.columns]
+    if scale is None and unscaled:
+        raise ValueError(f"no scale for {', '.join(unscaled)}")
     clear = B.clear_for_variables(F.col("sensor"), F.col("mask"), scl)
 
     def pick(kind: str, role: str, default: float) -> Column:

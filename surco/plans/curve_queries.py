@@ -14,6 +14,7 @@ from surco.sources.adapters import oracle, sql, view
 
 # The driver's observations span one month, so steps and windows are days, not weeks.
 STEP = 2
+SCALE = 1 / 4096  # of the view's numbers
 WINDOWS = (("REL1_arranque", "DIAsube50", -3, 3), ("REL2_maximo", "DIAmax", -3, 3),
            ("REL3_postmax", "DIAmax", 4, 8), ("REL4_bajada", "DIAbaja50", -3, 3))
 LANDSAT_EXTRA = 2
@@ -25,7 +26,7 @@ DAY0 = "2024-01-01"
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = O.to_reflectance(view(spark, sf_dir, "obs_dn"))
+    tiles = O.to_reflectance(view(spark, sf_dir, "obs_dn"), scale=SCALE)
     return C.with_day(O.add_indices(O.tile_first_valid(tiles)), F.lit(DAY0).cast("date"))
 
 
@@ -124,16 +125,15 @@ def valid_mask(spark, sf_dir):
         F.count_if(B.has_data(F.col("sensor"), F.col("mask"))).alias("n_valid"), F.count(F.lit(1)).alias("n"))
 
 
-@query("dn_to_reflectance", with_cte(CTE_CLEAR, "SELECT sensor, px_id, tile_ord, nir, red, green, swir1, swir2 FROM refl"))
+@query("dn_to_reflectance", with_cte(CTE_CLEAR, "SELECT sensor, px_id, tile_ord, " + ", ".join(ROLES) + " FROM refl"))
 def dn_to_reflectance(spark, sf_dir):
-    roles = ["nir", "red", "green", "swir1", "swir2"]
-    return O.to_reflectance(view(spark, sf_dir, "obs_dn"), roles).select("sensor", "px_id", "tile_ord", *roles)
+    return O.to_reflectance(view(spark, sf_dir, "obs_dn"), scale=SCALE).select("sensor", "px_id", "tile_ord", *ROLES)
 
 
 @query("tile_first_valid", with_cte(CTE_OBS, "SELECT sensor, px_id, CAST(obs_date AS VARCHAR) AS obs_date, "
                                    + ", ".join(ROLES) + " FROM fv"))
 def tile_first_valid(spark, sf_dir):
-    return rounded(O.tile_first_valid(O.to_reflectance(view(spark, sf_dir, "obs_dn"))), (), 12)
+    return rounded(O.tile_first_valid(O.to_reflectance(view(spark, sf_dir, "obs_dn"), scale=SCALE)), (), 12)
 
 
 @query("spectral_indices", with_cte(CTE_OBS, "SELECT sensor, px_id, day, " + ", ".join(

@@ -413,12 +413,15 @@ SELECT anio_consulta, anio_agricola, clab, mlab, asked, m, '', NULL, NULL, NULL,
 
 @query("src_raw_reports", with_cte(CTE_REPORT, REPORT_SELECT))
 def src_raw_reports(spark, sf_dir):
-    """Responses saved one per line folder, read back whole, and turned into rows."""
+    """Responses saved one file each, in a folder per run, beside files of other names; read back whole and turned into rows."""
     path = scratch_path(spark, "reports")
     raw = raw_reports(spark, sf_dir).select("file_name", "value")
-    raw.write.json(path)
-    back = R.with_request(spark.read.schema(raw.schema).json(path))
-    return R.report_rows(back).drop("rendimiento")
+    # two crops that are asked for by one name come from two runs
+    other = F.col("value").contains("Cultivo: Otro")
+    for run, part in (("first", raw.filter(~other)), ("second", raw.filter(other))):
+        R.write_raw(part, f"{path}/{run}")
+        R.write_raw(part.limit(1).withColumn("file_name", F.concat(F.lit("copia de "), "file_name")), f"{path}/{run}")
+    return R.report_rows(R.read_raw(spark, f"{path}/*")).drop("rendimiento")
 
 
 @query("report_parse", with_cte(CTE_REPORT, """
@@ -435,7 +438,7 @@ def report_check(spark, sf_dir):
 
 
 @query("report_text", oracle("""
-SELECT page_id, length(t) AS n_chars, left(t, 40) AS head, right(t, 40) AS tail FROM (
+SELECT page_id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM (
  SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<[^>]+>', ' ', 'gs'),
   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'),
@@ -444,4 +447,4 @@ def report_text(spark, sf_dir):
     from surco.sources.adapters import table
     t = T.strip_markup(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", t.alias("t")).select(
-        "page_id", F.length("t").cast("bigint").alias("n_chars"), F.left("t", F.lit(40)).alias("head"), F.right("t", F.lit(40)).alias("tail"))
+        "page_id", F.length("t").cast("bigint").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))

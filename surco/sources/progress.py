@@ -20,7 +20,9 @@ def read_text(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
 
 
 def write_text(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").csv(path, header=True, escape='"')
+    """A header CSV; every file begins with a byte-order mark, by which spreadsheets know the encoding. Spark's reader skips it."""
+    first = df.columns[0]
+    df.withColumnRenamed(first, f"\ufeff{first}").write.mode("errorifexists").csv(path, header=True, escape='"')
 
 
 def _code(column: str, labels: dict[str, str]) -> Column:

@@ -36,6 +36,26 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return with_request(files)
 
 
+def write_raw(files: DataFrame, path: str) -> int:
+    """Save responses (file_name, value), one file each, in the folder ``path``; tells how many. An existing file of the name is replaced.
+
+    Every task writes its own rows, through the file system of the path.
+    """
+    def save(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, value in zip(batch.column("file_name").to_pylist(), batch.column("value").to_pylist()):
+                with system.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(value.encode("utf-8"))
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return files.select("file_name", "value").mapInArrow(save, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def with_request(files: DataFrame) -> DataFrame:
     """Files with a name of the known form, with the request it stands for."""
     part = lambda i: F.regexp_extract("file_name", FILE_PATTERN, i)
