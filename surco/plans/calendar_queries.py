@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from surco.operators import calendar as CAL
 from surco.plans.curve_queries import rounded, with_cte
 from surco.plans.registry import query
+from surco.session import scratch_path
 from surco.sources import profiles as PR
 from surco.sources.adapters import oracle, sql, view
+from surco.sources.reports import write_raw
 
 KEYS = ("profile", "cycle")
 DATE = "TRY_CAST(lpad(CAST({y} AS VARCHAR), 4, '0') || '-' || {m} AS DATE)"
@@ -36,15 +38,18 @@ def calendar_windows(spark, sf_dir):
     return rounded(w.select("profile", "cycle", "stage", "stage_ord", "start_date", "end_date"), ())
 
 
-@query("calendar_validate", with_cte(win_cte("2001") + f""",
+CTE_PROBLEMS = win_cte("2001") + f""",
 ok AS (SELECT *, ({D('2001', 'start_mmdd')} IS NOT NULL AND {D('2001', 'end_mmdd')} IS NOT NULL) AS good FROM win),
 al AS (SELECT *, bool_and(good) OVER (PARTITION BY profile) AS allgood, lag(de) OVER (PARTITION BY profile ORDER BY stage_ord) AS pe,
-  count(*) OVER (PARTITION BY profile, stage) AS reps FROM ok)""", """
-SELECT profile, stage_ord, 'stage name' AS problem FROM al WHERE NOT regexp_matches(stage, '^[A-Za-z0-9_-]+$')
+  count(*) OVER (PARTITION BY profile, stage) AS reps FROM ok),
+pb AS (SELECT profile, stage_ord, 'stage name' AS problem FROM al WHERE NOT regexp_matches(stage, '^[A-Za-z0-9_-]+$')
 UNION ALL SELECT profile, stage_ord, 'repeated stage name' FROM al WHERE reps > 1
 UNION ALL SELECT profile, stage_ord, 'bad date' FROM al WHERE NOT good
 UNION ALL SELECT profile, stage_ord, 'overlap' FROM al WHERE allgood AND ds <= pe
-UNION ALL SELECT profile, stage_ord, 'longer than one year' FROM al JOIN sp USING (profile) WHERE allgood AND stage_ord = 0 AND b - a > 366"""))
+UNION ALL SELECT profile, stage_ord, 'longer than one year' FROM al JOIN sp USING (profile) WHERE allgood AND stage_ord = 0 AND b - a > 366)"""
+
+
+@query("calendar_validate", with_cte(CTE_PROBLEMS, "SELECT profile, stage_ord, problem FROM pb"))
 def calendar_validate(spark, sf_dir):
     return CAL.violations(view(spark, sf_dir, "calendars"), KEYS).select("profile", "stage_ord", "problem")
 
@@ -156,3 +161,29 @@ def profile_names(spark, sf_dir):
     stored = sql(spark, sf_dir, """SELECT 'N' || CAST(n_nationkey AS STRING) || CASE i WHEN 0 THEN '' ELSE '_3' END AS profile FROM
       (SELECT n_nationkey, explode(array(0, 1)) AS i FROM {nation}) a WHERE n_nationkey % 2 = 0""")
     return PR.free_names(incoming, stored).select("c_custkey", "profile")
+
+
+@query("profile_import", with_cte(CTE_PROBLEMS + """,
+dc AS (SELECT profile, k, 'perfil' || k % 7 AS base FROM cal WHERE stage_ord = 0),
+gd AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY k) + (base = 'perfil3')::INT AS i FROM dc WHERE profile NOT IN (SELECT profile FROM pb))""", """
+SELECT profile AS file, base || CASE WHEN i = 1 THEN '' ELSE '_' || i END AS profile, 4 AS stages, CASE WHEN k % 3 = 0 THEN '' ELSE 'nota ' || k END AS note, '' AS problems FROM gd
+UNION ALL SELECT profile, NULL, NULL, NULL, string_agg(DISTINCT problem, '; ' ORDER BY problem) FROM pb GROUP BY 1"""))
+def profile_import(spark, sf_dir):
+    """Every calendar as a document of its own, profiles and plain calendars by turns, read back, checked and named."""
+    rows = view(spark, sf_dir, "calendars")
+    stages = rows.groupBy("profile", "cycle", "k").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("stage_ord", "stage", "start_mmdd", "end_mmdd"))), lambda s: F.array(s["stage"], s["start_mmdd"], s["end_mmdd"])).alias("stages"))
+    cycles = F.create_map("cycle", F.struct("stages"))
+    name = F.concat(F.lit("perfil"), (F.col("k") % 7).cast("string"))
+    nested = F.to_json(F.struct(cycles.alias("cycles"), name.alias("name"), F.concat(F.lit("nota "), F.col("k").cast("string")).alias("note")))
+    path = scratch_path(spark, "documents")
+    files = stages.select("profile", F.when(F.col("k") % 3 == 0, F.to_json(cycles)).otherwise(nested).alias("value"))
+    write_raw(files.select(F.concat("profile", F.lit(".json")).alias("file_name"), "value"), path)
+    docs = PR.read_documents(spark, path).withColumn("import_ord", F.substring("file", 2, 20).cast("bigint"))
+    docs = docs.withColumn("name", F.when(F.col("name") == F.col("file"), F.concat(F.lit("perfil"), (F.col("import_ord") % 7).cast("string"))).otherwise(F.col("name")))
+    taken = spark.sql("SELECT 'perfil3' AS profile")
+    good, problems = PR.import_documents(docs, taken)
+    counted = PR.calendar_rows(good).groupBy("file").agg(F.count(F.lit(1)).cast("int").alias("stages"))
+    named = good.select("file", "profile", "note").join(counted, "file").select("file", "profile", "stages", "note", F.lit("").alias("problems"))
+    why = problems.groupBy("file").agg(F.array_join(F.sort_array(F.collect_set("problem")), "; ").alias("problems"))
+    return named.unionByName(why, allowMissingColumns=True)

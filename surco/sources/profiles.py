@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from surco.operators import calendar as CAL
 from surco.operators.ranks import row_ranks
+from surco.session import written_once
 
 
 def export_profiles(profiles: DataFrame, path: str) -> None:
@@ -20,6 +22,74 @@ def import_profiles(spark: SparkSession, path: str, schema: StructType) -> DataF
     return docs.select(F.from_json("value", schema).alias("p")).select("p.*")
 
 
+CYCLES = "map<string, struct<stages: array<array<string>>>>"
+FLAT_REFERENCES = "map<string, map<string, array<string>>>"
+CYCLE_REFERENCES = "map<string, map<string, map<string, array<string>>>>"
+OFFSETS = "map<string, map<string, array<double>>>"
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """One row per JSON file (``file``, ``name``, ``note``, ``cycles``, references, ``offsets``), for both shapes that a user may hand in.
+
+    A document with ``cycles`` is a profile: its name is its own, else the file's. Any other is a plain calendar, a map of cycles, and takes
+    the file's name. Each part is parsed by itself, so a broken one is missing and the rest of the row stays. References are by crop, or by
+    cycle and crop; the first key tells.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("file"), "value")
+    part = lambda key: F.get_json_object("value", f"$.{key}")
+    nested = part("cycles").isNotNull()
+    by_crop = F.exists(F.coalesce(F.json_object_keys(part("references")), F.array().cast("array<string>")), lambda k: k.isin(*CAL.CROPS))
+    return raw.select(
+        "file", F.when(nested, F.coalesce(F.nullif(F.trim(part("name")), F.lit("")), "file")).otherwise(F.col("file")).alias("name"),
+        F.when(nested, F.coalesce(part("note"), F.lit(""))).otherwise("").alias("note"),
+        F.from_json(F.when(nested, part("cycles")).otherwise(F.col("value")), CYCLES).alias("cycles"),
+        F.from_json(F.when(nested & by_crop, part("references")), FLAT_REFERENCES).alias("flat"),
+        F.from_json(F.when(nested & ~by_crop, part("references")), CYCLE_REFERENCES).alias("by_cycle"),
+        F.from_json(F.when(nested, part("offsets")), OFFSETS).alias("offsets"))
+
+
+def calendar_rows(docs: DataFrame) -> DataFrame:
+    """``file, cycle, stage_ord, stage, start_mmdd, end_mmdd``."""
+    cycles = docs.select("file", F.explode("cycles").alias("cycle", "spec"))
+    stages = cycles.select("file", "cycle", F.posexplode("spec.stages").alias("stage_ord", "s"))
+    return stages.select("file", "cycle", "stage_ord", *[F.coalesce(F.get("s", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(("stage", "start_mmdd", "end_mmdd"))])
+
+
+def reference_rows(docs: DataFrame) -> DataFrame:
+    """``file, cycle, crop, kind, from_mmdd, to_mmdd``; the cycle is null where references hold for all cycles."""
+    flat = docs.select("file", F.lit(None).cast("string").alias("cycle"), F.explode("flat").alias("crop", "kinds"))
+    nested = docs.select("file", F.explode("by_cycle").alias("cycle", "crops")).select("file", "cycle", F.explode("crops").alias("crop", "kinds"))
+    both = flat.unionByName(nested).select("file", "cycle", "crop", F.explode("kinds").alias("kind", "span"))
+    return both.select("file", "cycle", "crop", "kind", *[F.coalesce(F.get("span", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(("from_mmdd", "to_mmdd"))])
+
+
+def offset_rows(docs: DataFrame) -> DataFrame:
+    rows = docs.select("file", F.explode("offsets").alias("crop", "kinds")).select("file", "crop", F.explode("kinds").alias("kind", "span"))
+    return rows.select("file", F.lit(None).cast("string").alias("cycle"), "crop", "kind", F.get("span", F.lit(0)).alias("days_min"), F.get("span", F.lit(1)).alias("days_max"))
+
+
+def document_violations(docs: DataFrame) -> DataFrame:
+    """``file, problem``: why a document can't be imported; none for a valid one."""
+    empty = F.coalesce(F.size("cycles"), F.lit(0)) <= 0
+    bare = F.exists(F.map_values(F.coalesce("cycles", F.create_map().cast(CYCLES))), lambda s: F.coalesce(F.size(s["stages"]), F.lit(0)) <= 0)
+    shape = docs.filter(empty | bare).select("file", F.when(empty, "no cycles").otherwise("a cycle without stages").alias("problem"))
+    dates = CAL.violations(calendar_rows(docs), ("file", "cycle")).select("file", "problem")
+    crops = CAL.profile_violations(reference_rows(docs).withColumnRenamed("file", "profile"), offset_rows(docs).withColumnRenamed("file", "profile"))
+    return shape.unionByName(dates).unionByName(crops.select(F.col("profile").alias("file"), "problem")).distinct()
+
+
+def import_documents(docs: DataFrame, stored: DataFrame, order_col: str = "import_ord") -> tuple[DataFrame, DataFrame]:
+    """The valid documents as profiles under free names, and the problems of the others.
+
+    Names that are taken, in ``stored(profile)`` or by an earlier document in order of ``order_col``, get ``_2``, ``_3`` and so on.
+    """
+    docs = written_once(docs)
+    problems = written_once(document_violations(docs))
+    good = docs.join(problems.select("file").distinct(), "file", "left_anti")
+    named = free_names(good.select("file", F.col(order_col).alias("import_ord"), F.col("name").alias("profile")), stored)
+    return good.join(named.select("file", "profile"), "file"), problems
+
+
 def import_calendars(calendars: DataFrame, name_col: str = "name") -> DataFrame:
     """A plain calendar becomes a profile named after its file, with empty references."""
     return calendars.withColumnRenamed(name_col, "profile")
@@ -35,7 +105,7 @@ def free_names(incoming: DataFrame, stored: DataFrame, name_col: str = "profile"
     """
     taken = stored.select(name_col).distinct()
     base, suffix = F.regexp_extract(name_col, "^(.*)_([0-9]+)$", 1), F.regexp_extract(name_col, "^(.*)_([0-9]+)$", 2)
-    numbers = taken.filter(base != "").select(base.alias(name_col), suffix.cast("bigint").alias("k"))
+    numbers = taken.filter(base != "").select(base.alias(name_col), suffix.try_cast("bigint").alias("k"))
     used = taken.select(name_col, F.lit(1).cast("bigint").alias("k")).unionByName(numbers).distinct()  # 1 is the bare name
     block = lambda c: F.floor(F.col(c) / NAME_BLOCK)
     # a taken number stands after as many free ones as are below it, so its place among the copies is known
