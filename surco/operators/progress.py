@@ -115,11 +115,21 @@ def median_dates(dates: DataFrame, keys: Sequence[str] = ("cvegeo", "modalidad",
 def medians_wide(medians: DataFrame, keys: Sequence[str] = ("cvegeo", "modalidad", "ciclo")) -> DataFrame:
     return medians.groupBy(*keys).agg(
         *[F.max(F.when(F.col("key") == q, F.col("date"))).alias(q) for q in QUANTILES],
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("years")))).alias("years"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("years")))).alias("years"),
+        F.sort_array(F.collect_list(F.struct("key", "years"))).alias("key_years"))  # a handful of quantiles
+
+
+def stage_origins(emergence: int, maturity: int) -> tuple[str, ...]:
+    # The origins that a profile names.
+    middle = "estimada: mitad entre emergencia y madurez"
+    return f"siap: S10 .. S90 + {emergence} d", middle, middle, f"siap: H50 - {maturity} d .. H90"
 
 
 def stages_from_dates(dates: DataFrame, emergence: int = EMERGENCE_DAYS, maturity: int = MATURITY_DAYS) -> DataFrame:
-    """Four stages from S10, S90, H50, H90: adds ``stages`` (name, from, to) or ``stage_error``."""
+    """Four stages from S10, S90, H50, H90: adds ``stages`` (stage, from, to, origin) or ``stage_error``.
+
+    ``origin`` tells what a stage's dates were taken from: official dates with the assumed days, or the middle between two stages.
+    """
     half = lambda a, b: F.date_add(a, F.floor(F.datediff(b, a) / 2).cast("int"))
     e_raw, m_raw = F.date_add("S90", emergence), F.date_sub("H50", maturity)
     short = m_raw <= F.date_add(e_raw, 2)
@@ -128,8 +138,8 @@ def stages_from_dates(dates: DataFrame, emergence: int = EMERGENCE_DAYS, maturit
                            "m0": F.when(short, F.date_add(middle, 1)).otherwise(m_raw)})
     d = d.withColumn("mid", half(F.col("e0"), F.col("m0")))
     bounds = [("S10", "e0", 0, 0), ("e0", "mid", 1, 0), ("mid", "m0", 1, -1), ("m0", "H90", 0, 0)]
-    stages = F.array(*[F.struct(F.lit(n).alias("stage"), F.date_add(a, da).alias("from"), F.date_add(b, db).alias("to"))
-                       for n, (a, b, da, db) in zip(STAGE_NAMES, bounds)])
+    stages = F.array(*[F.struct(F.lit(n).alias("stage"), F.date_add(a, da).alias("from"), F.date_add(b, db).alias("to"), F.lit(o).alias("origin"))
+                       for n, (a, b, da, db), o in zip(STAGE_NAMES, bounds, stage_origins(emergence, maturity))])
     missing = F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(k)) for k in ("S10", "S90", "H50", "H90")]))
     error = F.when(F.size(missing) > 0, F.concat(F.lit("faltan "), F.array_join(missing, ","))).when(
         F.col("H90") <= F.col("m0"), "cosecha antes de la madurez")
@@ -172,21 +182,36 @@ def cycle_profiles(rows: DataFrame, crops: Sequence[str] = CROPS_DEFAULT, min_ha
         "report": report, "label": label, "warnings": F.concat(yearly, brief)}).drop("by_year", "stage_error")
 
 
-def build_profiles(cycles: DataFrame, names: DataFrame, crops: Sequence[str] = CROPS_DEFAULT) -> DataFrame:
-    """Nested profiles, one per (municipality, regime) with at least one usable cycle (two at most)."""
+def build_profiles(cycles: DataFrame, names: DataFrame, crops: Sequence[str] = CROPS_DEFAULT,
+                   emergence: int = EMERGENCE_DAYS, maturity: int = MATURITY_DAYS) -> DataFrame:
+    """Nested profiles, one per (municipality, regime) with at least one usable cycle (two at most).
+
+    Each carries its note, the assumptions, the origin of every stage and the years that every date was taken from.
+    """
     usable = F.col("report").startswith("ok")
     entry = F.struct("ciclo", "label", "stages", F.bround("area", 1).alias("sembrada_mediana_ha"), "per_crop",
-                     F.struct(*[mmdd(F.col(q)).alias(q) for q in QUANTILES]).alias("fechas"))
+                     F.struct(*[mmdd(F.col(q)).alias(q) for q in QUANTILES]).alias("fechas"), F.col("key_years").alias("anios"))
     docs = cycles.groupBy("cvegeo", "modalidad").agg(
         F.sort_array(F.collect_list(F.when(usable, F.struct("ciclo", entry.alias("body"))))).alias("cycles"),
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ciclo", "warnings"))), lambda w: w["warnings"])).alias("warnings"),
     ).filter(F.size("cycles") > 0)
     named = docs.join(names.select("cvegeo", "municipio"), "cvegeo", "left")
     name = F.concat_ws("_", F.lit("siap"), "cvegeo", slug(F.col("municipio")), "modalidad")
+    note = F.concat(F.lit("SIAP Avance de Siembras y Cosechas, "), F.coalesce("municipio", "cvegeo"), F.lit(", "), "modalidad",
+                    F.lit(f"; cultivos: {' + '.join(crops)}; emergencia +{emergence} d y madurez -{maturity} d SUPUESTOS"))
+    assumed = F.struct(F.lit(emergence).alias("emergencia_dias"), F.lit(maturity).alias("madurez_dias"),
+                       F.lit("constante dentro de cada mes (interpolación lineal)").alias("ritmo"))
     return named.select(
-        name.alias("profile"), "cvegeo", F.coalesce("municipio", F.lit("")).alias("municipio"), "modalidad",
+        name.alias("profile"), "cvegeo", F.coalesce("municipio", F.lit("")).alias("municipio"), "modalidad", note.alias("note"),
         F.transform("cycles", lambda c: c["body"]).alias("cycles"), "warnings",
-        F.array(*[F.lit(c) for c in crops]).alias("cultivos"))
+        F.array(*[F.lit(c) for c in crops]).alias("cultivos"), assumed.alias("supuestos"))
+
+
+def profile_calendars(profiles: DataFrame) -> DataFrame:
+    """``profile, cycle, stage_ord, stage, start_mmdd, end_mmdd, origin`` of built profiles: what ``calendar.mark_manual`` takes."""
+    cycles = profiles.select("profile", F.explode("cycles").alias("c"))
+    return cycles.select("profile", F.col("c.ciclo").alias("cycle"), F.posexplode("c.stages").alias("stage_ord", "s")).select(
+        "profile", "cycle", "stage_ord", F.col("s.stage").alias("stage"), mmdd(F.col("s.from")).alias("start_mmdd"), mmdd(F.col("s.to")).alias("end_mmdd"), F.col("s.origin").alias("origin"))
 
 
 # ---------------------------------------------------------------- the map family

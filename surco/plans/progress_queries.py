@@ -189,12 +189,16 @@ def stage_text():
     return F.array_join(F.transform("stages", lambda s: F.concat(P.mmdd(s["from"]), F.lit(".."), P.mmdd(s["to"]))), " ")
 
 
-@query("stages_from_dates", with_cte(CTE_STAGES, "SELECT cvegeo, modalidad, ciclo, stages, err AS stage_error FROM s3 "
+@query("stages_from_dates", with_cte(CTE_STAGES, "SELECT cvegeo, modalidad, ciclo, stages, CASE WHEN err IS NULL THEN '" + " | ".join(P.stage_origins(10, 30)) + "' END AS origins, err AS stage_error FROM s3 "
                                     "JOIN (SELECT cvegeo, modalidad, ciclo, stages FROM s4) USING (cvegeo, modalidad, ciclo) "
                                     "SEMI JOIN wd USING (cvegeo, modalidad, ciclo)"))
 def stages_from_dates(spark, sf_dir):
     med = P.medians_wide(P.median_dates(dates(spark, sf_dir)))
-    return P.stages_from_dates(med).select("cvegeo", "modalidad", "ciclo", stage_text().alias("stages"), "stage_error")
+    return P.stages_from_dates(med).select("cvegeo", "modalidad", "ciclo", stage_text().alias("stages"), origin_text().alias("origins"), "stage_error")
+
+
+def origin_text():
+    return F.array_join(F.transform("stages", lambda s: s["origin"]), " | ")
 
 
 @query("build_profiles", with_cte(CTE_STAGES + """,
@@ -212,9 +216,13 @@ def build_profiles(spark, sf_dir):
                             F.array_join("warnings", " | ").alias("warnings")), (), 4)
 
 
-@query("profile_json", with_cte(CTE_STAGES, """
-SELECT 'siap_' || cvegeo || '_' || regexp_replace(municipio, '[^A-Za-z0-9]', '_', 'g') || '_' || modalidad AS profile, cvegeo, modalidad, ciclo, stages
-FROM s4 JOIN {municipality} m USING (cvegeo) WHERE report LIKE 'ok%'"""))
+@query("profile_json", with_cte(CTE_STAGES + """,
+ky AS (SELECT cvegeo, modalidad, ciclo, string_agg(key || '=' || years, ';' ORDER BY key) AS anios FROM md GROUP BY 1, 2, 3)""", f"""
+SELECT 'siap_' || cvegeo || '_' || regexp_replace(municipio, '[^A-Za-z0-9]', '_', 'g') || '_' || modalidad AS profile, cvegeo, modalidad, ciclo, stages,
+ '{" | ".join(P.stage_origins(10, 30))}' AS origins, anios,
+ 'SIAP Avance de Siembras y Cosechas, ' || municipio || ', ' || modalidad || '; cultivos: {" + ".join(P.CROPS_DEFAULT)}; emergencia +10 d y madurez -30 d SUPUESTOS' AS note,
+ 10 AS emergencia_dias, 30 AS madurez_dias
+FROM s4 JOIN {{municipality}} m USING (cvegeo) JOIN ky USING (cvegeo, modalidad, ciclo) WHERE report LIKE 'ok%'"""))
 def profile_json(spark, sf_dir):
     """Profiles written as JSON documents in the shared folder and read back."""
     from surco.sources import profiles as PR
@@ -222,9 +230,10 @@ def profile_json(spark, sf_dir):
     path = scratch_path(spark, "profiles")
     PR.export_profiles(docs, path)
     back = PR.import_profiles(spark, path, docs.schema)
-    return back.select("profile", "cvegeo", "modalidad", F.explode("cycles").alias("c")).select(
-        "profile", "cvegeo", "modalidad", F.col("c.ciclo").alias("ciclo"), F.col("c.stages").alias("stages")
-    ).withColumn("stages", stage_text())
+    years = F.array_join(F.transform("anios", lambda k: F.concat(k["key"], F.lit("="), F.array_join(k["years"].cast("array<string>"), ","))), ";")
+    return back.select("profile", "cvegeo", "modalidad", "note", "supuestos.emergencia_dias", "supuestos.madurez_dias", F.explode("cycles").alias("c")).select(
+        "profile", "cvegeo", "modalidad", "note", "emergencia_dias", "madurez_dias", "c.ciclo", "c.stages", "c.anios"
+    ).withColumns({"origins": origin_text(), "stages": stage_text(), "anios": years})
 
 
 # ------------------------------------------------------------------ map family
