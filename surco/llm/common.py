@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -56,6 +57,13 @@ def give_back() -> None:
         pass
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to
+    collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: the row's gapless place from 0 within its ``keys``, in an order fixed by the rows.
 

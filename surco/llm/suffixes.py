@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surco.llm.common import fresh
+from surco.llm.common import free_shuffles, fresh
 from surco.session import scratch_path, written_once
 
 LENGTH, GRAM = 200, 80
@@ -382,6 +382,8 @@ def repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     sifted = written_once(
         met.select("gram", "row", "place", (twice & ~copied).alias("whole"), carried.alias("carried"), F.when(twice, 2).otherwise(1).cast("bigint").alias("copies"))
         .filter("whole OR carried"))
+    del seen, met, listed
+    free_shuffles(spark)  # those of all anchors are the largest, and are read no more
     spot = F.shiftright("place", 9)
     whole = sifted.filter("whole").select(
         "row", F.greatest(spot - (LENGTH - GRAM), F.lit(0)).alias("from"), (spot + F.shiftright("place", 1).bitwiseAND(F.lit(255))).alias("to"))
@@ -462,19 +464,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     names = dict(zip(_NAMES, fresh(docs, *_NAMES)))
     stored = _chosen(docs, names)
     spans, groups = repeats(stored.select(*[F.col(n).alias(c) for c, n in names.items()]))
-    span, copies, sha, row, text = fresh(stored, "spans", "copies", "sha_of", "row_of", "text_of")
-    joined = (
-        stored.join(spans.select(F.col("row").alias(row), F.col("spans").alias(span)), F.col(names["row"]) == F.col(row), "left")
-        .join(groups.select(F.col("sha").alias(sha), F.col("copies").alias(copies)), F.col(names["sha"]) == F.col(sha), "left"))
-
-    def rest(packed: pd.Series, spans: pd.Series, copies: pd.Series) -> pd.Series:
+    span, whole, row, text = fresh(stored, "spans", "whole", "row_of", "text_of")
+    # what is known of a row is small: the texts themselves are joined once
+    copied = stored.select(F.col(names["row"]).alias(row), F.col(names["sha"]).alias("sha")).join(groups.filter("copies > 1").select("sha"), "sha")
+    facts = spans.select(F.col("row").alias(row), F.col("spans").alias(span), F.lit(False).alias(whole)).unionByName(
+        copied.select(row, F.lit(None).cast(spans.schema["spans"].dataType).alias(span), F.lit(True).alias(whole)))
+    joined = stored.join(facts, F.col(names["row"]) == F.col(row), "left")
+
+    def rest(packed: pd.Series, spans: pd.Series, whole: pd.Series) -> pd.Series:
         out = []
-        for p, s, c in zip(packed, spans, copies):
-            raw = b"" if c is not None and c > 1 else zstandard.decompress(p)
+        for p, s, w in zip(packed, spans, whole):
+            raw = b"" if w is True or w == 1 else zstandard.decompress(p)
             out.append((raw if s is None or not raw else _kept(raw, _merged(s))).decode("utf-8", "ignore"))
         return pd.Series(out)
 
-    cut = F.pandas_udf(rest, T.StringType())(F.col(names["packed"]), F.col(span), F.col(copies))
+    cut = F.pandas_udf(rest, T.StringType())(F.col(names["packed"]), F.col(span), F.coalesce(F.col(whole), F.lit(False)))
     out = joined.withColumn(text, cut)
     chosen = [F.col(text).alias(c) if c == "text" else F.length(text).cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*chosen)
