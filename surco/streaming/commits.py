@@ -2,7 +2,8 @@
 
 ``data/load=<run>-<batch>`` holds the rows of one micro-batch; the run is the id that Spark gives a checkpoint. ``versions/<n>`` lists the folders
 of the table after n changes, with the order in which they were added and the last batch of each run. A version is written to a file of its own
-and renamed, which fails where another writer was first. So a crash before the switch leaves a folder that nobody
+and renamed, which fails where another writer was first (HDFS and the like; on a file system whose rename replaces, two writers must not switch in the
+same instant). So a crash before the switch leaves a folder that nobody
 reads, a replay after it changes nothing, and a new checkpoint, whose batches count from 0 again, adds to what is stored.
 """
 
