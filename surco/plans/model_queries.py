@@ -317,12 +317,25 @@ def predict_map(spark, sf_dir):
         "px_id", "clase", F.when(total == 765, "none").when(total.between(98, 102), "about 100").otherwise("wrong").alias("percentages"))
 
 
-@query("snk_report", with_cte(CTE_CONF, "SELECT 'pixel' AS level, clase, maiz, sorgo, otros FROM cm"))
+@query("snk_report", with_cte(CTE_CONF + """,
+v AS (SELECT grupo, pred, row_number() OVER (PARTITION BY grupo ORDER BY count(*) DESC, pred) AS i FROM pr GROUP BY 1, 2),
+w AS (SELECT grupo, clase, row_number() OVER (PARTITION BY grupo ORDER BY count(*) DESC, clase) AS i FROM pr GROUP BY 1, 2),
+fv AS (SELECT clase, pred FROM v JOIN w USING (grupo) WHERE v.i = 1 AND w.i = 1),
+lg AS (SELECT 'pixel' AS level, clase, pred, n FROM (UNPIVOT cm ON maiz, sorgo, otros INTO NAME pred VALUE n)
+ UNION ALL SELECT 'field', a.clase, b.clase, count(fv.clase) FROM lb a CROSS JOIN lb b LEFT JOIN fv ON fv.clase = a.clase AND fv.pred = b.clase GROUP BY 2, 3),
+st AS (SELECT CASE WHEN clase = 'otros' THEN 'otros' ELSE 'maiz+sorgo' END AS clase, CASE WHEN pred = 'otros' THEN 'otros' ELSE 'maiz+sorgo' END AS pred, n FROM lg WHERE level = 'pixel')""",
+"""SELECT level, clase, pred, CAST(n AS BIGINT) AS n FROM lg UNION ALL SELECT 'step1', clase, pred, CAST(sum(n) AS BIGINT) FROM st GROUP BY 2, 3
+ UNION ALL SELECT 'step2', clase, pred, CAST(n AS BIGINT) FROM lg WHERE level = 'pixel' AND clase <> 'otros' AND pred <> 'otros'
+ UNION ALL SELECT 'parameter', 'trees', '200', 5"""))
 def snk_report(spark, sf_dir):
-    """The confusion rows of a report, written and read back."""
+    """Tables of all levels and the run's parameters, written as a report and read back."""
     path = scratch_path(spark, "report")
-    RES.write_report(path, {"pixel": CL.confusion(pairs(spark, sf_dir))})
-    return RES.read_confusion(spark, path)
+    own = written_once(pairs(spark, sf_dir))
+    first, second = CL.two_step(own)
+    RES.write_report(path, {"pixel": CL.confusion(own), "field": CL.confusion(CL.field_vote(own)), "step1": first, "step2": second}, parameters={"trees": CL.N_TREES, "k": FOLDS})
+    used = RES.read_parameters(spark, path)
+    facts = spark.createDataFrame([("parameter", "trees", str(used["trees"]), used["k"])], "level string, clase string, pred string, n bigint")
+    return RES.read_confusion(spark, path).unionByName(facts)
 
 
 @query("snk_features", with_cte(CTE_LONG + f""",

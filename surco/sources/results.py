@@ -32,17 +32,31 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/counts")
 
 
-def write_report(path: str, confusions: dict[str, DataFrame], importance: DataFrame | None = None) -> None:
-    """Confusion rows per level, and importance by the first step, largest first."""
+def write_report(path: str, confusions: dict[str, DataFrame], importance: DataFrame | None = None, parameters: dict | None = None) -> None:
+    """A validation report: counts (level, clase, pred, n) of every table, importance by the first step, largest first, and the run's parameters.
+
+    ``confusions``: by level, one row per true class and one column per predicted one; levels may have labels of their own.
+    """
     rows = None
     for level, matrix in confusions.items():
-        part = matrix.select(F.lit(level).alias("level"), "*")
-        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        labels = [c for c in matrix.columns if c != "clase"]
+        part = matrix.unpivot("clase", labels, "pred", "n").select(F.lit(level).alias("level"), "clase", "pred", "n")
+        rows = part if rows is None else rows.unionByName(part)
     rows.write.csv(f"{path}/confusion", header=True)
     if importance is not None:
         importance.orderBy(F.desc("step1"), "var").select(
             "var", *[F.format_number(s, "0.0000").alias(s) for s in ("step1", "step2")]).write.csv(f"{path}/importance", header=True)
+    if parameters is not None:
+        rows.sparkSession.createDataFrame([(json.dumps(parameters),)], "parameters string").write.json(f"{path}/parameters")
 
 
 def read_confusion(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(f"{path}/confusion", header=True, schema="level string, clase string, maiz bigint, sorgo bigint, otros bigint")
+    return spark.read.csv(f"{path}/confusion", header=True, schema="level string, clase string, pred string, n bigint")
+
+
+def read_importance(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(f"{path}/importance", header=True, schema="var string, step1 double, step2 double")
+
+
+def read_parameters(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.json(f"{path}/parameters").first()[0])
