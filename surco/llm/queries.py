@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from surco.llm import bpe, conversations, lookup_sketch, merkle, mixing, packing, quality_rules, ranking, sharding, simhash, suffixes, token_files, toxicity
 from surco.llm.common import table
+from surco.session import ship
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application."""
-    context = spark.sparkContext
-    if getattr(context, "_surco_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    with tempfile.TemporaryDirectory() as folder:
-        shutil.copytree(f"{top}/surco", f"{folder}/code/surco", ignore=shutil.ignore_patterns("__pycache__"))
-        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/surco", "zip", f"{folder}/code"))
-    context._surco_shipped = True
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return table(spark, sf_dir, "documents")
