@@ -82,7 +82,8 @@ SELECT id, source, sensor, collection, day AS date, tile, platform, baseline, cl
 def src_scene_items(spark, sf_dir):
     """Pages written as text in the shared folder, read back and parsed."""
     path = scratch_path(spark, "catalogue")
-    pages(spark, sf_dir).write.partitionBy("source").json(path)
+    # a page holds every item twice, and items repeat their keys: compressed, the folder is a small part of the text
+    pages(spark, sf_dir).write.partitionBy("source").json(path, compression="gzip")
     back = spark.read.schema("page bigint, value string, source string").json(path)
     return CT.scenes(CT.parse_pages(back)).select(
         "id", "source", "sensor", "collection", "date", "tile", "platform", "baseline", "cloud_tile", "datatake")
