@@ -11,7 +11,7 @@ from surco.plans.curve_queries import rounded, with_cte
 from surco.plans.registry import query
 from surco.session import scratch_path
 from surco.sources import catalogue as CT
-from surco.sources.adapters import oracle, view
+from surco.sources.adapters import VIEWS, oracle, table, view
 
 AREA = ((-98.03, 25.03), (-97.83, 25.03), (-97.83, 25.23), (-98.03, 25.23))
 AREA_BOX = (-98.03, 25.03, -97.83, 25.23)
@@ -20,7 +20,8 @@ AREA_BOX = (-98.03, 25.03, -97.83, 25.23)
 def pages(spark, sf_dir):
     """Catalogue pages as JSON text: every item comes twice, as on overlapping pages."""
     # the driver's table is one small file; a catalogue comes as many pages, so spread the rows
-    f = view(spark, sf_dir, "scene_facts").repartition("k")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").repartition("o_orderkey")
+    f = spark.sql(VIEWS["scene_facts"], orders=orders)
     when, c, lit = F.when, F.col, F.lit
     s2, l = c("sensor") == "S2", c("l")
 
@@ -58,12 +59,13 @@ def pages(spark, sf_dir):
     ring = F.array(F.array("x0", "y0"), F.array(x1, c("y0")), F.array(x1, y1), F.array(c("x0"), y1), F.array("x0", "y0"))
     geometry = when(c("k") % 10 != 9, F.struct(lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
     item = F.struct("id", when(l != 4, lit("coll")).alias("collection"), geometry.alias("geometry"), maps.alias("assets"), props.alias("properties"))
-    return f.select(c("k").alias("page"), "source", F.to_json(F.struct(F.array(item, item).alias("features"))).alias("value"))
+    texts = f.select(c("k").alias("page"), "source", F.to_json(item).alias("item"))  # made once, written twice
+    return texts.select("page", "source", F.concat(lit('{"features":['), "item", lit(","), "item", lit("]}")).alias("value"))
 
 
 def scenes(spark, sf_dir):
     """Typed scenes, each id once."""
-    return CT.scenes(S.dedupe(CT.parse_pages(pages(spark, sf_dir))))
+    return CT.scenes(S.dedupe(CT.parse_pages(pages(spark, sf_dir), once=True)))
 
 
 CTE = """f AS (SELECT *, sensor = 'S2' AS s2 FROM {scene_facts} f),
@@ -83,7 +85,7 @@ def src_scene_items(spark, sf_dir):
     """Pages written as text in the shared folder, read back and parsed."""
     path = scratch_path(spark, "catalogue")
     # a page holds every item twice, and items repeat their keys: compressed, the folder is a small part of the text
-    pages(spark, sf_dir).write.partitionBy("source").json(path, compression="gzip")
+    pages(spark, sf_dir).write.partitionBy("source").json(path, compression="lz4")
     back = spark.read.schema("page bigint, value string, source string").json(path)
     return CT.scenes(CT.parse_pages(back)).select(
         "id", "source", "sensor", "collection", "date", "tile", "platform", "baseline", "cloud_tile", "datatake")

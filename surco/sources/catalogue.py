@@ -42,11 +42,16 @@ def outer_rings() -> Column:
     return F.transform(polygons, lambda p: F.transform(F.get(p, F.lit(0)), lambda c: F.struct(c[0].alias("x"), c[1].alias("y"))))
 
 
-def parse_pages(pages: DataFrame, text: str = "value") -> DataFrame:
-    """Features of catalogue pages. ``pages``: page (order), source, value (JSON text)."""
+def parse_pages(pages: DataFrame, text: str = "value", once: bool = False) -> DataFrame:
+    """Features of catalogue pages. ``pages``: page (order), source, value (JSON text). ``once``: of the items of one id on one page, only
+    the first, so that the rest is neither sorted nor sent."""
     parsed = pages.select("page", "source", F.from_json(text, PAGE).alias("p"))
+    features = F.col("p.features")
+    if once:
+        parsed = parsed.select("page", "source", features.alias("f"), F.col("p.features.id").alias("ids"))
+        features = F.filter("f", lambda item, i: F.array_position("ids", item["id"]) == i + 1)
     # the outer form: for the inner one Spark would parse once more to skip pages without items
-    rows = parsed.select("page", "source", F.posexplode_outer("p.features").alias("pos", "item"))
+    rows = parsed.select("page", "source", F.posexplode_outer(features).alias("pos", "item"))
     return rows.filter(F.col("item.id").isNotNull()).select("page", "pos", "source", "item.*")
 
 
