@@ -12,14 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surco.llm.common import held_out
-from surco.llm.labelled import SAMPLE_ROWS, logistic, sample
+from surco.llm.common import held_out, positions
+from surco.llm.labelled import sample
+from surco.operators.ranks import exact_quantiles
+from surco.session import written_once
 
-#: Pairs drawn for the fit.
+#: The least number of pairs for the fit.
 PAIRS = 100_000
 #: Scores at the threshold quantile become this.
 THRESHOLD = 0.3
@@ -62,29 +66,40 @@ class Ranking:
     threshold: float
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ranking | None:
-    """The ranking of up to ``rows`` labelled texts that are not held out; None without texts of both labels."""
-    seen = sample(docs, labels, "quality", rows).select("doc_id", "label", features_of(F.col("text")).alias("x")).orderBy("doc_id").toPandas()
-    y = seen["label"].to_numpy(int) if len(seen) else np.zeros(0, int)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
+def learn(docs: DataFrame, labels: DataFrame) -> Ranking | None:
+    """The ranking of all labelled texts that are not held out; None without texts of both labels.
+
+    Texts of each label stand in the order of a hash, and each is paired with one of the other label, in as many rounds as give ``PAIRS`` pairs: every
+    text takes part. Features, pairs, fit and the counts for the threshold stay in Spark; single values and vectors reach the driver.
+    """
+    size = len(features(None))
+    x = lambda i: F.get("x", F.lit(i))
+    seen = written_once(sample(docs, labels, "quality", None).filter(F.col("label").isin(0, 1)).select("doc_id", "label", features_of(F.col("text")).alias("x")))
+    n = {r["label"]: r["n"] for r in seen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
         return None
-    x = np.array(seen["x"].tolist())
-    centre, scale = x.mean(0), x.std(0) + 1e-3
-    z = (x - centre) / scale
-    draw = np.random.default_rng(SEED)
-    won, lost = good[draw.integers(len(good), size=PAIRS)], bad[draw.integers(len(bad), size=PAIRS)]
-    # each pair in one orientation, half of them turned round, so that both outcomes occur
-    turn = np.where(np.arange(PAIRS) % 2 == 0, 1.0, -1.0)
-    beta = logistic((z[won] - z[lost]) * turn[:, None], (turn > 0).astype(float), ridge=1.0)
-    raw = z @ beta
-    share = len(bad) / len(y)
-    low, high = np.quantile(raw, [max(share - 0.01, 0), min(share + 0.01, 1)])
+    at = seen.agg(*[F.avg(x(i)) for i in range(size)], *[F.stddev_pop(x(i)) for i in range(size)]).first()
+    centre, scale = np.array(at[:size]), np.array(at[size:]) + 1e-3
+    z = F.array(*[(x(i) - float(centre[i])) / float(scale[i]) for i in range(size)])
+    placed = written_once(positions(seen.select("doc_id", "label", z.alias("z")), ["label"], ["doc_id", "z"], "place"))
+    longer = int(n[1] >= n[0])
+    rounds = -(-PAIRS // n[longer])
+    many = placed.filter(F.col("label") == longer).select("place", F.col("z").alias("zm"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    # a round goes on by a step of its own, so partners change
+    partner = F.pmod(F.col("place") + F.pmod(F.xxhash64("round", F.lit(SEED)), F.lit(n[1 - longer])), F.lit(n[1 - longer]))
+    met = many.withColumn("partner", partner).join(placed.filter(F.col("label") != longer).select(F.col("place").alias("partner"), F.col("z").alias("zf")), "partner")
+    sign = F.when((F.col("place") + F.col("round")) % 2 == 0, 1.0).otherwise(-1.0)  # half of the pairs turned round, so that both outcomes occur
+    pairs = met.select(array_to_vector(F.zip_with("zm", "zf", lambda a, b: (a - b) * sign)).alias("features"), ((sign > 0) == F.lit(bool(longer))).cast("double").alias("label"))
+    fitted = LogisticRegression(fitIntercept=False, standardization=False, regParam=1.0 / (rounds * n[longer]), maxIter=60).fit(written_once(pairs))
+    beta = fitted.coefficients.toArray()
+    raw = written_once(placed.select("label", sum((F.get("z", F.lit(i)) * float(b) for i, b in enumerate(beta)), F.lit(0.0)).alias("raw")))
+    share = n[0] / (n[0] + n[1])
+    ends = exact_quantiles(raw.withColumn("all", F.lit(0)), ["all"], "raw", {"low": max(share - 0.01, 0), "high": min(share + 0.01, 1)}).first()
     # of the quantiles near the share of bad texts, the one that parts the labels best
-    tried = np.linspace(low, high, 101)
-    errors = [np.sum((raw >= t) != (y == 1)) for t in tried]
-    best = np.flatnonzero(np.array(errors) == min(errors))
-    return Ranking(tuple(centre), tuple(scale), tuple(beta), float(tried[best[len(best) // 2]]))
+    tried = np.linspace(ends["low"], ends["high"], 101)
+    errors = np.array(raw.agg(*[F.count_if((F.col("raw") >= float(t)) != (F.col("label") == 1)) for t in tried]).first())
+    best = np.flatnonzero(errors == errors.min())
+    return Ranking(tuple(map(float, centre)), tuple(map(float, scale)), tuple(map(float, beta)), float(tried[best[len(best) // 2]]))
 
 
 def score_of(text: Column, model: Ranking | None) -> Column:

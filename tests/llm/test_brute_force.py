@@ -117,3 +117,14 @@ def test_toxicity_scores_by_a_plain_loop(docs, labels):
         if not found:
             assert not any_ and not total
     assert hits
+
+
+def test_every_labelled_text_counts_for_the_ranking(spark, monkeypatch):
+    from surco.llm import labelled
+
+    monkeypatch.setattr(labelled, "SAMPLE_ROWS", 40)
+    rows = [(i, "fine words in a row " * (i % 7 + 3) if i % 3 else "spam!! | spam!! " * (i % 5 + 3), int(i % 3 > 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    model = ranking.learn(df, df)
+    used = [ranking.features(t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert model.centre == pytest.approx([sum(c) / len(used) for c in zip(*used)])
