@@ -149,10 +149,14 @@ def touched_by_polygons(edge_rows: DataFrame, res: float, buffer: float) -> Data
     return found.select("field_ord", F.col("fila").cast("int").alias("fila"), F.col("col").cast("int").alias("col")).distinct()
 
 
-def touched_by_discs(points: DataFrame, res: float, radius: float) -> DataFrame:
-    """(field_ord, fila, col) of the cells that a disc around each point (field_ord, x, y) touches."""
+def touched_by_discs(points: DataFrame, res: float, radius: float, far_borders: bool = False) -> DataFrame:
+    """(field_ord, fila, col) of the cells that a disc around each point (field_ord, x, y) touches.
+
+    A border line belongs to the cell that begins there; with ``far_borders`` also to the one that ends there.
+    """
     def reach(c: str) -> Column:
-        return F.explode(F.sequence(F.floor((F.col(c) - radius) / res), F.floor((F.col(c) + radius) / res)))
+        first = (F.col(c) - radius) / res
+        return F.explode(F.sequence(F.ceil(first) - 1 if far_borders else F.floor(first), F.floor((F.col(c) + radius) / res)))
 
     around = points.select("field_ord", "x", "y", reach("y").alias("fila")).select("*", reach("x").alias("col"))
 

@@ -23,19 +23,19 @@ def class_mapping(labels: DataFrame, label: str = "etiqueta") -> DataFrame:
 
 
 def extract(pixels: DataFrame, vertices: DataFrame, mapping: DataFrame, res: float, inner_buffer: float = 10.0,
-            point_radius: float = 0.0, max_per_group: int | None = None, seed: int = 0) -> DataFrame:
+            point_radius: float = 0.0, max_per_group: int | None = None, seed: int = 0, far_borders: bool = False) -> DataFrame:
     """(px_id, fila, col, grupo, clase) of the pixels each labelled field takes.
 
     ``vertices``: field_ord, grupo, kind ('polygon' or 'point'), etiqueta, ring_id, v_ord, x, y.
     A polygon takes the pixels whose centre it holds at least ``inner_buffer`` from its outline; a
     point those within its radius. A field that takes none gets every cell that it, shrunk, touches and nobody
-    else has. Later fields overwrite earlier ones.
+    else has (``far_borders``: as ``covering.touched_by_discs`` takes it). Later fields overwrite earlier ones.
     """
     grid = pixels.select("px_id", "fila", "col", "x", "y")
     known = _known(vertices, mapping)
     taken = _taken(grid, known, res, inner_buffer, point_radius)
     left = known.select("field_ord").distinct().join(taken.select("field_ord").distinct(), "field_ord", "left_anti")
-    spare = grid.join(_touched(known.join(left, "field_ord", "left_semi"), res, inner_buffer, point_radius), ["fila", "col"]).join(
+    spare = grid.join(_touched(known.join(left, "field_ord", "left_semi"), res, inner_buffer, point_radius, far_borders), ["fila", "col"]).join(
         taken.select("px_id"), "px_id", "left_anti")
     extra = spare.groupBy("px_id").agg(F.max("field_ord").alias("field_ord"))
     info = known.groupBy("field_ord").agg(F.first("grupo").alias("grupo"), F.first("clase").alias("clase"))
@@ -67,10 +67,10 @@ def _taken(grid: DataFrame, known: DataFrame, res: float, inner_buffer: float, p
     return written_once(hits.groupBy("px_id").agg(F.max("field_ord").alias("field_ord")))
 
 
-def _touched(fields: DataFrame, res: float, inner_buffer: float, point_radius: float) -> DataFrame:
+def _touched(fields: DataFrame, res: float, inner_buffer: float, point_radius: float, far_borders: bool = False) -> DataFrame:
     outline = Z.edges(fields.filter("kind = 'polygon'"), ("field_ord",))
     spots = fields.filter("kind = 'point'").select("field_ord", "x", "y")
-    return covering.touched_by_polygons(outline, res, inner_buffer).unionByName(covering.touched_by_discs(spots, res, _radius(res, point_radius)))
+    return covering.touched_by_polygons(outline, res, inner_buffer).unionByName(covering.touched_by_discs(spots, res, _radius(res, point_radius), far_borders))
 
 
 def extract_report(vertices: DataFrame, mapping: DataFrame, taken: DataFrame, res: float, inner_buffer: float = 10.0, point_radius: float = 0.0) -> DataFrame:

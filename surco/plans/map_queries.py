@@ -209,7 +209,7 @@ def mapping(spark, sf_dir):
 
 
 def extracted(spark, sf_dir, cap=None):
-    return SM.extract(class_map(spark, sf_dir), view(spark, sf_dir, "field_vertex"), mapping(spark, sf_dir), RES, 3.0, 15.0, cap)
+    return SM.extract(class_map(spark, sf_dir), view(spark, sf_dir, "field_vertex"), mapping(spark, sf_dir), RES, 3.0, 15.0, cap, far_borders=True)
 
 
 CTE_FIELDS = "px AS (SELECT * FROM {class_map} c), " + """

@@ -85,6 +85,14 @@ def test_touched_cells_of_discs(spark):
         assert got == want
 
 
+def test_a_disc_touches_the_cells_of_which_it_meets_only_the_border(spark):
+    places = [(35.0, 66.25), (45.0, 50.0), (50.0, 35.0), (50.0, 45.0), (15.0, 15.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "field_ord int, x double, y double")
+    got = {tuple(x) for x in covering.touched_by_discs(df, RES, 15.0, far_borders=True).select("field_ord", "fila", "col").collect()}
+    off = lambda c, k: max(0.0, k * RES - c, c - (k + 1) * RES)
+    assert got == {(i, f, c) for i, (x, y) in enumerate(places) for f in range(-3, 8) for c in range(-3, 8) if math.hypot(off(x, c), off(y, f)) <= 15}
+
+
 def test_fields_without_a_centre_take_free_cells(spark):
     pixels = spark.range(100).select(F.col("id").alias("px_id"), (F.col("id") / 10).cast("int").alias("fila"), (F.col("id") % 10).cast("int").alias("col")).withColumns(
         {"x": (F.col("col") + 0.5) * RES, "y": (F.col("fila") + 0.5) * RES})
