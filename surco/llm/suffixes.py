@@ -34,6 +34,8 @@ _HALF = (LENGTH - GRAM) // 2
 SHALLOW = 16  # bytes that the quicksort looks at, after those known to be equal
 #: Suffixes of one gram that one task sorts; those of grams with more are compared window by window instead.
 MOST_OCCURRENCES = 100_000
+#: Different texts that a task knows to have sent.
+KNOWN_TEXTS = 200_000
 _R = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -261,27 +263,22 @@ def covered(before: list[bytes], after: list[bytes], weight: list[int]) -> list[
 
 
 def _chosen(docs: DataFrame, names: dict[str, str]) -> DataFrame:
-    """The documents, written once: text packed, row number, size, digest and anchors under the given names."""
+    """The documents, written once: text packed, row number, size and digest under the given names."""
     keep = [c for c in docs.columns if c != "text"]
     fields = [docs.schema[c] for c in keep]
     added = [T.StructField(names[c], t) for c, t in (
-        ("row", T.LongType()), ("packed", T.BinaryType()), ("bytes", T.LongType()), ("sha", T.StringType()), ("grams", T.BinaryType()), ("around", T.BinaryType()), ("places", T.BinaryType()))]
+        ("row", T.LongType()), ("packed", T.BinaryType()), ("bytes", T.LongType()), ("sha", T.StringType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed, size, sha, grams, around, places = [], [], [], [], [], []
+            packed, size, sha = [], [], []
             for text in batch.column("text"):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                at, h, x = anchors(raw)
                 packed.append(zstandard.compress(raw, 1))
                 size.append(len(raw))
                 sha.append(hashlib.sha256(raw).hexdigest())
-                grams.append(h.tobytes())
-                around.append(x.tobytes())
-                # place, bytes that a window can reach after it, and a bit for copies
-                places.append((at << 9 | np.minimum(len(raw) - at, LENGTH) << 1).tobytes())
             columns = [batch.column(c) for c in keep] + [
-                batch.column(names["row"]), pa.array(packed, pa.binary()), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(grams, pa.binary()), pa.array(around, pa.binary()), pa.array(places, pa.binary())]
+                batch.column(names["row"]), pa.array(packed, pa.binary()), pa.array(size, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *(f.name for f in added)])
 
     path = scratch_path(docs.sparkSession, "texts")
@@ -291,14 +288,24 @@ def _chosen(docs: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of every text; those of a text that a task has sent twice already tell nothing more and stay."""
+    seen: Counter = Counter()
     for batch in batches:
-        row, copies = batch.column("row").to_numpy(), batch.column("copies").to_numpy()
-        grams, around, places = (batch.column(c).to_pylist() for c in ("grams", "around", "places"))
-        size = np.fromiter(map(len, grams), np.int64, len(grams)) // 8
-        place = np.frombuffer(b"".join(places), np.int64) | np.repeat((copies > 1).astype(np.int64), size)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.frombuffer(b"".join(grams), np.int64)), pa.array(np.frombuffer(b"".join(around), np.int64)), pa.array(np.repeat(row, size)), pa.array(place)],
-            ["gram", "around", "row", "place"])
+        grams, around, places, rows = ([np.zeros(0, np.int64)] for _ in range(4))
+        for row, packed, sha in zip(*(batch.column(c).to_pylist() for c in ("row", "packed", "sha"))):
+            seen[sha] += 1
+            if seen[sha] > 2:
+                continue
+            raw = zstandard.decompress(packed)
+            at, h, x = anchors(raw)
+            grams.append(h)
+            around.append(x)
+            # place, and bytes that a window can reach after it
+            places.append(at << 8 | np.minimum(len(raw) - at, LENGTH))
+            rows.append(np.full(len(at), row, np.int64))
+        if len(seen) > KNOWN_TEXTS:  # texts that are forgotten are sent again
+            seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (grams, around, rows, places)], ["gram", "around", "row", "place"])
 
 
 _AROUND = "gram bigint, row bigint, place bigint, copies bigint, before binary, after binary"
@@ -357,7 +364,7 @@ def _windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(spans, groups)`` of a table ``row, packed, bytes, sha, grams, around, places`` that is written.
+    """``(spans, groups)`` of a table ``row, packed, bytes, sha`` that is written.
 
     ``groups`` has ``sha, first, copies`` of every text of ``LENGTH`` bytes or more; a text with copies is a repeat as a whole.
     ``spans`` has ``row, spans``: repeated stretches ``[from, to)`` of texts without copies, of which ``row`` is the only one.
@@ -365,28 +372,27 @@ def repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = texts.sparkSession
     long = texts.filter(F.col("bytes") >= LENGTH)
     groups = written_once(long.groupBy("sha").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")))
-    firsts = groups.select(F.col("first").alias("row"), "copies")
-    listed = texts.select("row", "grams", "around", "places").join(firsts, "row").select("row", "copies", "grams", "around", "places")
-    seen = listed.mapInArrow(_occurrences, "gram bigint, around bigint, row bigint, place bigint")
+    seen = long.select("row", "packed", "sha").mapInArrow(_occurrences, "gram bigint, around bigint, row bigint, place bigint")
     by_gram = Window.partitionBy("gram").orderBy("around", "row", "place")
     met = seen.select(
         "*", F.lag("around").over(by_gram).alias("prior"), F.lead("around").over(by_gram).alias("next"),
         F.first("around").over(by_gram.rowsBetween(Window.unboundedPreceding, 0)).alias("least"))
     is_ = lambda c: F.coalesce(c, F.lit(False))
-    copied = F.col("place").bitwiseAND(F.lit(1)) == 1
-    twice = copied | is_(F.col("prior") == F.col("around")) | is_(F.col("next") == F.col("around"))
+    twice = is_(F.col("prior") == F.col("around")) | is_(F.col("next") == F.col("around"))
     others = is_(F.col("next") != F.col("around")) | (F.col("least") != F.col("around"))
     last = F.col("next").isNull() | (F.col("next") != F.col("around"))
     # a suffix to sort, or the one that stands for several with the same surroundings
     carried = others & (last | ~twice)
-    sifted = written_once(
-        met.select("gram", "row", "place", (twice & ~copied).alias("whole"), carried.alias("carried"), F.when(twice, 2).otherwise(1).cast("bigint").alias("copies"))
-        .filter("whole OR carried"))
-    del seen, met, listed
+    path = scratch_path(spark, "suffixes")
+    met.select(
+        F.when(carried, F.col("gram")).alias("gram"), "row", "place", twice.alias("whole"), carried.alias("carried"), F.when(twice, 2).otherwise(1).cast("bigint").alias("copies")
+    ).filter("whole OR carried").write.option("compression", "snappy").parquet(path)
+    sifted = spark.read.parquet(path)
+    del seen, met
     free_shuffles(spark)  # those of all anchors are the largest, and are read no more
-    spot = F.shiftright("place", 9)
+    spot = F.shiftright("place", 8)
     whole = sifted.filter("whole").select(
-        "row", F.greatest(spot - (LENGTH - GRAM), F.lit(0)).alias("from"), (spot + F.shiftright("place", 1).bitwiseAND(F.lit(255))).alias("to"))
+        "row", F.greatest(spot - (LENGTH - GRAM), F.lit(0)).alias("from"), (spot + F.col("place").bitwiseAND(F.lit(255))).alias("to"))
     often = sifted.filter("carried").groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > MOST_OCCURRENCES)
     hot_grams = written_once(often.select("gram", F.lit(True).alias("hot")))
     places = written_once(
@@ -404,7 +410,8 @@ def repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         windows = written_once(around(places.filter("hot")).mapInPandas(_windows, "h bigint, d bigint, row bigint, from bigint, copies bigint").distinct())
         again = windows.groupBy("h", "d").agg(F.sum("copies").alias("n")).filter("n > 1")
         reach = reach.unionByName(windows.filter("copies = 1").join(again, ["h", "d"]).select("row", "from", (F.col("from") + LENGTH).alias("to")))
-    spans = reach.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))
+    copied = texts.select("row", "sha").join(groups.filter("copies > 1").select("sha"), "sha").select("row")  # go as a whole
+    spans = reach.join(copied, "row", "left_anti").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))
     return spans, groups
 
 
@@ -433,7 +440,7 @@ def _cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["cut_row", "removed", "n_spans", "kept"])
 
 
-_NAMES = {c: c for c in ("row", "packed", "bytes", "sha", "grams", "around", "places")}
+_NAMES = {c: c for c in ("row", "packed", "bytes", "sha")}
 
 
 def removed(docs: DataFrame) -> DataFrame:

@@ -218,6 +218,21 @@ def test_stage_leaves_one_of_the_near_copies_of_the_documents(spark):
     assert sorted(got) == sorted(alike_by_hand({x.doc_id: x.text for x in docs.collect()}))
 
 
+def test_a_task_sends_the_anchors_of_a_copied_text_twice_at_most(spark):
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.getrandbits(24):06x}" for _ in range(60)) for _ in range(3)]
+    docs = spark.createDataFrame([(k, texts[k % 3] if k < 9 else texts[0] + f" end {k}") for k in range(11)], "doc_id bigint, text string").coalesce(1)
+    stored = suffixes._chosen(docs, suffixes._NAMES)
+    assert stored.columns == ["doc_id", "row", "packed", "bytes", "sha"]  # no anchors are stored or joined
+    sent = stored.select("row", "packed", "sha").coalesce(1).mapInArrow(suffixes._occurrences, "gram bigint, around bigint, row bigint, place bigint")
+    assert sent.select("row").distinct().count() == 8
+    got = {x.doc_id: x for x in suffixes.removed(docs).collect()}
+    assert all(got[k].n_removed == got[k].n_bytes for k in range(9))
+    spans, _ = suffixes.repeats(stored)
+    assert {x.row for x in spans.collect()} == {x.row for x in stored.filter("doc_id >= 9").collect()}
+    assert all(got[k].n_removed == len(texts[0]) + len(" end ") for k in (9, 10))
+
+
 # --- quality rules -----------------------------------------------------------------------
 
 
