@@ -12,13 +12,15 @@ from surco.llm.common import held_out
 SAMPLE_ROWS = 20_000
 
 
-def sample(docs: DataFrame, labels: DataFrame, mark: str, rows: int | None = SAMPLE_ROWS) -> DataFrame:
-    """``doc_id, text, label`` of up to ``rows`` (None: all) labelled documents, none of them held out."""
-    marked = labels.filter(F.col(mark).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
+def marked(labels: DataFrame, mark: str) -> DataFrame:
+    """``doc_id, label`` of all labelled rows, none of them held out."""
+    return labels.filter(F.col(mark).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
         "doc_id", F.col(mark).cast("int").alias("label"))
-    if rows is None:
-        return docs.select("doc_id", "text").join(marked, "doc_id")
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+
+
+def sample(docs: DataFrame, labels: DataFrame, mark: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, text, label`` of up to ``rows`` labelled documents, none of them held out."""
+    chosen = marked(labels, mark).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` short rows
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surco.llm.common import held_out, positions
-from surco.llm.labelled import sample
+from surco.llm.labelled import marked
 from surco.operators.ranks import exact_quantiles
 from surco.session import written_once
 
@@ -66,15 +66,25 @@ class Ranking:
     threshold: float
 
 
+def featured(docs: DataFrame) -> DataFrame:
+    """``doc_id, x`` of every document, written: a few numbers travel to the labels, not the texts."""
+    return written_once(docs.select("doc_id", features_of(F.col("text")).alias("x")))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Ranking | None:
-    """The ranking of all labelled texts that are not held out; None without texts of both labels.
+    """The ranking of all labelled texts that are not held out; None without texts of both labels."""
+    return _fit(featured(docs), labels)
+
+
+def _fit(rows: DataFrame, labels: DataFrame) -> Ranking | None:
+    """The ranking learnt from ``rows(doc_id, x)``.
 
     Texts of each label stand in the order of a hash, and each is paired with one of the other label, in as many rounds as give ``PAIRS`` pairs: every
     text takes part. Features, pairs, fit and the counts for the threshold stay in Spark; single values and vectors reach the driver.
     """
     size = len(features(None))
     x = lambda i: F.get("x", F.lit(i))
-    seen = written_once(sample(docs, labels, "quality", None).filter(F.col("label").isin(0, 1)).select("doc_id", "label", features_of(F.col("text")).alias("x")))
+    seen = written_once(rows.join(marked(labels, "quality").filter(F.col("label").isin(0, 1)).hint("merge"), "doc_id").select("doc_id", "label", "x"))
     n = {r["label"]: r["n"] for r in seen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return None
@@ -102,23 +112,23 @@ def learn(docs: DataFrame, labels: DataFrame) -> Ranking | None:
     return Ranking(tuple(map(float, centre)), tuple(map(float, scale)), tuple(map(float, beta)), float(tried[best[len(best) // 2]]))
 
 
-def score_of(text: Column, model: Ranking | None) -> Column:
-    """Score between 0 and 1, ``THRESHOLD`` at the threshold; a text without words has features 0. Without a
+def score_of(x: Column, model: Ranking | None) -> Column:
+    """Score between 0 and 1, ``THRESHOLD`` at the threshold, of the features ``x``; a text without words has features 0. Without a
     model every score is 0.5."""
     if model is None:
-        return F.when(text.isNull(), 0.5).otherwise(0.5)
+        return F.lit(0.5)
     centre, scale, weight = (np.array(v) for v in (model.centre, model.scale, model.weight))
     shift = model.threshold - np.log(THRESHOLD / (1 - THRESHOLD))
 
-    def run(texts: pd.Series) -> pd.Series:
-        x = np.array([features(t) for t in texts]).reshape(len(texts), len(centre))
-        raw = (x - centre) / scale @ weight
+    def run(rows: pd.Series) -> pd.Series:
+        raw = (np.array(rows.tolist(), float).reshape(len(rows), len(centre)) - centre) / scale @ weight
         return pd.Series(1 / (1 + np.exp(-np.clip(raw - shift, -500, 500))))
 
-    return F.pandas_udf(run, T.DoubleType())(text)
+    return F.pandas_udf(run, T.DoubleType())(x)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document; repeated rows get equal scores, each in its row."""
-    scored = docs.select("doc_id", score_of(F.col("text"), learn(docs, labels)).alias("score"))
+    rows = featured(docs)
+    scored = rows.select("doc_id", score_of(F.col("x"), _fit(rows, labels)).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -218,6 +218,19 @@ def test_stage_leaves_one_of_the_near_copies_of_the_documents(spark):
     assert sorted(got) == sorted(alike_by_hand({x.doc_id: x.text for x in docs.collect()}))
 
 
+def test_no_text_is_joined_with_the_quality_labels(spark, sf_dir, monkeypatch):
+    plans, write = [], ranking.written_once
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(ranking, "written_once", noted)
+    ranking.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    joined = [p for p in plans if "Join" in p]
+    assert joined and not any("text#" in p for p in joined)
+
+
 def test_a_task_sends_the_anchors_of_a_copied_text_twice_at_most(spark):
     r = random.Random(3)
     texts = [" ".join(f"w{r.getrandbits(24):06x}" for _ in range(60)) for _ in range(3)]
