@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from surco.llm.common import fresh, give_back
+from surco.llm.common import free_shuffles, fresh, give_back
 from surco.llm.components import components
 from surco.session import written_once
 
@@ -20,6 +20,8 @@ MAX_BITS = 2
 #: Of ``keep_one_alike``: words of a shingle, and the similarity (a share in whole numbers) from which two texts are near copies.
 ALIKE_WORDS = 5
 ALIKE = (4, 5)
+#: Its fingerprints: words of a shingle, fingerprints of a text, and bits of the halves that the balls are on. A changed word changes fewer short shingles.
+PRINT_WORDS, PRINTS, HALF = 2, 3, 32
 #: Least hashes of a text: so many bands of so many. Texts of similarity 0.8 agree in no band once in 38 000 pairs.
 BANDS, BAND_HASHES = 20, 4
 #: Of nodes that leaders of the first comparison left apart: further leaders of a band, and the most texts of a rare shingle.
@@ -65,23 +67,23 @@ def fingerprint_of(texts: pd.Series) -> pd.Series:
     return pd.Series([text_fingerprint(t) for t in texts], dtype="int64")
 
 
-def _ball(radius: int) -> list[int]:
-    masks = [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(64), k)]
+def _ball(radius: int, width: int = 64) -> list[int]:
+    masks = [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = MAX_BITS, width: int = 64) -> DataFrame:
     """Verified links ``(a, b)`` that connect all fingerprints at most ``max_bits`` (even) apart.
 
     ``prints(fingerprint)`` is distinct. Each one emits every variant within half the radius. Two
     fingerprints in reach of each other meet in the variant halfway, and all that meet in one variant are
     in reach of each other. A variant has at most as many fingerprints as the ball has points (65 for 2
     bits), so no group grows with the data; each member links to the smallest, which connects
-    the same documents as all pairs would.
+    the same documents as all pairs would. Only the lowest ``width`` bits may differ.
     """
     if max_bits % 2:
         raise ValueError("max_bits must be even: half of it is the radius of the ball")
-    ball = F.array(*[F.lit(m).cast("bigint") for m in _ball(max_bits // 2)])
+    ball = F.array(*[F.lit(m).cast("bigint") for m in _ball(max_bits // 2, width)])
     variants = prints.select("fingerprint", F.explode(ball).alias("mask")).select(
         "fingerprint", F.col("fingerprint").bitwiseXOR(F.col("mask")).alias("variant"))
     met = variants.withColumn("a", F.min("fingerprint").over(Window.partitionBy("variant")))
@@ -146,6 +148,19 @@ def _those(docs: DataFrame, stay: DataFrame) -> DataFrame:
 # --- near copies by exact similarity ------------------------------------------------------
 
 
+def print_halves(text: str | None) -> list[int]:
+    """The halves of ``PRINTS`` fingerprints of a text, each with its place above its bits (none without words); the first two are of ``text_fingerprint``."""
+    hashes = shingle_hashes(text, PRINT_WORDS)
+    out: list[int] = []
+    for _ in range(PRINTS if len(hashes) else 0):
+        bits = fingerprint(hashes)
+        out += [len(out) << HALF | bits & (1 << HALF) - 1, len(out) + 1 << HALF | bits >> HALF & (1 << HALF) - 1]
+        hashes = (hashes ^ hashes >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ hashes >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        hashes ^= hashes >> np.uint64(31)
+    return out
+
+
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * BAND_HASHES), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -166,9 +181,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-@F.pandas_udf(T.StructType().add("node", T.LongType()).add("n", T.IntegerType()).add("print", T.LongType()).add("bands", T.ArrayType(T.LongType())))
+@F.pandas_udf(T.StructType().add("node", T.LongType()).add("n", T.IntegerType()).add("print", T.LongType()).add("bands", T.ArrayType(T.LongType()))
+              .add("halves", T.ArrayType(T.LongType())))
 def facts_of(texts: pd.Series) -> pd.DataFrame:
-    out = pd.DataFrame([text_facts(t) for t in texts], columns=["node", "n", "print", "bands"]).astype({"node": "int64", "n": "int32", "print": "int64"})
+    out = pd.DataFrame([(*text_facts(t), print_halves(t)) for t in texts], columns=["node", "n", "print", "bands", "halves"]).astype({"node": "int64", "n": "int32", "print": "int64"})
     give_back()
     return out
 
@@ -228,16 +244,37 @@ def _met_rare(members: DataFrame) -> DataFrame:
         (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
 
 
-def alike_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def met_in_balls(nodes: DataFrame) -> DataFrame:
+    """``a, b, na, nb`` of the nodes whose SimHash fingerprints have a half at most ``MAX_BITS`` bits apart and that may be alike.
+
+    The ball hashing of ``links``, on halves. Texts of one half link to the least of them, so a half emits its ball once, however many
+    texts have it. From ``nodes(node, n, print, halves)``.
+    """
+    halves = nodes.select("node", F.explode("halves").alias("half"))
+    firsts = written_once(halves.groupBy("half").agg(F.min("node").alias("first")))
+    apart = links(firsts.select(F.col("half").alias("fingerprint")), MAX_BITS, HALF)
+    of = lambda c: firsts.select(F.col("half").alias(c), F.col("first").alias(f"{c}_node"))
+    across = apart.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    same = halves.join(firsts, "half").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = across.unionByName(same).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    facts = lambda c, x: nodes.select(F.col("node").alias(c), F.struct("node", "n", "print").alias(x))
+    return _near(pairs.join(facts("a", "x"), "a").join(facts("b", "y"), "b"), "x", "y")
+
+
+def alike_links(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """Links ``(a, b)`` that join the nodes of a similarity of 0.8 or more, from ``rows(key, x, leads)`` and ``sets(node, shingles)``.
 
-    First every node of a key is compared with its leaders. That joins copies of one text, however many; a node's root is the least leader
+    ``classes(node, root)`` are those of SimHash, linked already; what they leave apart is compared here. First every node of a key with its
+    leaders. That joins copies of one text, however many; a node's root is the least of its class and of the leaders
     that it is linked to. Keys of a single root are done. In those that are left, nodes of different roots meet by their rare
     shingles, which misses no pair that shares one, and by further leaders, for texts of which all parts are frequent.
     """
     led = rows.select("x", F.explode("leads").alias("y"))
-    found = written_once(_alike(_near(led, "x", "y"), sets))
-    leads = rows.select(F.explode("leads.node").alias("lead")).distinct()
+    of = lambda c: classes.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = _near(led, "x", "y").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    linked = classes.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = written_once(_alike(apart.select("a", "b", "na", "nb"), sets).unionByName(linked))
+    leads = rows.select(F.explode("leads.node").alias("lead")).unionByName(classes.select(F.col("root").alias("lead"))).distinct()
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = both.join(leads, both["b"] == leads["lead"], "left_semi").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     roots = written_once(roots.select("node", F.least("node", "root").alias("root")))
@@ -257,18 +294,23 @@ def keep_one_alike(docs: DataFrame) -> DataFrame:
     """The documents with one of each group of near copies: the least id, then the least text hash.
 
     Near copies have 5-word shingles of a similarity of 0.8 or more (exact, by all shingles), or are linked by such texts.
-    Texts of the same shingles are one row from the start, so all texts without a word (null, empty, blank) are one group. The others meet
-    in bands of least hashes, and what meets is decided by fingerprint, size and all shingles. All columns stay. Repeated rows of
+    Texts of the same shingles are one row from the start, so all texts without a word (null, empty, blank) are one group. The others are
+    fingerprinted by SimHash and meet in the balls of their fingerprints' halves; links that all shingles confirm make classes. An exact
+    join follows for what fingerprints don't reach: texts of different classes meet in bands of least hashes. All columns stay. Repeated rows of
     the document that stays count once; a null id comes last. An empty table gives no row; other columns are not read.
     """
     base = docs.select("doc_id", _text_key().alias("k"), facts_of(F.col("text")).alias("t")).select("doc_id", "k", "t.*")
-    nodes = written_once(base.groupBy("node").agg(F.min(_order()).alias("first"), *[F.first(c).alias(c) for c in ("n", "print", "bands")]))
+    nodes = written_once(base.groupBy("node").agg(F.min(_order()).alias("first"), *[F.first(c).alias(c) for c in ("n", "print", "bands", "halves")]))
+    met = written_once(met_in_balls(nodes))
+    free_shuffles(docs.sparkSession)  # the balls are the largest, and are read no more
     rows = nodes.select(F.struct("node", "n", "print").alias("x"), F.explode("bands").alias("key"))
     leads = _leaders(rows, [F.col("x.n").cast("bigint"), F.xxhash64("x.node", F.lit(0))], F.count(F.lit(1)).alias("c"))
     rows = written_once(rows.join(leads.filter("c > 1").drop("c"), "key"))
-    wanted = nodes.join(rows.select("x.node").distinct(), "node", "left_semi").select("first.doc_id", "first.k", "node")
+    compared = rows.select("x.node").unionByName(met.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = nodes.join(compared, "node", "left_semi").select("first.doc_id", "first.k", "node")
     key, = fresh(docs, "text_key")
     texts = _with_key(docs.select("doc_id", "text"), wanted, "inner", key).select("s.node", "d.text").dropDuplicates(["node"])
-    roots = components(alike_links(rows, written_once(texts.select("node", shingles_of(F.col("text")).alias("shingles")))))
+    sets = written_once(texts.select("node", shingles_of(F.col("text")).alias("shingles")))
+    roots = components(alike_links(rows, sets, written_once(components(_alike(met, sets)))))
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return _those(docs, rooted.select("first.doc_id", "first.k"))

@@ -218,6 +218,51 @@ def test_stage_leaves_one_of_the_near_copies_of_the_documents(spark):
     assert sorted(got) == sorted(alike_by_hand({x.doc_id: x.text for x in docs.collect()}))
 
 
+def no_bands(monkeypatch):
+    """The stage's facts of a text without the keys of its least hashes: what is found then is found by SimHash."""
+    facts = simhash.facts_of
+    monkeypatch.setattr(simhash, "facts_of", lambda text: facts(text).withField("bands", F.array().cast("array<bigint>")))
+
+
+def test_stage_links_near_copies_by_simhash(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for _ in range(20):
+        words = [word() for _ in range(400)]
+        for changed in (None, 7, 390):
+            copy = [w if k != changed else word() for k, w in enumerate(words)]
+            texts[len(texts)] = " ".join(copy)
+    # the fingerprints see a passage fifty times, the exact check sees once: of one half, and no near copies
+    passage = [word() for _ in range(31)]
+    for _ in range(2):
+        texts[len(texts)] = " ".join(passage * 90 + [word() for _ in range(30)])
+    texts |= {len(texts): None, len(texts) + 1: " "}
+    halves = [set(simhash.print_halves(texts[i])) for i in (60, 61)]
+    assert halves[0] & halves[1]
+    no_bands(monkeypatch)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {x.doc_id for x in corpus_pipeline.one_of_near_duplicates(spark, docs, "").collect()}
+    assert got == alike_by_hand(texts) == {*range(0, 60, 3), 60, 61, 62}
+
+
+def test_the_first_halves_are_those_of_the_fingerprint(texts):
+    for text in list(texts.values())[:50]:
+        halves = simhash.print_halves(text)
+        assert [h >> 32 for h in halves] == list(range(2 * simhash.PRINTS if (text or "").split() else 0))
+        assert not halves or (halves[1] & 0xFFFFFFFF) << 32 | halves[0] & 0xFFFFFFFF == simhash.text_fingerprint(text, simhash.PRINT_WORDS) % 2**64
+
+
+def test_simhash_alone_finds_most_of_the_near_copies_of_the_documents(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    whole = alike_by_hand({x.doc_id: x.text for x in docs.collect()})
+    different = docs.select(simhash.facts_of("text")["node"].alias("node")).distinct().count()
+    no_bands(monkeypatch)
+    got = {x.doc_id for x in corpus_pipeline.one_of_near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert got >= whole
+    assert different - len(got) >= 0.9 * (different - len(whole)) > 0
+
+
 def test_no_text_is_joined_with_the_quality_labels(spark, sf_dir, monkeypatch):
     plans, write = [], ranking.written_once
 
