@@ -250,31 +250,26 @@ def met_in_balls(nodes: DataFrame) -> DataFrame:
     The ball hashing of ``links``, on halves. Texts of one half link to the least of them, so a half emits its ball once, however many
     texts have it. From ``nodes(node, n, print, halves)``.
     """
-    halves = nodes.select("node", F.explode("halves").alias("half"))
-    firsts = written_once(halves.groupBy("half").agg(F.min("node").alias("first")))
+    halves = nodes.select(F.explode("halves").alias("half"), F.struct("node", "n", "print").alias("x"))
+    firsts = written_once(halves.groupBy("half").agg(F.min("x").alias("y")))
     apart = links(firsts.select(F.col("half").alias("fingerprint")), MAX_BITS, HALF)
-    of = lambda c: firsts.select(F.col("half").alias(c), F.col("first").alias(f"{c}_node"))
-    across = apart.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    same = halves.join(firsts, "half").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    pairs = across.unionByName(same).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    facts = lambda c, x: nodes.select(F.col("node").alias(c), F.struct("node", "n", "print").alias(x))
-    return _near(pairs.join(facts("a", "x"), "a").join(facts("b", "y"), "b"), "x", "y")
+    across = apart.join(firsts.select(F.col("half").alias("a"), F.col("y").alias("x")), "a").join(
+        firsts.select(F.col("half").alias("b"), "y"), "b").select("x", "y")
+    return _near(across.unionByName(halves.join(firsts, "half").select("x", "y")), "x", "y")
 
 
-def alike_links(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+def alike_links(rows: DataFrame, sets: DataFrame, linked: DataFrame) -> DataFrame:
     """Links ``(a, b)`` that join the nodes of a similarity of 0.8 or more, from ``rows(key, x, leads)`` and ``sets(node, shingles)``.
 
-    ``classes(node, root)`` are those of SimHash, linked already; what they leave apart is compared here. First every node of a key with its
-    leaders. That joins copies of one text, however many; a node's root is the least of its class and of the leaders
+    ``linked(a, b)``, a < b, are the links of SimHash; they stand, and what they leave apart is compared here. First every node of a key with its
+    leaders. That joins copies of one text, however many; a node's root is the least of the leaders and the nodes of SimHash before it
     that it is linked to. Keys of a single root are done. In those that are left, nodes of different roots meet by their rare
     shingles, which misses no pair that shares one, and by further leaders, for texts of which all parts are frequent.
     """
     led = rows.select("x", F.explode("leads").alias("y"))
-    of = lambda c: classes.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = _near(led, "x", "y").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-    linked = classes.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found = written_once(_alike(apart.select("a", "b", "na", "nb"), sets).unionByName(linked))
-    leads = rows.select(F.explode("leads.node").alias("lead")).unionByName(classes.select(F.col("root").alias("lead"))).distinct()
+    apart = _near(led, "x", "y").join(linked, ["a", "b"], "left_anti")
+    found = written_once(_alike(apart, sets).unionByName(linked))
+    leads = rows.select(F.explode("leads.node").alias("lead")).unionByName(linked.select(F.col("a").alias("lead"))).distinct()
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = both.join(leads, both["b"] == leads["lead"], "left_semi").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     roots = written_once(roots.select("node", F.least("node", "root").alias("root")))
@@ -295,8 +290,8 @@ def keep_one_alike(docs: DataFrame) -> DataFrame:
 
     Near copies have 5-word shingles of a similarity of 0.8 or more (exact, by all shingles), or are linked by such texts.
     Texts of the same shingles are one row from the start, so all texts without a word (null, empty, blank) are one group. The others are
-    fingerprinted by SimHash and meet in the balls of their fingerprints' halves; links that all shingles confirm make classes. An exact
-    join follows for what fingerprints don't reach: texts of different classes meet in bands of least hashes. All columns stay. Repeated rows of
+    fingerprinted by SimHash and meet in the balls of their fingerprints' halves; links that all shingles confirm stand. An exact
+    join follows for what fingerprints don't reach: texts not linked yet meet in bands of least hashes. All columns stay. Repeated rows of
     the document that stays count once; a null id comes last. An empty table gives no row; other columns are not read.
     """
     base = docs.select("doc_id", _text_key().alias("k"), facts_of(F.col("text")).alias("t")).select("doc_id", "k", "t.*")
@@ -311,6 +306,8 @@ def keep_one_alike(docs: DataFrame) -> DataFrame:
     key, = fresh(docs, "text_key")
     texts = _with_key(docs.select("doc_id", "text"), wanted, "inner", key).select("s.node", "d.text").dropDuplicates(["node"])
     sets = written_once(texts.select("node", shingles_of(F.col("text")).alias("shingles")))
-    roots = components(alike_links(rows, sets, written_once(components(_alike(met, sets)))))
+    linked = written_once(_alike(met, sets))
+    free_shuffles(docs.sparkSession)
+    roots = components(alike_links(rows, sets, linked))
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return _those(docs, rooted.select("first.doc_id", "first.k"))
