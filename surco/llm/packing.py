@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surco.llm.common import positions
-from surco.llm.tokens import encoded
+from surco.llm.common import give_back, positions
+from surco.llm.tokens import encoded, forget
 from surco.session import written_once
 
 CAPACITY = 2048
 END = 0
+#: Bytes of text encoded at once; while a block is at work, its pieces take many times as much.
+BLOCK_BYTES = 4 << 20
 
 
 class _Stock:
@@ -145,7 +147,7 @@ def token_pieces(docs: DataFrame, path: str, cap: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of each document's ids and its end id, cut from the end."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids, sizes in encoded(batches, path):
+        for batch, ids, sizes in encoded(batches, path, block=BLOCK_BYTES):
             names, at = batch.column("doc_id").to_pylist(), 0
             rows: list[tuple] = []
             for name, n in zip(names, sizes.tolist()):
@@ -156,6 +158,8 @@ def token_pieces(docs: DataFrame, path: str, cap: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
+            give_back()
+        forget(path)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 

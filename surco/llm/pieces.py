@@ -115,11 +115,11 @@ class PieceCoder:
         return np.frombuffer(every.buffers()[2] or b"", "<u4")[:filled[-1]], np.diff(filled[ends])
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of about ``BLOCK_BYTES`` with their first row; a longer text is a slice by itself."""
+def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of about ``most`` bytes with their first row; a longer text is a slice by itself."""
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES)))
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most)))
         yield at, pa.array(texts.slice(at, to - at))
         at = to

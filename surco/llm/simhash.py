@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -247,9 +248,18 @@ def _met_rare(members: DataFrame) -> DataFrame:
 def met_in_balls(nodes: DataFrame) -> DataFrame:
     """``a, b, na, nb`` of the nodes whose SimHash fingerprints have a half at most ``MAX_BITS`` bits apart and that may be alike.
 
-    The ball hashing of ``links``, on halves. Texts of one half link to the least of them, so a half emits its ball once, however many
-    texts have it. From ``nodes(node, n, print, halves)``.
+    The ball hashing of ``links``, on halves, one fingerprint after the other: halves of different places never meet, and so the disk
+    holds the balls of one. From ``nodes(node, n, print, halves)``.
     """
+    met = []
+    for place in range(0, 2 * PRINTS, 2):
+        met.append(written_once(_met_in_balls(nodes.withColumn("halves", F.slice("halves", place + 1, 2)))))
+        free_shuffles(nodes.sparkSession)  # the balls are the largest, and are read no more
+    return reduce(DataFrame.unionByName, met).distinct()
+
+
+def _met_in_balls(nodes: DataFrame) -> DataFrame:
+    """Texts of one half link to the least of them, so a half emits its ball once, however many texts have it."""
     halves = nodes.select(F.explode("halves").alias("half"), F.struct("node", "n", "print").alias("x"))
     firsts = written_once(halves.groupBy("half").agg(F.min("x").alias("y")))
     apart = links(firsts.select(F.col("half").alias("fingerprint")), MAX_BITS, HALF)
@@ -297,7 +307,6 @@ def keep_one_alike(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", _text_key().alias("k"), facts_of(F.col("text")).alias("t")).select("doc_id", "k", "t.*")
     nodes = written_once(base.groupBy("node").agg(F.min(_order()).alias("first"), *[F.first(c).alias(c) for c in ("n", "print", "bands", "halves")]))
     met = written_once(met_in_balls(nodes))
-    free_shuffles(docs.sparkSession)  # the balls are the largest, and are read no more
     rows = nodes.select(F.struct("node", "n", "print").alias("x"), F.explode("bands").alias("key"))
     leads = _leaders(rows, [F.col("x.n").cast("bigint"), F.xxhash64("x.node", F.lit(0))], F.count(F.lit(1)).alias("c"))
     rows = written_once(rows.join(leads.filter("c > 1").drop("c"), "key"))
@@ -309,5 +318,6 @@ def keep_one_alike(docs: DataFrame) -> DataFrame:
     linked = written_once(_alike(met, sets))
     free_shuffles(docs.sparkSession)
     roots = components(alike_links(rows, sets, linked))
+    free_shuffles(docs.sparkSession)  # all texts follow
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return _those(docs, rooted.select("first.doc_id", "first.k"))

@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from surco.llm.pieces import PieceCoder, blocks
+from surco.llm.common import give_back
+from surco.llm.pieces import BLOCK_BYTES, Memory, PieceCoder, blocks
 
 _codecs: dict[str, Codec] = {}
 
@@ -55,9 +56,15 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def forget(path: str) -> None:
+    """Let go of the pieces that this worker remembers: it outlives its task, and the next stage needs other memory."""
+    codec(path).known = Memory()
+    give_back()
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str, column: str = "text", block: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the ids of their texts (null: none) and each text's number of ids."""
     own = codec(path)
     for batch in batches:
-        for at, texts in blocks(pc.fill_null(batch.column(column).cast(pa.string()), "")):
+        for at, texts in blocks(pc.fill_null(batch.column(column).cast(pa.string()), ""), block):
             yield batch.slice(at, len(texts)), *own.encode(texts)

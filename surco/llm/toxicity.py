@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surco.llm.common import fresh, held_out
+from surco.llm.common import fresh, give_back, held_out
 from surco.llm.labelled import SAMPLE_ROWS, logistic, sample
 from surco.session import written_once
 
@@ -121,7 +121,9 @@ def _count_terms(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 bad.update(found)
             if len(all_) > TERMS_HELD:  # the counts of a task's parts are added up later
                 yield counts()
+                give_back()
     yield counts()
+    give_back()
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[Lexicon, np.ndarray]:
@@ -151,6 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
             rows = [(x, w, y, int(label or 0)) for text, label in zip(batch["text"], batch["label"])
                     for _, w, a, b in lexicon.matches(fold(text or "")) for x, y in ((a, ""), ("", b)) if x or y]
             yield pd.DataFrame(rows, columns=["a", "w", "b", "label"])
+            give_back()
 
     spared = marked.select("text", "label").mapInPandas(phrases, "a string, w string, b string, label int").groupBy("a", "w", "b").agg(
         F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")).filter("bad = 0 AND n >= 3").orderBy(F.desc("n"), "a", "w", "b").limit(MAX_TERMS).collect()
@@ -163,7 +166,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
 
 def _measures(lexicon: Lexicon):
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([lexicon.measures(t) for t in texts], columns=["total", "dense", "any"])
+        out = pd.DataFrame([lexicon.measures(t) for t in texts], columns=["total", "dense", "any"])
+        give_back()
+        return out
 
     kind = T.StructType([T.StructField(c, T.DoubleType()) for c in ("total", "dense", "any")])
     return F.pandas_udf(run, kind)

@@ -572,3 +572,32 @@ def test_folding():
     assert [toxicity.fold(t) for t in ("1D10T", "іdiot", "l0ser", "idiot!!", "scu​m", "12 3")] == ["idiot", "idiot", "loser", "idiot!!", "scum", "12 3"]
     lexicon = toxicity.Lexicon({"idio*": 2.0, "scum": 1.0}, frozenset({("", "scum", "pond")}))
     assert lexicon.measures("an 1d10t")[2] == 1.0 and lexicon.measures("scum pond")[2] == 0.0 and lexicon.measures("scumming")[2] == 0.0
+
+
+def test_packing_leaves_no_pieces_in_its_workers(spark, tmp_path):
+    """A worker outlives its task: what it remembers would stand beside the memory of the next stage."""
+    ship(spark)
+    docs = spark.createDataFrame([(k, f"word{k} and some others {k * k}") for k in range(200)], "doc_id bigint, text string").repartition(4)
+    assert packing.token_pieces(docs, VOCABULARY).count() == 200
+
+    def held(batches):
+        from surco.llm import tokens
+
+        for b in batches:
+            n = sum(len(c.known.young) + len(c.known.old) for c in tokens._codecs.values())
+            yield b.assign(held=n, loaded=len(tokens._codecs))[["held", "loaded"]]
+
+    seen = docs.mapInPandas(held, "held bigint, loaded bigint").agg(F.max("held").alias("held"), F.max("loaded").alias("loaded")).first()
+    assert seen["loaded"] and not seen["held"]
+
+
+def test_balls_of_one_fingerprint_at_a_time(spark, monkeypatch):
+    """The disk holds the balls of two halves of a text, not of all six."""
+    ship(spark)
+    texts = [" ".join(f"w{(k * j) % 97}" for j in range(1, 60)) for k in range(1, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sent, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints, *a: sent.append(prints.count()) or links(prints, *a))
+    nodes = docs.select(simhash.facts_of("text").alias("t")).select("t.*").dropDuplicates(["node"])
+    simhash.met_in_balls(nodes).count()
+    assert len(sent) == simhash.PRINTS and max(sent) <= 2 * len(texts)
