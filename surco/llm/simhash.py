@@ -279,6 +279,7 @@ def alike_links(rows: DataFrame, sets: DataFrame, linked: DataFrame) -> DataFram
     led = rows.select("x", F.explode("leads").alias("y"))
     apart = _near(led, "x", "y").join(linked, ["a", "b"], "left_anti")
     found = written_once(_alike(apart, sets).unionByName(linked))
+    free_shuffles(rows.sparkSession)
     leads = rows.select(F.explode("leads.node").alias("lead")).unionByName(linked.select(F.col("a").alias("lead"))).distinct()
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = both.join(leads, both["b"] == leads["lead"], "left_semi").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
@@ -290,6 +291,7 @@ def alike_links(rows: DataFrame, sets: DataFrame, linked: DataFrame) -> DataFram
         "key", F.struct("x.*", F.coalesce("root", "node").alias("root")).alias("x")))
     mixed = _leaders(rooted, [F.xxhash64("x.node", F.lit(k)) for k in range(1, LEADERS + 1)], F.min("x.root").alias("lo"), F.max("x.root").alias("hi"))
     open_ = written_once(rooted.join(mixed.filter("lo <> hi").select("key", "leads"), "key"))
+    free_shuffles(rows.sparkSession)  # all shingles follow
     members = open_.select("x").distinct().join(sets, F.col("x.node") == sets["node"]).select("x", "shingles")
     again = open_.select("x", F.explode("leads").alias("y")).filter("x.root <> y.root")
     return found.unionByName(_alike(_near(_met_rare(members).unionByName(again), "x", "y"), sets))
@@ -310,11 +312,13 @@ def keep_one_alike(docs: DataFrame) -> DataFrame:
     rows = nodes.select(F.struct("node", "n", "print").alias("x"), F.explode("bands").alias("key"))
     leads = _leaders(rows, [F.col("x.n").cast("bigint"), F.xxhash64("x.node", F.lit(0))], F.count(F.lit(1)).alias("c"))
     rows = written_once(rows.join(leads.filter("c > 1").drop("c"), "key"))
+    free_shuffles(docs.sparkSession)  # the texts that are compared follow
     compared = rows.select("x.node").unionByName(met.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     wanted = nodes.join(compared, "node", "left_semi").select("first.doc_id", "first.k", "node")
     key, = fresh(docs, "text_key")
     texts = _with_key(docs.select("doc_id", "text"), wanted, "inner", key).select("s.node", "d.text").dropDuplicates(["node"])
     sets = written_once(texts.select("node", shingles_of(F.col("text")).alias("shingles")))
+    free_shuffles(docs.sparkSession)
     linked = written_once(_alike(met, sets))
     free_shuffles(docs.sparkSession)
     roots = components(alike_links(rows, sets, linked))
